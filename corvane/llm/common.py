@@ -47,6 +47,27 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def components(edges: DataFrame, folder: str) -> DataFrame:
+    """The connected components of edges (a, b: long): a row (node, label) for each node of an edge, label its smallest reachable node.
+
+    Every round takes the least label of the neighbours and then the label of that label, by joins and
+    partial minima, and ends as a table in the shared folder; it stops when no label changes.
+    """
+    both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), folder, "edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), folder, "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        hop = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "m").alias("at"))
+        up = labels.select(F.col("node").alias("at"), F.col("label").alias("up"))
+        after = stored(hop.join(up, "at", "left").select("node", "before", F.least("at", "up").alias("label")), folder, "labels")
+        done = after.where("before <> label").limit(1).count() == 0
+        forget(labels)
+        labels = after
+        if done:
+            forget(both)
+            return after.select("node", "label")
+
+
 def crc_mod(column, n: int):
     """crc32 of the id as text, modulo n: the folds of labelled rows."""
     return F.crc32(column.cast("string").cast("binary")) % n
@@ -149,3 +170,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_VALUES[LOWER[data]] * powers[: len(data)], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def small_fold(column, n: int, out: int):
+    """True for the rows held out of training: the remainder of the id's crc32 is out."""
+    return F.coalesce(crc_mod(column, n) == out, F.lit(False))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, out: int, most: int) -> DataFrame:
+    """text and label (int) of at most so many labelled documents outside the held-out fold, the first by a hash of the id.
+
+    The sample's size is bounded, so its ids are broadcast; texts stay where they are read.
+    """
+    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    ids = bounded_sample(ids.where(~small_fold(F.col("doc_id"), n, out)), "doc_id", most)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
