@@ -164,12 +164,17 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, A-Z read as a-z: a polynomial of its bytes, by prefix sums over the batch."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+    return span_hashes(data, [(starts, ends)])[0]
+
+
+def span_hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """word_hashes of several lists of spans (starts, ends) of the same bytes."""
+    if not len(data):
+        return [np.zeros(len(s), dtype=np.uint64) for s, _ in spans]
     powers, inverse = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_VALUES[LOWER[data]] * powers[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts])
+    return [mix64((sums[ends] - sums[starts]) * inverse[starts]) for starts, ends in spans]
 
 
 def small_fold(column, n: int, out: int):
