@@ -239,6 +239,27 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
     return df.mapInArrow(run, _with(df, **{ids: T.ArrayType(T.IntegerType())}))
 
 
+def tokenized(df: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """df with ids, n_tokens and lossless (whether the ids decode to the text) instead of its text."""
+    path = path or default_path()
+    kinds = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "lossless": T.BooleanType()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBpe.load(path)
+        for batch in batches:
+            for some in _runs(batch, text):
+                texts = [t or "" for t in some.column(text).to_pylist()]
+                every = bpe.encode_batch(texts)
+                yield _replaced(
+                    some.drop_columns([text]),
+                    ids=pa.array(every, type=pa.list_(pa.int32())),
+                    n_tokens=pa.array(list(map(len, every)), type=pa.int64()),
+                    lossless=pa.array([bpe.decode(ids) == t for ids, t in zip(every, texts, strict=True)], type=pa.bool_()),
+                )
+
+    return df.mapInArrow(run, T.StructType([f for f in _with(df, **kinds).fields if f.name != text]))
+
+
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of each row's ids; null ids give an empty text."""
     path = path or default_path()
