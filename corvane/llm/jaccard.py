@@ -29,6 +29,7 @@ null component; repeated rows are members of one class.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ SLICE = 512
 BROADCAST_ROWS = 400_000
 #: Shingles of a bucket, about.
 BUCKET = 1_500_000
+#: Low bytes of a shingle's hash that verification compares: two different shingles agree once in 2.8e14.
+SET_BYTES = 6
 _FACTORS = mix64(np.arange(1, K + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93)) | U(1)
 
 
@@ -88,6 +91,18 @@ def key_of(d: bytes) -> int:
     return int.from_bytes(d[:8], "little", signed=True)
 
 
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts of a set in about half as many groups as it has shingles, a byte each; wider where a count needs it."""
+    width = 1 << max(5, min(14, (len(s) - 1).bit_length() - 1))
+    c = np.bincount((s & U(width - 1)).astype(np.int64), minlength=width)
+    return zlib.compress((b"\x02" + c.astype(np.uint32).tobytes()) if c.max() > 255 else (b"\x01" + c.astype(np.uint8).tobytes()), 1)
+
+
+def read_point(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, dtype=np.uint8 if raw[0] == 1 else np.uint32, offset=1).astype(np.int32)
+
+
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """The smallest intersection of linked sets of these sizes: 100 i >= percent (n + m - i)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -96,23 +111,26 @@ def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     part = TaskContext.get().partitionId()
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("part", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("fine", pa.binary()), ("part", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
     seen: set[bytes] = set()
     for batch in batches:
         for some in slices(batch, "text", 4 << 20):
             sets = shingle_sets(some.column("text"))
             digests = [digest(s) if len(s) else None for s in sets]
-            new = []
+            new, fine = [], []
             for s, d in zip(sets, digests, strict=True):
                 if d is not None and d not in seen:
                     seen.add(d)
                     new.append(s)
+                    fine.append(fine_point(s))
+                else:
+                    fine.append(None)
             if new:
                 counts += np.bincount((np.concatenate(new) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             k = some.num_rows
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), pa.array(fine, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
     parts = counts.astype(np.uint32).reshape(CHUNKS, -1)
-    yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array([part] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], schema=schema)
+    yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.nulls(CHUNKS, pa.binary()), pa.array([part] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], schema=schema)
 
 
 def _added(group: pa.Table) -> pa.Table:
@@ -135,6 +153,10 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+
+
 def _packer(sketch, buckets: int, percent: int):
     """Second pass: (bucket, packed arrays) of each set's rarest shingles; a set goes out once for each task."""
 
@@ -158,12 +180,12 @@ def _packer(sketch, buckets: int, percent: int):
             key, n, unit, point = np.array(keys, np.int64), np.array(sizes, np.int64), np.array(units, np.int32), np.array(points, np.uint8)
             out: list[list] = [[], [], [], [], [], [], []]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                who, idx = np.unique(own[a:b], return_inverse=True)
-                for column, x in zip(out, (int(at[a]), every[a:b].tobytes(), idx.astype(np.uint32).tobytes(), key[who].tobytes(), n[who].tobytes(), unit[who].tobytes(), point[who].tobytes()), strict=True):
-                    column.append(x)
+                who, times = np.unique(own[a:b], return_counts=True)  # own ascends within a bucket
+                for column, x in zip(out, (int(at[a]), every[a:b], times.astype(np.uint32), key[who], n[who], unit[who], point[who]), strict=True):
+                    column.append(x if isinstance(x, int) else _packed(x))
             for some in (toks, keys, sizes, points, units):
                 some.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "tok", "idx", "key", "n", "unit", "point"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "tok", "times", "key", "n", "unit", "point"])
 
         for batch in batches:
             for some in slices(batch, "text", 4 << 20):
@@ -273,11 +295,10 @@ def leader_groups(points: np.ndarray, n: np.ndarray, percent: int) -> list[tuple
 def _grouper(percent: int):
     def run(group: pa.Table) -> pa.Table:
         def read(name: str, kind) -> list[np.ndarray]:
-            return [np.frombuffer(x, dtype=kind) for x in group.column(name).to_pylist()]
+            return [np.frombuffer(zlib.decompress(x), dtype=kind) for x in group.column(name).to_pylist()]
 
-        toks, idx, key = read("tok", np.uint32), read("idx", np.uint32), read("key", np.int64)
-        shift = np.cumsum([0, *map(len, key)])[:-1]
-        own = np.concatenate([i.astype(np.int64) + s for i, s in zip(idx, shift, strict=True)])
+        toks, times, key = read("tok", np.uint32), np.concatenate(read("times", np.uint32)), read("key", np.int64)
+        own = np.repeat(np.arange(len(times)), times)
         keys, first, who = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
         n = np.concatenate(read("n", np.int64))[first]
         points = np.concatenate([x.reshape(-1, GROUPS) for x in read("point", np.uint8)])[first].astype(np.int32) * np.concatenate(read("unit", np.int32))[first][:, None]
@@ -305,6 +326,35 @@ def _grouper(percent: int):
     return run
 
 
+def _refiner(percent: int):
+    """A group's members with their finer points: the parts of the group whose members can still link."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lead = group.column("leader")[0].as_py()
+        raw = dict(zip(group.column("member").to_pylist(), zip(group.column("n").to_pylist(), group.column("fine").to_pylist(), strict=True), strict=True))
+        keys = sorted(raw, key=lambda k: (k != lead, k))
+        n = np.array([raw[k][0] for k in keys], dtype=np.int64)
+        points = [read_point(raw[k][1]) for k in keys]
+        width = min(map(len, points))
+        # Groups are low bits of the hash, so a wider point folds to a narrower one by adding its parts.
+        flat = np.array([p.reshape(-1, width).sum(axis=0) for p in points])
+        part = np.arange(len(keys))
+        for i in range(1, len(keys)):
+            rest = np.flatnonzero(part[:i] != part[i])
+            for j in rest[passes(flat[rest], n[rest], flat[i], int(n[i]), percent)].tolist():
+                if part[i] == part[j]:
+                    continue
+                common = min(len(points[i]), len(points[j]))
+                a, b = (x.reshape(-1, common).sum(axis=0) for x in (points[i], points[j]))
+                if np.minimum(a, b).sum() >= least_overlap(n[i], n[j], percent):
+                    low, high = sorted((part[i], part[j]))
+                    part[part == high] = low
+        out = [(keys[p], k) for p, k in zip(part.tolist(), keys, strict=True) if keys[p] != k]
+        return pa.table({"leader": pa.array([o[0] for o in out], pa.int64()), "member": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -338,6 +388,12 @@ def links(sets: list[np.ndarray], label: list[int], percent: int) -> list[tuple[
     return out
 
 
+def _read_set(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // SET_BYTES, 8), dtype=np.uint8)
+    wide[:, :SET_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, SET_BYTES)
+    return np.sort(wide.view(np.uint64).ravel())
+
+
 def _verifier(percent: int):
     def run(group: pa.Table) -> pa.Table:
         rows: dict[bytes, tuple] = {}
@@ -345,7 +401,7 @@ def _verifier(percent: int):
         for rep, key, label, s in zip(group.column("rep").to_pylist(), group.column("key").to_pylist(), group.column("label").to_pylist(), group.column("set").to_pylist(), strict=True):
             rows[s] = (key != lead, rep, label, s)
         some = sorted(rows.values())
-        found = links([np.frombuffer(x[3], dtype=np.uint64) for x in some], [x[2] for x in some], percent) if len(some) > 1 else []
+        found = links([_read_set(x[3]) for x in some], [x[2] for x in some], percent) if len(some) > 1 else []
         return pa.table({"a": pa.array([some[i][1] for i, _ in found], pa.int64()), "b": pa.array([some[j][1] for _, j in found], pa.int64())})
 
     return run
@@ -359,7 +415,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for s, rep, label, key, at in zip(sets, *(some.column(c).to_pylist() for c in ("doc_id", "label", "key", "at")), strict=True):
                 if len(s) and key_of(digest(s)) == key:
-                    raw = s.tobytes()
+                    raw = s.view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
                     out += [(x["leader"], x["slice"], rep, key, label, raw) for x in at]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["leader", "slice", "rep", "key", "label", "set"])
 
@@ -371,26 +427,37 @@ def _verified(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("leader", "slice").applyInArrow(_verifier(percent), "a long, b long")
 
 
+#: The digest's first eight bytes, little-endian: see key_of.
+_KEY = "cast(conv(concat(" + ",".join(f"substr(hex(digest),{i},2)" for i in range(15, 0, -2)) + "),16,-10) as long)"
+
+
+def _slices(grouped: DataFrame) -> DataFrame:
+    return grouped.groupBy("leader").agg(F.count("*").alias("members")).select("leader", F.expr(f"cast(ceil(members / {SLICE}) as int)").alias("slices"))
+
+
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text), and the number of rows with an equal set (n_equal)."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stored(docs.mapInArrow(_first_pass, "doc_id long, n long, digest binary, part int, chunk int, counts binary"), folder, "sets")
+    first = stored(docs.mapInArrow(_first_pass, "doc_id long, n long, digest binary, fine binary, part int, chunk int, counts binary"), folder, "sets")
     sketch = spark.sparkContext.broadcast(_sketch(first))
     rows = first.where("counts is null").select("doc_id", "n", "digest")
     total = rows.agg(F.sum(F.expr(f"n - (n * {percent} + 99) div 100 + 1"))).first()[0] or 0
     buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET)))
 
-    packed = docs.mapInArrow(_packer(sketch, buckets, percent), "bucket int, tok binary, idx binary, key binary, n binary, unit binary, point binary")
+    packed = docs.mapInArrow(_packer(sketch, buckets, percent), "bucket int, tok binary, times binary, key binary, n binary, unit binary, point binary")
     grouped = stored(packed.groupBy("bucket").applyInArrow(_grouper(percent), "leader long, member long").distinct(), folder, "groups")
-    sizes = grouped.groupBy("leader").agg(F.count("*").alias("members")).select("leader", F.expr(f"cast(ceil(members / {SLICE}) as int)").alias("slices"))
+    sizes = _slices(grouped)
+    together = grouped.unionByName(grouped.select("leader", F.col("leader").alias("member")).distinct()).join(sizes.where("slices = 1").select("leader"), "leader")
+    points = first.where("fine is not null").select(F.expr(_KEY).alias("member"), "n", "fine")
+    refined = points.join(small(together, BROADCAST_ROWS), "member").groupBy("leader").applyInArrow(_refiner(percent), "leader long, member long")
+    grouped = stored(refined.unionByName(grouped.join(sizes.where("slices > 1").select("leader"), "leader")).distinct(), folder, "refined")
+    sizes = _slices(grouped)
     member = grouped.join(sizes, "leader").select("leader", "slices", F.col("member").alias("key"), F.expr("cast(pmod(xxhash64(member), slices) as int)").alias("slice"))
     lead = sizes.select("leader", "slices", F.col("leader").alias("key"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal"))
-    # The key is the digest's first eight bytes, little-endian: see key_of.
-    key = F.expr("cast(conv(concat(substr(hex(digest),15,2),substr(hex(digest),13,2),substr(hex(digest),11,2),substr(hex(digest),9,2),substr(hex(digest),7,2),substr(hex(digest),5,2),substr(hex(digest),3,2),substr(hex(digest),1,2)),16,-10) as long)")
-    reps = stored(classes.withColumn("key", key), folder, "classes")
+    reps = stored(classes.withColumn("key", F.expr(_KEY)), folder, "classes")
     member = stored(member.unionByName(lead).join(reps.select("key", "doc_id"), "key"), folder, "members")
     edges = stored(_verified(docs, member.withColumn("label", F.col("doc_id")), percent), folder, "links")
     labels = components(edges, folder)
