@@ -134,7 +134,7 @@ def llm_order(reply, n) -> Column:
 def subqueries(reply, query, most: int = 3) -> Column:
     """Strings of a JSON list, a code fence around it taken off, most of them at most; else the query alone."""
     text = F.trim(_col(reply))
-    inner = F.when(F.contains(text, F.lit("```")), F.trim(F.regexp_replace(F.split_part(text, F.lit("```"), F.lit(2)), "^json", ""))).otherwise(text)
+    inner = F.when(F.contains(text, F.lit("```")), F.regexp_replace(F.regexp_replace(F.split_part(text, F.lit("```"), F.lit(2)), "^json", ""), r"^\s+|\s+$", "")).otherwise(text)
     listed = F.from_json(inner, "array<string>")
     sound = listed.isNotNull() & inner.rlike(r'^\[\s*("([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*)?\]$')
     return F.when(sound, F.slice(listed, 1, most)).otherwise(F.array(_col(query)))

@@ -70,39 +70,41 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 5, policy: bo
 
 
 def _blocks(size: int):
-    """Rows (id, vector) packed into blocks of one row."""
+    """Rows (g, id, vector) packed into blocks of one row, each of one g."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        rows: list[np.ndarray] = []
+        held: dict[str, tuple[list, list]] = {}
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(rows, np.float64).tobytes()], pa.binary())], names=["ids", "rows"])
+        def out(g: str):
+            ids, rows = held.pop(g)
+            return pa.RecordBatch.from_arrays([pa.array([g]), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(rows, np.float64).tobytes()], pa.binary())], names=["g", "ids", "rows"])
 
         for batch in batches:
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("vector").to_pylist(), strict=True):
+            for g, i, v in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "vector")), strict=True):
                 x = np.array(v, dtype=np.float64)
                 norm = np.sqrt((x * x).sum())
+                ids, rows = held.setdefault(g, ([], []))
                 ids.append(i)
                 rows.append(x / norm if norm > 0 else x * 0)
                 if len(ids) == size:
-                    yield out()
-                    ids.clear()
-                    rows.clear()
-        if ids:
-            yield out()
+                    yield out(g)
+        for g in list(held):
+            yield out(g)
 
     return run
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024, by: str | None = None, spread: int = 32) -> DataFrame:
     """(query_id, id, score, rank): the k nearest vectors by cosine of each query vector, exact.
 
-    vectors: (id, vector); queries: (query_id, vector). Blocks of the stated query set meet blocks of
-    vectors; a pair of blocks keeps k candidates a query, so nothing grows but the number of pairs.
+    vectors: (id, vector); queries: (query_id, vector); with by, both have that column and only rows that
+    agree on it meet. Blocks of the stated query set meet blocks of vectors, spread over tasks; a pair of
+    blocks keeps k candidates a query, so nothing grows but the number of pairs.
     """
-    packed = vectors.select(F.col("id").cast("long").alias("id"), "vector").where("vector is not null").mapInArrow(_blocks(block), "ids binary, rows binary")
-    asked = queries.select(F.col("query_id").cast("long").alias("id"), "vector").where("vector is not null").mapInArrow(_blocks(block), "ids binary, rows binary").select(F.col("ids").alias("qids"), F.col("rows").alias("qrows"))
+    g = F.col(by).cast("string") if by else F.lit("")
+    pack = lambda df, name: df.select(g.alias("g"), F.col(name).cast("long").alias("id"), "vector").where("g is not null and id is not null and vector is not null").mapInArrow(_blocks(block), "g string, ids binary, rows binary")
+    packed = pack(vectors, "id").withColumn("part", F.expr(f"cast(pmod(xxhash64(ids), {spread}) as int)"))
+    asked = pack(queries, "query_id").select("g", F.col("ids").alias("qids"), F.col("rows").alias("qrows"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +115,8 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int
                 n = order.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, axis=1).ravel())], names=["query_id", "id", "score"])
 
-    return top(packed.crossJoin(asked).mapInArrow(best, "query_id long, id long, score double"), k, tie="id")
+    pairs = packed.join(asked, ["g", "part"]).select("ids", "rows", "qids", "qrows")
+    return top(pairs.mapInArrow(best, "query_id long, id long, score double"), k, tie="id")
 
 
 def fuse(ranked: DataFrame, top_k: int = 5, k: int = RRF) -> DataFrame:
