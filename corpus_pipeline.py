@@ -24,6 +24,7 @@ LEAST_SCORE = 0.5
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose best language scores below LEAST_SCORE."""
+    ship(spark)
     model = langid.fit(docs)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     labelled = docs.mapInArrow(langid.labeller(model, docs.columns), f"{kinds}, lang_pred string, score double")
@@ -32,6 +33,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near-duplicates; rows without an id stay."""
+    ship(spark)
     found = jaccard.jaccard_components(docs)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(small(gone, BROADCAST_ROWS), "doc_id", "left_anti")
@@ -45,11 +47,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; documents stay."""
+    ship(spark)
     return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
+    ship(spark)
     mix = mixing.mixed(docs).where("taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("times"))
     mix = mix.groupBy("doc_id").agg(F.max("times").alias("times"))
     taken = docs.join(small(mix, BROADCAST_ROWS), "doc_id")
@@ -58,6 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text, their number, and whether they decode to it."""
+    ship(spark)
     return bpe.tokenized(docs.select("doc_id", "lang", "source", "text"))
 
 
