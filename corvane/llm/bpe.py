@@ -16,11 +16,13 @@ replace columns of the same name.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -30,15 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SHORT = 64
-#: Entries of each of a cache's two generations.
-CACHE = 150_000
+#: Runs that a worker remembers; beyond, it forgets all of them.
+CACHE = 100_000
 NONE = np.int64(1 << 40)
 
 _WHITE = r"\t-\r \x85\xa0  -     　"
 #: The public split pattern of byte-level BPE vocabularies, its white space written out.
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-#: A blank beside other white space or at an end: only without these is every blank the start of a split word.
-_ODD_BLANK = re.compile(r"^ | $| (?=\s)|(?<=\s) ")
+#: White space other than blanks and newlines, which few texts have.
+_RARE = re.compile(r"[^\S \n]")
+#: A blank beside other white space: only without these is every blank the start of a split word.
+_ODD_BLANK = re.compile(r" (?=\s)|(?<=\s) ")
 
 
 def default_path() -> str:
@@ -47,25 +51,32 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Cache:
-    """A dictionary that forgets what was not used lately: of two generations, the older one is dropped when the newer is full."""
+@contextmanager
+def _no_collection():
+    """Without cyclic garbage collection: a batch makes millions of small tuples and no cycles, and each collection walks them all."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
 
-    def missing(self, keys: set) -> list:
-        new, old, out = self.new, self.old, []
-        for k in keys:
-            if k not in new:
-                if (v := old.get(k)) is None:
-                    out.append(k)
-                else:
-                    new[k] = v
-        return out
+class Encoded:
+    """The ids of a batch: text i has flat[starts[i]:starts[i + 1]]."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray):
+        self.flat, self.starts = flat, starts
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def lists(self) -> list[list[int]]:
+        return [self.flat[a:b].tolist() for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True)]
 
-    def trim(self) -> None:
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
+    def arrow(self) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.starts, pa.int32()), pa.array(self.flat, pa.int32()))
 
 
 class ByteBpe:
@@ -102,8 +113,10 @@ class ByteBpe:
         self.by_pair = dict(zip(keys.tolist(), range(len(merges)), strict=True))
         every = self.first[:, None] * self.v + self.first[None, :]
         self.by_bytes = self._rank(every.ravel()).reshape(256, 256)
-        self.texts = _Cache(CACHE)
-        self.words = _Cache(CACHE)
+        self.cache: dict = {}
+        self.decimal = list(map(str, range(max(self.bytes) + 1)))
+        self.longest_id = max(self.bytes)
+        self.by_id = [self.bytes.get(i, b"") for i in range(self.longest_id + 1)]
 
     def _rank(self, keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -161,60 +174,95 @@ class ByteBpe:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return tuple(i for i in ids if i >= 0)
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Fills the word cache with the ids of pre-split words."""
+    def _merged(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of pre-split words."""
         by_length: dict[int, list] = {}
-        for w in self.words.missing(pieces):
+        for w in pieces:
             raw = w.encode()
             by_length.setdefault(len(raw), []).append((w, raw))
+        out: dict[str, tuple[int, ...]] = {}
         for n, group in by_length.items():
             if n <= SHORT:
                 for k in range(0, len(group), 8192):
                     some = group[k : k + 8192]
                     rows = np.frombuffer(b"".join(raw for _, raw in some), dtype=np.uint8).reshape(-1, n)
-                    self.words.new.update(zip((w for w, _ in some), self._same_length(rows), strict=True))
+                    out.update(zip((w for w, _ in some), self._same_length(rows), strict=True))
             else:
-                self.words.new.update((w, self._long(raw)) for w, raw in group)
+                out.update((w, self._long(raw)) for w, raw in group)
+        return out
+
+    def _runs_of(self, text: str, rare: bool) -> list:
+        """A text as runs: a string goes with the blank before it, a tuple is one pre-split word, a number a special id."""
+        out: list = []
+        for piece in self.splitter.split(text) if self.splitter and any(s in text for s in self.special) else (text,):
+            if piece in self.special:
+                out.append(self.special[piece])
+            elif piece and (piece[0] == " " or piece[-1] == " " or "  " in piece or " \n" in piece or "\n " in piece or rare and _ODD_BLANK.search(piece)):
+                out += [(w,) for w in _SPLIT.findall(piece)]
+            elif piece:
+                first, *rest = piece.split(" ")
+                out += [(w,) for w in _SPLIT.findall(first)]
+                out += rest
+        return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        plans = []  # of each text: runs of words, and special ids between them
-        keys: set[str] = set()
+    @staticmethod
+    def _words_of(run: str) -> list[str]:
+        """The pre-split words of a run and the blank before it."""
+        if run[-1] in ".,;:!?" and run[:-1].isalpha():
+            return [" " + run[:-1], run[-1]]
+        return _SPLIT.findall(" " + run)
+
+    def encode_batch(self, texts: list[str]) -> Encoded:
+        rare = any(_RARE.search(t) for t in texts)
+        runs: list = []
+        cuts = [0]
         for text in texts:
-            runs = []
-            for piece in self.splitter.split(text) if self.splitter and any(s in text for s in self.special) else (text,):
-                if piece in self.special:
-                    runs.append(self.special[piece])
-                elif piece and _ODD_BLANK.search(piece):
-                    runs.append(_SPLIT.findall(piece))
-                elif piece:
-                    run = piece.split(" ")
-                    runs.append((_SPLIT.findall(run[0]), run[1:]))
-                    keys.update(run)
-            plans.append(runs)
-        new = self.texts.missing(keys)
-        split = [_SPLIT.findall(" " + k) for k in new]
-        self._learn(set(chain.from_iterable(split)).union(*(r if isinstance(r, list) else r[0] for runs in plans for r in runs if not isinstance(r, int))))
-        word, blank = self.words.new, self.texts.new
-        for k, pieces in zip(new, split, strict=True):
-            blank[k] = word[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(word.__getitem__, pieces)))
-        out = []
-        for runs in plans:
-            ids: list[int] = []
-            for r in runs:
-                if isinstance(r, int):
-                    ids.append(r)
-                elif isinstance(r, list):
-                    ids.extend(chain.from_iterable(map(word.__getitem__, r)))
+            runs += self._runs_of(text, rare)
+            cuts.append(len(runs))
+        place = dict.fromkeys(runs)
+        keys = list(place)
+        place.update(zip(keys, range(len(keys)), strict=True))
+        codes = list(map(place.__getitem__, runs))
+        found = list(map(self.cache.get, keys))
+        plain: list[int] = []
+        other: list[tuple[int, list[str]]] = []
+        pieces: set[str] = set()
+        for i, f in enumerate(found):
+            if f is None:
+                k = keys[i]
+                if isinstance(k, int):
+                    found[i] = (k,)
+                elif isinstance(k, str) and k.isalpha():
+                    plain.append(i)
                 else:
-                    ids.extend(chain.from_iterable(map(word.__getitem__, r[0])))
-                    ids.extend(chain.from_iterable(map(blank.__getitem__, r[1])))
-            out.append(ids)
-        self.texts.trim()
-        self.words.trim()
-        return out
+                    w = [k[0]] if isinstance(k, tuple) else self._words_of(k)
+                    other.append((i, w))
+                    pieces.update(w)
+        pieces.update([" " + keys[i] for i in plain])
+        merged = self._merged(pieces)
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        for i in plain:
+            self.cache[keys[i]] = found[i] = merged[" " + keys[i]]
+        for i, w in other:
+            self.cache[keys[i]] = found[i] = merged[w[0]] if len(w) == 1 else tuple(chain.from_iterable(map(merged.__getitem__, w)))
+        length = np.array(list(map(len, found)), dtype=np.int64)
+        every = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(length.sum()))
+        begin = np.cumsum(length) - length
+        at = np.array(codes, dtype=np.int64)
+        times = length[at]
+        upto = np.concatenate([[0], np.cumsum(times)])
+        flat = every[np.repeat(begin[at] - upto[:-1], times) + np.arange(upto[-1])] if len(at) else every
+        return Encoded(flat, upto[np.array(cuts)])
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.get, ids) if self.bytes.keys() >= set(ids) else (self.bytes.get(i, b"") for i in ids)).decode("utf-8", "replace")
+        try:
+            return b"".join(map(self.by_id.__getitem__, ids)).decode("utf-8", "replace") if not ids or min(ids) >= 0 else self._decode_known(ids)
+        except IndexError:
+            return self._decode_known(ids)
+
+    def _decode_known(self, ids: list[int]) -> str:
+        return b"".join(self.bytes.get(i, b"") for i in ids).decode("utf-8", "replace")
 
 
 def _replaced(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
@@ -234,7 +282,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
         bpe = ByteBpe.load(path)
         for batch in batches:
             for some in _runs(batch, text):
-                yield _replaced(some, **{ids: pa.array(bpe.encode_batch([t or "" for t in some.column(text).to_pylist()]), type=pa.list_(pa.int32()))})
+                yield _replaced(some, **{ids: bpe.encode_batch([t or "" for t in some.column(text).to_pylist()]).arrow()})
 
     return df.mapInArrow(run, _with(df, **{ids: T.ArrayType(T.IntegerType())}))
 
@@ -249,12 +297,13 @@ def tokenized(df: DataFrame, path: str | None = None, text: str = "text") -> Dat
         for batch in batches:
             for some in _runs(batch, text):
                 texts = [t or "" for t in some.column(text).to_pylist()]
-                every = bpe.encode_batch(texts)
+                with _no_collection():
+                    every = bpe.encode_batch(texts)
                 yield _replaced(
                     some.drop_columns([text]),
-                    ids=pa.array(every, type=pa.list_(pa.int32())),
-                    n_tokens=pa.array(list(map(len, every)), type=pa.int64()),
-                    lossless=pa.array([bpe.decode(ids) == t for ids, t in zip(every, texts, strict=True)], type=pa.bool_()),
+                    ids=every.arrow(),
+                    n_tokens=pa.array(np.diff(every.starts), type=pa.int64()),
+                    lossless=pa.array([bpe.decode(ids) == t for ids, t in zip(every.lists(), texts, strict=True)], type=pa.bool_()),
                 )
 
     return df.mapInArrow(run, T.StructType([f for f in _with(df, **kinds).fields if f.name != text]))
@@ -275,7 +324,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str =
 def _runs(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     from corvane.llm.common import slices
 
-    return slices(batch, text)
+    return slices(batch, text, 2 << 20)
 
 
 def round_trip(df: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -288,16 +337,17 @@ def round_trip(df: DataFrame, path: str | None = None, text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.load(path)
-        number = {i: str(i) for i in bpe.bytes}
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for some in _runs(batch, text):
-                every = bpe.encode_batch([t or "" for t in some.column(text).to_pylist()])
+                with _no_collection():
+                    every = bpe.encode_batch([t or "" for t in some.column(text).to_pylist()])
+                lists = every.lists()
                 yield _replaced(
                     some.drop_columns([text]),
-                    n_tokens=pa.array(list(map(len, every)), type=pa.int64()),
-                    ids_sha256=pa.array([sha(",".join(map(number.__getitem__, ids))) for ids in every], type=pa.string()),
-                    decoded_sha256=pa.array([sha(bpe.decode(ids)) for ids in every], type=pa.string()),
+                    n_tokens=pa.array(np.diff(every.starts), type=pa.int64()),
+                    ids_sha256=pa.array([sha(",".join(map(bpe.decimal.__getitem__, ids))) for ids in lists], type=pa.string()),
+                    decoded_sha256=pa.array([sha(bpe.decode(ids)) for ids in lists], type=pa.string()),
                 )
 
     schema = T.StructType([f for f in _with(df, **kinds).fields if f.name != text])
