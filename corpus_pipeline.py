@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, jaccard, langid, mixing, secret_scan
-from corvane.llm.common import shared_folder, small
+from corvane.llm.common import shared_folder, small, tidied
 from corvane.session import ship
 
 #: Rows of (id, decision) up to which a decision is broadcast to the texts.
@@ -27,7 +27,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ship(spark)
     model = langid.fit(docs)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    labelled = docs.mapInArrow(langid.labeller(model, docs.columns), f"{kinds}, lang_pred string, score double")
+    labelled = docs.mapInArrow(tidied(langid.labeller(model, docs.columns)), f"{kinds}, lang_pred string, score double")
     return labelled.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 

@@ -31,9 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from corvane.llm.common import tidied
+
 SHORT = 64
 #: Runs that a worker remembers; beyond, it forgets all of them.
-CACHE = 100_000
+CACHE = 60_000
 NONE = np.int64(1 << 40)
 
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -241,7 +243,7 @@ class ByteBpe:
         pieces.update([" " + keys[i] for i in plain])
         merged = self._merged(pieces)
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.cache = {}
         for i in plain:
             self.cache[keys[i]] = found[i] = merged[" " + keys[i]]
         for i, w in other:
@@ -284,7 +286,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
             for some in _runs(batch, text):
                 yield _replaced(some, **{ids: bpe.encode_batch([t or "" for t in some.column(text).to_pylist()]).arrow()})
 
-    return df.mapInArrow(run, _with(df, **{ids: T.ArrayType(T.IntegerType())}))
+    return df.mapInArrow(tidied(run), _with(df, **{ids: T.ArrayType(T.IntegerType())}))
 
 
 def tokenized(df: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -306,7 +308,7 @@ def tokenized(df: DataFrame, path: str | None = None, text: str = "text") -> Dat
                     lossless=pa.array([bpe.decode(ids) == t for ids, t in zip(every.lists(), texts, strict=True)], type=pa.bool_()),
                 )
 
-    return df.mapInArrow(run, T.StructType([f for f in _with(df, **kinds).fields if f.name != text]))
+    return df.mapInArrow(tidied(run), T.StructType([f for f in _with(df, **kinds).fields if f.name != text]))
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -318,7 +320,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str =
         for batch in batches:
             yield _replaced(batch, **{text: pa.array([bpe.decode([i for i in x or [] if i is not None]) for x in batch.column(ids).to_pylist()], type=pa.string())})
 
-    return df.mapInArrow(run, _with(df, **{text: T.StringType()}))
+    return df.mapInArrow(tidied(run), _with(df, **{text: T.StringType()}))
 
 
 def _runs(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
@@ -351,4 +353,4 @@ def round_trip(df: DataFrame, path: str | None = None, text: str = "text") -> Da
                 )
 
     schema = T.StructType([f for f in _with(df, **kinds).fields if f.name != text])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)

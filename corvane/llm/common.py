@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -89,13 +92,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
-    """A batch cut into runs of rows with about so many bytes of text, so that working arrays stay small."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19, rows: int = 2048):
+    """A batch cut into runs of at most so many rows with about so many bytes of text, so that working arrays stay small."""
     offsets = text_bytes(batch.column(column))[1]
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
-        end = min(max(end, start + 1), batch.num_rows)
+        end = min(max(end, start + 1), start + rows, batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
 
@@ -104,6 +107,24 @@ def binary_array(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, type=pa.binary())
 
 
+def tidied(run):
+    """An Arrow function that gives freed memory back when its task ends: workers are reused by later stages."""
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner
+
+
 U = np.uint64
 
 
@@ -124,7 +145,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         tables = []
         for base in (_BASE, _INVERSE):
             p = np.ones(size, dtype=np.uint64)

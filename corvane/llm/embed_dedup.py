@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import components, shared_folder, stored
+from corvane.llm.common import components, shared_folder, stored, tidied
 
 PASSES, WINDOW, KEY_BITS = 14, 24, 60
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -133,10 +133,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, passes: int = PASSES,
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound & finite, F.lit(False)))
     classes = stored(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), folder, "classes")
-    keyed = classes.select(F.col("rep").alias("vec_id"), "label", "embedding").mapInArrow(_keyed(passes), _ROWS)
+    keyed = classes.select(F.col("rep").alias("vec_id"), "label", "embedding").mapInArrow(tidied(_keyed(passes)), _ROWS)
     order = ["pass", "label", "dim", "key", "vec_id"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_windows(window, least), "a long, b long, part int, at long, pass int, label string, dim int, v binary")
+    found = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidied(_windows(window, least)), "a long, b long, part int, at long, pass int, label string, dim int, v binary")
     found = stored(found, folder, "windows")
     # A partition that holds the end of one pass and the start of the next counts in both.
     seams = found.where("part is not null").groupBy("pass").applyInArrow(_seams(window, least), "a long, b long")

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U, components, mix64, shared_folder, slices, small, stored, text_bytes, word_hashes, words
+from corvane.llm.common import U, components, mix64, shared_folder, slices, small, stored, text_bytes, tidied, word_hashes, words
 
 K = 5
 #: log2 of the counters that order shingles by frequency; 4 MB for each task.
@@ -114,7 +114,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("fine", pa.binary()), ("part", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
     seen: set[bytes] = set()
     for batch in batches:
-        for some in slices(batch, "text", 4 << 20):
+        for some in slices(batch, "text"):
             sets = shingle_sets(some.column("text"))
             digests = [digest(s) if len(s) else None for s in sets]
             new, fine = [], []
@@ -188,7 +188,7 @@ def _packer(sketch, buckets: int, percent: int):
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "tok", "times", "key", "n", "unit", "point"])
 
         for batch in batches:
-            for some in slices(batch, "text", 4 << 20):
+            for some in slices(batch, "text"):
                 for s in shingle_sets(some.column("text")):
                     n = len(s)
                     if not n or (d := digest(s)) in seen:
@@ -207,7 +207,7 @@ def _packer(sketch, buckets: int, percent: int):
                     units.append(unit)
                     points.append((-(-c // unit)).astype(np.uint8))
                     held += p
-                if held > 3_000_000:
+                if held > 1_000_000:
                     yield flush()
                     held = 0
         if toks:
@@ -410,7 +410,7 @@ def _verifier(percent: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Third pass: the whole set of each group member, once for each of its groups."""
     for batch in batches:
-        for some in slices(batch, "text", 1 << 20):
+        for some in slices(batch, "text"):
             sets = shingle_sets(some.column("text"))
             out: list[tuple] = []
             for s, rep, label, key, at in zip(sets, *(some.column(c).to_pylist() for c in ("doc_id", "label", "key", "at")), strict=True):
@@ -423,7 +423,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """rows: doc_id, label, key, leader, slice. The links that the groups' whole sets have, as (a, b)."""
     by_doc = rows.groupBy("doc_id", "label", "key").agg(F.collect_set(F.struct("leader", "slice")).alias("at"))
-    sets = docs.select("doc_id", "text").join(small(by_doc, BROADCAST_ROWS), "doc_id").mapInArrow(_sets, "leader long, slice int, rep long, key long, label long, set binary")
+    sets = docs.select("doc_id", "text").join(small(by_doc, BROADCAST_ROWS), "doc_id").mapInArrow(tidied(_sets), "leader long, slice int, rep long, key long, label long, set binary")
     return sets.groupBy("leader", "slice").applyInArrow(_verifier(percent), "a long, b long")
 
 
@@ -440,13 +440,13 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_folder(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stored(docs.mapInArrow(_first_pass, "doc_id long, n long, digest binary, fine binary, part int, chunk int, counts binary"), folder, "sets")
+    first = stored(docs.mapInArrow(tidied(_first_pass), "doc_id long, n long, digest binary, fine binary, part int, chunk int, counts binary"), folder, "sets")
     sketch = spark.sparkContext.broadcast(_sketch(first))
     rows = first.where("counts is null").select("doc_id", "n", "digest")
     total = rows.agg(F.sum(F.expr(f"n - (n * {percent} + 99) div 100 + 1"))).first()[0] or 0
     buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET)))
 
-    packed = docs.mapInArrow(_packer(sketch, buckets, percent), "bucket int, tok binary, times binary, key binary, n binary, unit binary, point binary")
+    packed = docs.mapInArrow(tidied(_packer(sketch, buckets, percent)), "bucket int, tok binary, times binary, key binary, n binary, unit binary, point binary")
     grouped = stored(packed.groupBy("bucket").applyInArrow(_grouper(percent), "leader long, member long").distinct(), folder, "groups")
     sizes = _slices(grouped)
     together = grouped.unionByName(grouped.select("leader", F.col("leader").alias("member")).distinct()).join(sizes.where("slices = 1").select("leader"), "leader")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U, bounded_sample, shared_folder, slices, small_fold, stored
+from corvane.llm.common import U, bounded_sample, shared_folder, slices, small_fold, stored, tidied
 
 SAMPLE = 4_000
 #: log2 of the number of hashed n-grams.
@@ -133,7 +133,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("tf", pa.binary()), ("gram", pa.int32()), ("df", pa.int64())])
     df, docs = np.zeros(1 << BITS, dtype=np.int64), 0
     for batch in batches:
-        for some in slices(batch, "text"):
+        for some in slices(batch, "text", rows=256):
             texts = some.column("text").to_pylist()
             hashes, owners, total, letters = ngrams(texts)
             seen = np.zeros((len(texts), 1 << BITS), dtype=bool)
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     fold = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~small_fold(F.col("doc_id"), 5, 0))
     ids = F.broadcast(bounded_sample(fold.select("doc_id").distinct(), "doc_id", sample).withColumn("sampled", F.lit(True)))
     rows = fold.join(ids, "doc_id", "left").withColumn("sampled", F.coalesce("sampled", F.lit(False)))
-    rows = stored(rows.mapInArrow(_counts, "doc_id long, lang string, at binary, tf binary, gram int, df long"), shared_folder(spark), "ngrams")
+    rows = stored(rows.mapInArrow(tidied(_counts), "doc_id long, lang string, at binary, tf binary, gram int, df long"), shared_folder(spark), "ngrams")
     df = rows.where("gram is not null").groupBy("gram").agg(F.sum("df").alias("df")).toPandas()
     some = rows.where("gram is null").toPandas().sort_values(["doc_id", "lang", "at"])
     if not len(some):
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def languages(docs: DataFrame, model: Model | None = None, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of docs; the model is fitted on docs unless given."""
     model = model or fit(docs, sample)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(labeller(model, []), "doc_id long, lang_pred string, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(labeller(model, [])), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", small_fold(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
@@ -188,7 +188,7 @@ def labeller(model: Model, keep: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", rows=256):
                 lang, score = shared["model"].predict(some.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(c) for c in (keep or ["doc_id"])] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(keep or ["doc_id"]), "lang_pred", "score"])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import shared_folder, slices, stored, text_bytes, words
+from corvane.llm.common import shared_folder, slices, stored, text_bytes, tidied, words
 
 #: Patterns that may reach the driver.
 PATTERNS = 100_000
@@ -46,7 +46,7 @@ def sized(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("sources"), pa.array(size, pa.int64())], names=["doc_id", "sources", "size"])
 
     sources = F.array_sort(F.array_distinct("source")) if several else F.array("source")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), sources.alias("sources"), "text").mapInArrow(run, "doc_id long, sources array<string>, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), sources.alias("sources"), "text").mapInArrow(tidied(run), "doc_id long, sources array<string>, size long")
 
 
 def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:

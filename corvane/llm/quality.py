@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER, U, labelled, mix64, slices, small_fold, text_bytes, word_hashes, words
+from corvane.llm.common import U, LOWER, labelled, mix64, slices, small_fold, text_bytes, tidied, word_hashes, words
 
 SAMPLE = 12_000
 BINS, DEPTH, TREES, RATE = 64, 4, 80, 0.15
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
                 x = statistics(some.column("text"))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
-    rows = labelled(docs, labels, "quality", 4, 2, sample).mapInArrow(run, "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
+    rows = labelled(docs, labels, "quality", 4, 2, sample).mapInArrow(tidied(run), "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(-1, len(NAMES))
     return Trees.fit(x, rows["label"].to_numpy(dtype=np.float64))
 
@@ -176,5 +176,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
                 score = model.score(statistics(some.column("text")))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, score double, predicted int")
     return scored.select("doc_id", small_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import slices
+from corvane.llm.common import slices, tidied
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -99,7 +99,7 @@ def secrets(docs: DataFrame, path: str | None = None, ratio: float = RATIO) -> D
                     out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def redacted(docs: DataFrame, path: str | None = None, ratio: float = RATIO, mark: str = "[SECRET]") -> DataFrame:
@@ -123,7 +123,7 @@ def redacted(docs: DataFrame, path: str | None = None, ratio: float = RATIO, mar
                     out.append("".join([*parts, text[at:]]) if spans else text)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else some.column(c) for c in names], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def with_digests(found: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U, mix64, shared_folder, slices, stored, text_bytes, word_hashes, words
+from corvane.llm.common import U, mix64, shared_folder, slices, stored, text_bytes, tidied, word_hashes, words
 
 BITS = 128
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
@@ -65,7 +65,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             for some in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([x.tobytes().hex() for x in fingerprints(some.column("text"))], pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, fingerprint string")
 
 
 def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
@@ -147,6 +147,6 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    found = stored(rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(_neighbours, f"{schema}, part int, last boolean, text string"), shared_folder(spark), "prints")
+    found = stored(rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(tidied(_neighbours), f"{schema}, part int, last boolean, text string"), shared_folder(spark), "prints")
     seams = found.where("part is not null").select("doc_id", "part", "last", "text").groupBy().applyInArrow(_seams, schema)
     return found.where("part is null").select([n for n, _ in _RESULT]).unionByName(seams)

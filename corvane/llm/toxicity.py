@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import NOT_ALNUM, U, labelled, mix64, slices, small_fold, span_hashes, text_bytes, words
+from corvane.llm.common import U, NOT_ALNUM, labelled, mix64, slices, small_fold, span_hashes, text_bytes, tidied, words
 
 SAMPLE = 8_000
 #: log2 of the feature space.
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Sparse:
                 cuts = np.searchsorted(of[order], np.arange(1, n))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("label"), pa.array([np.unique(d).tobytes() for d in np.split(x[order], cuts)], pa.binary())], names=["doc_id", "label", "x"])
 
-    rows = labelled(docs, labels, "toxic", 5, 0, sample).mapInArrow(run, "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
+    rows = labelled(docs, labels, "toxic", 5, 0, sample).mapInArrow(tidied(run), "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
     return Sparse.fit([np.frombuffer(x, dtype=np.uint32) for x in rows["x"]], rows["label"].to_numpy(dtype=np.float64))
 
 
@@ -120,5 +120,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
                 score = model.score(*features(some.column("text")))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, score double, predicted int")
     return scored.select("doc_id", small_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
