@@ -14,10 +14,12 @@ def ship(spark: SparkSession) -> SparkSession:
     """Sends the package's source to the executors, once for each Spark application.
 
     Also turns off the partitioning that Spark 4.1 claims for unions: when adaptive execution coalesces the
-    sides differently, such a union fails with "Can't zip RDDs with unequal numbers of partitions".
+    sides differently, such a union fails with "Can't zip RDDs with unequal numbers of partitions". Arrow
+    batches are kept to 1,000 rows, since rows hold whole texts.
     """
     context = spark.sparkContext
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if getattr(context, "_corvane_shipped", False):
         return spark
     root = Path(__file__).resolve().parent
