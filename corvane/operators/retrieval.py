@@ -204,7 +204,7 @@ def overlap_score(chunks: DataFrame, query: str) -> DataFrame:
     return chunks.withColumn("score", overlap(tokens("text", False), tokens(F.lit(query), False)))
 
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 24, bits: int = 6, seed: int = 17) -> DataFrame:
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 32, bits: int = 5, seed: int = 17) -> DataFrame:
     """Like dense_search, over candidates that share a signed random projection bucket with the query in one of several tables."""
     planes = np.random.default_rng(seed)
     width = len((vectors.select("vector").where("vector is not null").first() or [[]])[0])
