@@ -1,13 +1,14 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by an exact join of packed blocks.
 
-Each pass hashes vectors to the signs of random projections, orders them
-lexicographically by the concatenated signs, and compares every vector with its
-next ``WINDOW`` neighbours; pairs of cosine at least the threshold are links.
-Links of all passes are united and their components found by joins.
+Vectors of one label and length are scaled to length 1, sorted by a fixed
+projection and packed into blocks. Two vectors that link are at most
+sqrt(2 - 2 least) apart, and so are their projections: only pairs of blocks
+whose ranges of projections come that close are compared, as products of
+matrices. No link is missed, however dense a group is.
 
-Equal vectors of a label are one row first, so groups of copies of any size fill
-no window. Passes are partitions of one range-partitioned table; the first and
-last rows of its partitions meet once more, so that no neighbours are missed.
+A pair of blocks gives the number of links of each row, and edges that connect
+the same rows as all its links do, not the links. Numbers are summed up over the
+pairs; components are found by joins. Equal vectors of a label are one row first.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and rows without label or id, link with nothing; vectors of
@@ -23,108 +24,128 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import components, shared_folder, stored, tidied
-
-PASSES, WINDOW, KEY_BITS = 14, 24, 60
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_ROWS = "pass int, label string, dim int, key long, vec_id long, v binary"
-
-
-def _projections(dim: int, number: int) -> np.ndarray:
-    return np.random.default_rng([dim, number]).standard_normal((dim, KEY_BITS))
-
-
-def _keyed(passes: int):
-    """Every vector once a pass, with its key: the signs of its projections, the first sign highest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = (np.int64(1) << np.arange(KEY_BITS - 1, -1, -1)).astype(np.int64)
-        for batch in batches:
-            ids, labels, vectors = (batch.column(c).to_pylist() for c in ("vec_id", "label", "embedding"))
-            dims = np.array([len(v) for v in vectors])
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                x = np.array([vectors[i] for i in at], dtype=np.float64)
-                raw = pa.array([r.tobytes() for r in x], pa.binary())
-                for number in range(passes):
-                    key = ((x @ _projections(dim, number)) > 0) @ place
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, np.int32)), pa.array([labels[i] for i in at], pa.string()), pa.array(np.full(len(at), dim, np.int32)), pa.array(key, pa.int64()), pa.array([ids[i] for i in at], pa.int64()), raw], names=["pass", "label", "dim", "key", "vec_id", "v"])
-
-    return run
-
-
-def _linked(rows: list[tuple], old: int, window: int, least: float) -> set[tuple[int, int]]:
-    """Links between rows (group, vec_id, raw) at most window apart, the second of each not among the first old rows."""
-    out: set[tuple[int, int]] = set()
-    start = 0
-    while start < len(rows):
-        end = start + 1
-        while end < len(rows) and rows[end][0] == rows[start][0]:
-            end += 1
-        if end - start > 1 and end > old:
-            x = np.frombuffer(b"".join(r[2] for r in rows[start:end]), dtype=np.float64).reshape(end - start, -1)
-            ids = np.array([r[1] for r in rows[start:end]])
-            norm = np.sqrt((x * x).sum(axis=1))
-            for gap in range(1, min(window, end - start - 1) + 1):
-                ok = (x[gap:] * x[:-gap]).sum(axis=1) / (norm[gap:] * norm[:-gap]) >= least
-                ok[: max(0, old - start - gap)] = False
-                a, b = ids[:-gap][ok], ids[gap:][ok]
-                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-        start = end
-    return out
-
-
-def _rows(batch: pa.RecordBatch) -> list[tuple]:
-    c = {n: batch.column(n).to_pylist() for n in ("pass", "label", "dim", "vec_id", "v")}
-    return [((p, lab, d), i, v) for p, lab, d, i, v in zip(c["pass"], c["label"], c["dim"], c["vec_id"], c["v"], strict=True)]
-
-
-def _windows(window: int, least: float):
-    """A sorted partition: its links, and its first and last rows for the seams."""
+from corvane.llm.common import components, shared_folder, small, stored, tidied
+
+#: Numbers in a block of vectors, and rows of one product of matrices.
+BLOCK_NUMBERS, STEP = 1 << 15, 256
+#: Descriptions of blocks up to which they are broadcast.
+BROADCAST_BLOCKS = 100_000
+_ROWS = "rep long, copies long, label string, dim int, at double, v binary"
+_BLOCKS = "block long, label string, dim int, low double, high double, ids binary, copies binary, x binary"
+
+
+def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of length 1 as bytes, with their projection on a fixed direction of their space."""
+    for batch in batches:
+        vectors = batch.column("embedding").to_pylist()
+        dims = np.array([len(v) for v in vectors])
+        for dim in np.unique(dims).tolist():
+            rows = np.flatnonzero(dims == dim)
+            x = np.array([vectors[i] for i in rows], dtype=np.float64)
+            x /= np.abs(x).max(axis=1)[:, None]
+            x /= np.sqrt((x * x).sum(axis=1))[:, None]
+            way = np.random.default_rng(dim).standard_normal(dim)
+            at, some = x @ (way / np.sqrt(way @ way)), batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([some.column("rep"), some.column("copies"), some.column("label"), pa.array(np.full(len(rows), dim, np.int32)), pa.array(at), pa.array([r.tobytes() for r in x], pa.binary())], names=["rep", "copies", "label", "dim", "at", "v"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted partition as blocks of rows of one label and length."""
+    from pyspark import TaskContext
+
+    number, rows = TaskContext.get().partitionId() << 32, []
+
+    def block() -> pa.RecordBatch:
+        ids, copies = (np.array([r[k] for r in rows], dtype=np.int64).tobytes() for k in ("rep", "copies"))
+        values = [number, rows[0]["label"], rows[0]["dim"], rows[0]["at"], rows[-1]["at"], ids, copies, b"".join(r["v"] for r in rows)]
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["block", "label", "dim", "low", "high", "ids", "copies", "x"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and ((row["label"], row["dim"]) != (rows[0]["label"], rows[0]["dim"]) or len(rows) * row["dim"] >= BLOCK_NUMBERS):
+                yield block()
+                number, rows = number + 1, []
+            rows.append(row)
+    if rows:
+        yield block()
+
+
+def _forest(near: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows and columns of true cells that connect the same rows and columns as all true cells do."""
+    if np.count_nonzero(near) <= sum(near.shape):
+        at = np.nonzero(near)
+        return [at[0]], [at[1]]
+    left, free, a, b = near.any(axis=1), np.ones(near.shape[1], dtype=bool), [], []
+    while left.any():
+        edge = np.flatnonzero(left)[:1]
+        left[edge] = False
+        while len(edge):
+            hit = near[edge]
+            new = np.flatnonzero(hit.any(axis=0) & free)
+            free[new] = False
+            a.append(edge[hit[:, new].argmax(axis=0)])
+            b.append(new)
+            back = near[:, new]
+            edge = np.flatnonzero(back.any(axis=1) & left)
+            left[edge] = False
+            a.append(edge)
+            b.append(new[back[edge].argmax(axis=1)] if len(edge) else edge)
+    return a, b
+
+
+def _compared(least: float):
+    """Numbers of links (rep, others) and edges (a, b) of each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        names = ["a", "b", "part", "at", "pass", "label", "dim", "v"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.binary()]
-        part, seen, head, tail = TaskContext.get().partitionId(), 0, [], []
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                rows = _rows(batch.slice(i, 4096))
-                if len(head) < window:
-                    head += [(seen + j, r) for j, r in enumerate(rows[: window - len(head)])]
-                found = sorted(_linked(tail + rows, len(tail), window, least))
-                seen += len(rows)
-                tail = (tail + rows)[-window:]
-                if found:
-                    k = len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kinds[0]), pa.array([f[1] for f in found], kinds[1])] + [pa.nulls(k, t) for t in kinds[2:]], names=names)
-        ends = head + [(seen - len(tail) + j, r) for j, r in enumerate(tail) if seen - len(tail) + j >= len(head)]
-        if ends:
-            columns = [[r[1] for _, r in ends], [None] * len(ends), [part] * len(ends), [i for i, _ in ends], [r[0][0] for _, r in ends], [r[0][1] for _, r in ends], [r[0][2] for _, r in ends], [r[2] for _, r in ends]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-    return run
-
-
-def _seams(window: int, least: float):
-    """The ends of all partitions of a pass, in order: links between rows of different partitions."""
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.sort_by([("part", "ascending"), ("at", "ascending")])
-        parts = rows.column("part").to_pylist()
-        every = _rows(pa.RecordBatch.from_pydict({n: rows.column("a" if n == "vec_id" else n).combine_chunks() for n in ("pass", "label", "dim", "vec_id", "v")}))
-        found: set[tuple[int, int]] = set()
-        cuts = [i for i in range(1, len(parts)) if parts[i] != parts[i - 1]]
-        for c in cuts:
-            found |= _linked(every[max(0, c - window) : c + window], 0, window, least)
-        pairs = sorted(found)
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())}, schema=_PAIRS)
+            for i in range(batch.num_rows):
+                r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                ids, others = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ids2"], np.int64)
+                copies, copies2 = np.frombuffer(r["copies"], np.int64), np.frombuffer(r["copies2"], np.int64)
+                x, y = np.frombuffer(r["x"]).reshape(len(ids), -1), np.frombuffer(r["x2"]).reshape(len(others), -1)
+                same, mine, theirs, a, b = r["block"] == r["block2"], np.zeros(len(ids), np.int64), np.zeros(len(others), np.int64), [], []
+                for s in range(0, len(ids), STEP):
+                    near = x[s : s + STEP] @ y.T >= least
+                    if same:
+                        near[np.arange(len(near)), np.arange(s, s + len(near))] = False
+                    if near.any():
+                        mine[s : s + STEP] = near @ copies2
+                        theirs += copies[s : s + STEP] @ near
+                        p, q = _forest(near)
+                        a += [ids[s + k] for k in p]
+                        b += [others[k] for k in q]
+                numbers = [(ids, mine)] if same else [(ids, mine), (others, theirs)]
+                reps, count = (np.concatenate([n[k][n[1] > 0] for n in numbers]) for k in (0, 1))
+                a, b = (np.concatenate([np.zeros(0, np.int64), *k]) for k in (a, b))
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                edges = np.unique(np.stack([a, b], axis=1)[a < b], axis=0)
+                if len(reps):
+                    gap, gap2 = pa.nulls(len(edges), pa.int64()), pa.nulls(len(reps), pa.int64())
+                    columns = [[pa.array(reps), gap], [pa.array(count), gap], [gap2, pa.array(edges[:, 0])], [gap2, pa.array(edges[:, 1])]]
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["rep", "others", "a", "b"])
 
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.98, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def _links(classes: DataFrame, folder: str, least: float) -> DataFrame:
+    """(rep, others) and (a, b) of all pairs of blocks of classes (rep, copies, label, embedding)."""
+    rows = classes.mapInArrow(tidied(_projected), _ROWS)
+    order = ["label", "dim", "at", "rep"]
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidied(_packed), _BLOCKS), folder, "blocks")
+    known = stored(blocks.select("block", "label", "dim", "low", "high"), folder, "ranges")
+    reach = max(0.0, 2 - 2 * least) ** 0.5 + 1e-6
+    other = known.select([F.col(c).alias(c + "2") for c in known.columns])
+    close = (F.col("low2") <= F.col("high") + reach) & (F.col("low") <= F.col("high2") + reach)
+    pairs = known.join(small(other, BROADCAST_BLOCKS), (F.col("label") == F.col("label2")) & (F.col("dim") == F.col("dim2")) & (F.col("block") <= F.col("block2")) & close)
+    pairs = stored(pairs.select("block", "block2").repartition(parts, "block", "block2"), folder, "pairs")
+    first = blocks.select("block", "ids", "copies", "x")
+    both = pairs.join(first.hint("merge"), "block").join(first.select([F.col(c).alias(c + "2") for c in first.columns]).hint("merge"), "block2")
+    return stored(both.mapInArrow(tidied(_compared(least)), "rep long, others long, a long, b long"), folder, "links")
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding: array, label)."""
     spark = vectors.sparkSession
     folder = shared_folder(spark)
@@ -133,17 +154,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, passes: int = PASSES,
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound & finite, F.lit(False)))
     classes = stored(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), folder, "classes")
-    keyed = classes.select(F.col("rep").alias("vec_id"), "label", "embedding").mapInArrow(tidied(_keyed(passes)), _ROWS)
-    order = ["pass", "label", "dim", "key", "vec_id"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidied(_windows(window, least)), "a long, b long, part int, at long, pass int, label string, dim int, v binary")
-    found = stored(found, folder, "windows")
-    # A partition that holds the end of one pass and the start of the next counts in both.
-    seams = found.where("part is not null").groupBy("pass").applyInArrow(_seams(window, least), "a long, b long")
-    links = stored(found.where("part is null").select("a", "b").unionByName(seams).distinct(), folder, "links")
-    labels = components(links, folder).select(F.col("node").alias("rep"), F.col("label").alias("smallest"))
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+    links = _links(classes, folder, least)
+    labels = components(links.where("a is not null").select("a", "b"), folder).select(F.col("node").alias("rep"), F.col("label").alias("smallest"))
+    others = links.where("rep is not null").groupBy("rep").agg(F.sum("others").alias("others"))
     named = classes.join(others, "rep", "left").join(labels, "rep", "left")
     named = named.select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "rep").alias("component_id"))
     out = rows.where("sound").join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")

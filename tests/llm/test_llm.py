@@ -149,6 +149,28 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(301, 306)) and got[None].component_id is None
 
 
+def test_dense_groups_of_vectors_lose_no_link(spark):
+    """Groups far larger than any window, with noise at the least cosine and almost none."""
+    r = np.random.default_rng(4)
+    rows = []
+    for label, (n, noise) in enumerate([(1200, 0.0173), (900, 1e-5), (400, 1.0)]):
+        center = r.standard_normal(64) / 8
+        rows += [(len(rows) + i, (center + noise * r.standard_normal(64)).tolist(), label) for i in range(n)]
+    rows += [(len(rows) + i, rows[i][1], 0) for i in range(3)]
+    got = {x.vec_id: x for x in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x, lab = np.array([v for _, v, _ in rows]), np.array([k for _, _, k in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.98) & (lab[:, None] == lab[None, :])
+    assert 100 < near[0].sum() < 1203 and [got[i].n_links for i in range(len(rows))] == (near.sum(axis=1) - 1).tolist()
+    component = np.arange(len(rows))
+    while True:
+        after = np.array([component[row].min() for row in near])
+        if (after == component).all():
+            break
+        component = after
+    assert [got[i].component_id for i in range(len(rows))] == component.tolist()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
