@@ -156,7 +156,7 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, repeats: int =
     known = F.broadcast(spark.createDataFrame([(s, int(z), float(t)) for s, z, t in by_source], "s string, source_size long, target double"))
     # Where the remainder falls: running sums over the digits of a pattern, 16^DIGITS rows at most.
     runs = by_digit.withColumn("upto", F.sum("size").over(Window.partitionBy("sources").orderBy("digit")))
-    cut = runs.join(flows, F.col("sources").eqNullSafe(F.col("p"))).where("upto > rest and upto - size < rest").select(F.col("p").alias("cp"), F.col("digit").alias("cd"), (F.col("rest") - F.col("upto") + F.col("size")).alias("left"))
+    cut = runs.join(flows, F.col("sources").eqNullSafe(F.col("p"))).where("upto >= rest and upto - size < rest and rest > 0").select(F.col("p").alias("cp"), F.col("digit").alias("cd"), (F.col("rest") - F.col("upto") + F.col("size")).alias("left"))
     rows = base.join(flows, F.col("sources").eqNullSafe(F.col("p"))).join(F.broadcast(cut), F.col("sources").eqNullSafe(F.col("cp")), "left")
     edge = rows.where("digit = cd").withColumn("upto", F.sum("size").over(Window.partitionBy("sources", "digit").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
     whole = F.col("cd").isNotNull() & (F.col("digit") < F.col("cd")) | F.col("cd").isNull() & (F.col("rest") > 0)

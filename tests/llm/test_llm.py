@@ -115,6 +115,22 @@ def test_mix_flow():
     assert mixing.targets([10, 100, 100], [5.0, 2.0, 1.0], 1.5, 2.0) == [20.0, 196.66666666666666, 98.33333333333333]
 
 
+def test_mix_of_equal_sizes_equals_sql(spark):
+    """Sums of equal sizes meet the remainder exactly at the end of a digit; a source of one digit too."""
+    duckdb = pytest.importorskip("duckdb")
+    sizes = [(i, 10, f"s{i % 3}") for i in range(180)] + [(1000 + i, 1, None) for i in range(6)] + [(2000, 0, "s3"), (2001, 7, "s4"), (2001, 7, "s4"), (None, 7, "s4")]
+    rows = [(i, "w " * n, s) for i, n, s in sizes]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = con.execute(mixing.SQL).fetchall()
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).select(names).collect()
+    code = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    plain = lambda rs: [(*r[:3], round(r[3], 6), r[4]) for r in sorted(map(tuple, rs), key=code)]
+    assert plain(got) == plain(want)
+
+
 def test_edited_text_and_radius(spark):
     texts = ["abcdefghi", "12", "", "XYZ XYZ"]
     rows = {x.doc_id: x for x in simhash.edited_fingerprints(docs(spark, texts)).collect()}
