@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, jaccard, langid, mixing, secret_scan
-from corvane.llm.common import shared_folder, small, tidied
+from corvane.llm.common import shared_folder, small, stored, tidied
 from corvane.session import ship
 
 #: Rows of (id, decision) up to which a decision is broadcast to the texts.
 BROADCAST_ROWS = 1_000_000
 #: A language below this score is no language.
 LEAST_SCORE = 0.5
+#: The column that numbers rows.
+ROW = "corvane_row"
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +33,26 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return labelled.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row (ROW): the id, or where ids are null or repeated a new one, kept in the shared folder."""
+    ids = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if ids.limit(1).count() == 0:
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), shared_folder(docs.sparkSession), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates; rows without an id stay."""
+    """Keeps the document of smallest id of each group of near-duplicates; rows without an id stay, and so do different documents of one id."""
     ship(spark)
-    found = jaccard.jaccard_components(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(small(gone, BROADCAST_ROWS), "doc_id", "left_anti")
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.limit(1).count() == 0:
-        return kept.select(docs.columns)
-    twice = small(twice, BROADCAST_ROWS)
-    first = kept.join(twice, "doc_id", "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))).where("row = 1")
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+    rows = numbered(docs)
+    found = jaccard.jaccard_components(rows.select(F.when(F.col("doc_id").isNotNull(), F.col(ROW)).alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias(ROW), "component_id").where(f"{ROW} is not null")
+    first = groups.where(f"component_id <> {ROW}").select("component_id").distinct()
+    groups = groups.join(small(first, BROADCAST_ROWS), "component_id", "left_semi")
+    named = groups.join(rows.select(ROW, "doc_id", F.xxhash64("text", "source", "lang").alias("hash")), ROW)
+    least = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash", ROW)).alias("x")).select(F.col(f"x.{ROW}").alias(ROW))
+    gone = groups.select(ROW).join(small(least, BROADCAST_ROWS), ROW, "left_anti")
+    return rows.join(small(gone, BROADCAST_ROWS), ROW, "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +64,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
     ship(spark)
-    mix = mixing.mixed(docs).where("taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("times"))
-    mix = mix.groupBy("doc_id").agg(F.max("times").alias("times"))
-    taken = docs.join(small(mix, BROADCAST_ROWS), "doc_id")
+    rows = numbered(docs)
+    mix = mixing.mixed(rows, row=ROW).where("taken > 0").select(ROW, F.expr("cast(taken div size as int)").alias("times"))
+    taken = rows.join(small(mix, BROADCAST_ROWS), ROW)
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(docs.columns)
 
 

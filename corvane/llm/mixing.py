@@ -35,18 +35,19 @@ PATTERNS = 100_000
 DIGITS = 3
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, sources and size (words of white space's complement) of each row."""
+def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, sources, size (words of white space's complement) and row of each row: the column row (long), or null."""
     several = dict(docs.dtypes)["source"].startswith("array")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text"):
                 size = np.diff(words(*text_bytes(some.column("text")))[2])
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("sources"), pa.array(size, pa.int64())], names=["doc_id", "sources", "size"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("sources"), pa.array(size, pa.int64()), some.column("row")], names=["doc_id", "sources", "size", "row"])
 
     sources = F.array_sort(F.array_distinct("source")) if several else F.array("source")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), sources.alias("sources"), "text").mapInArrow(tidied(run), "doc_id long, sources array<string>, size long")
+    row = F.col(row) if row else F.lit(None)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), sources.alias("sources"), "text", row.cast("long").alias("row")).mapInArrow(tidied(run), "doc_id long, sources array<string>, size long, row long")
 
 
 def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -141,15 +142,16 @@ def plan_mix(totals: DataFrame, share: float = 1.5, most: float = 2.0, repeats:
     return list(zip(sources, sizes, target, strict=True)), [(list(p), sum(f), size) for (p, size), f in zip(rows, flow, strict=True)]
 
 
-def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, repeats: int = 2, seed: str = "") -> DataFrame:
+def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, repeats: int = 2, seed: str = "", row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of each row of docs (doc_id, text, source: string or array of strings).
 
     For a document of several sources, source_size and target are those of its first source.
+    row names a column of distinct numbers, which the result then has too: ids may be null or repeated.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    base = stored(sized(docs).withColumn("h", order), folder, "sizes").withColumn("digit", F.substring("h", 1, DIGITS))
+    base = stored(sized(docs, row).withColumn("row", F.coalesce("row", F.monotonically_increasing_id())).withColumn("h", order), folder, "sizes").withColumn("digit", F.substring("h", 1, DIGITS))
     by_digit = stored(base.groupBy("sources", "digit").agg(F.sum("size").alias("size")), folder, "digits")
     by_source, by_pattern = plan_mix(by_digit.groupBy("sources").agg(F.sum("size").alias("size")), share, most, repeats)
     flows = F.broadcast(spark.createDataFrame([(p, f // s if s else 0, f % s if s else 0) for p, f, s in by_pattern], "p array<string>, rounds long, rest long"))
@@ -158,18 +160,18 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, repeats: int =
     runs = by_digit.withColumn("upto", F.sum("size").over(Window.partitionBy("sources").orderBy("digit")))
     cut = runs.join(flows, F.col("sources").eqNullSafe(F.col("p"))).where("upto >= rest and upto - size < rest and rest > 0").select(F.col("p").alias("cp"), F.col("digit").alias("cd"), (F.col("rest") - F.col("upto") + F.col("size")).alias("left"))
     rows = base.join(flows, F.col("sources").eqNullSafe(F.col("p"))).join(F.broadcast(cut), F.col("sources").eqNullSafe(F.col("cp")), "left")
-    edge = rows.where("digit = cd").withColumn("upto", F.sum("size").over(Window.partitionBy("sources", "digit").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = rows.where("digit = cd").withColumn("upto", F.sum("size").over(Window.partitionBy("sources", "digit").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)))
     whole = F.col("cd").isNotNull() & (F.col("digit") < F.col("cd")) | F.col("cd").isNull() & (F.col("rest") > 0)
-    names = ["doc_id", "sources", "size", "h", "rounds", "rest", "more"]
+    names = ["doc_id", "sources", "size", "h", "row", "rounds", "rest", "more"]
     taken = rows.where("cd is null or digit <> cd").withColumn("more", whole).select(names).unionByName(edge.withColumn("more", F.col("upto") <= F.col("left")).select(names))
     taken = stored(taken, folder, "taken")
     gaps = taken.groupBy("sources").agg((F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("gap")).select(F.col("sources").alias("gp"), "gap")
     fits = taken.where("not more and size > 0").join(F.broadcast(gaps), F.col("sources").eqNullSafe(F.col("gp"))).where("size <= gap")
-    last = fits.groupBy("gp").agg(F.min(F.struct((-F.col("size")).alias("size"), "h", "doc_id")).alias("x")).select(F.col("gp").alias("lp"), F.col("x.h").alias("lh"), F.col("x.doc_id").alias("lid"), (-F.col("x.size")).alias("lsize"))
+    last = fits.groupBy("gp").agg(F.min(F.struct((-F.col("size")).alias("size"), "h", "doc_id", "row")).alias("x")).select(F.col("gp").alias("lp"), F.col("x.row").alias("last"))
     out = taken.join(F.broadcast(last), F.col("sources").eqNullSafe(F.col("lp")), "left")
-    extra = F.coalesce(~F.col("more") & (F.col("h") == F.col("lh")) & F.col("doc_id").eqNullSafe(F.col("lid")) & (F.col("size") == F.col("lsize")), F.lit(False))
+    extra = F.coalesce(F.col("row") == F.col("last"), F.lit(False))
     out = out.withColumn("taken", F.col("size") * (F.col("rounds") + (F.col("more") | extra).cast("long"))).withColumn("source", F.col("sources")[0])
-    return out.join(known, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return out.join(known, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "taken", *([F.col("row").alias(row)] if row else []))
 
 
 #: DuckDB SQL for the rows of op6.

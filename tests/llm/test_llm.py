@@ -187,6 +187,26 @@ def test_dense_groups_of_vectors_lose_no_link(spark):
     assert [got[i].component_id for i in range(len(rows))] == component.tolist()
 
 
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    text = lambda n: " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+    a, b, c, d = (text(40) for _ in range(4))
+    rows = [(5, a, "s"), (5, b, "s"), (5, a, "t"), (3, c, "s"), (7, c + " more", "s"), (5, c, "s"), (None, d, "s"), (None, d, "s"), (9, a + " more", "s")]
+    table = spark.createDataFrame([(i, x, "en", s, len(x)) for i, x, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (5, b), (3, c), (None, d), (None, d)], key=str)
+
+    rows = [(None if i % 2 else i // 4, text(10 + i % 3), f"s{i % 3}") for i in range(90)]
+    table = spark.createDataFrame([(i, x, "en", s, len(x)) for i, x, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    taken = {x["source"]: x["sum(taken)"] for x in mixing.mixed(table).groupBy("source").sum("taken").collect()}
+    out = corpus_pipeline.mix_sources(spark, table, "").collect()
+    words = {s: sum(len(x.text.split()) for x in out if x.source == s) for s in taken}
+    assert any(x.doc_id is None for x in out) and {(x.doc_id, x.text, x.source) for x in out} <= set(rows)
+    assert words == taken
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
