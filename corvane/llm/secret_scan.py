@@ -2,11 +2,11 @@
 
 Base spans come from three patterns (an assignment to a secret's name, an access
 key, a run of hex digits). The token-efficiency test adds ``random`` spans: a
-candidate is a run of key characters with letters and digits, long enough, that
+candidate is a run of key characters outside the base spans, long enough, that
 is no known digest or identifier (hex digests of usual lengths, UUIDs, numbers,
 dates, words joined by marks); it counts if its characters per token under the
-tiktoken vocabulary are at most ``RATIO``. Candidates that overlap a base span
-add nothing.
+tiktoken vocabulary are at most ``RATIO``. A run that a base span covers in part
+is tested in the parts that are left.
 
 Defined results: null and empty texts have no spans; positions are code points,
 ends exclusive; rows keep null ids and repeated rows.
@@ -31,10 +31,12 @@ _NAME = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run is maximal, so this finds the runs of [0-9a-f]+ that are long enough.
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Key characters around a digit: letters alone are words.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.ASCII)
+LEAST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}", re.ASCII)
 RATIO = 2.0
-_KNOWN = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_/+=-]+|[A-Za-z]*([_/-]+[A-Za-z]*|[_/-]+[0-9]+)*")
+#: A word, or several in camel case.
+_WORD = r"(?:[A-Z]?[a-z]{1,19}(?:[A-Z][a-z]{2,19})*|[A-Z]{1,19})"
+_KNOWN = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_/+=-]+|" + f"{_WORD}?([_/-]+({_WORD}|[0-9]+)?)+")
 _encoders: dict[str, object] = {}
 
 
@@ -69,13 +71,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def random_spans(text: str, base: list[tuple[int, int, int]], encoder, ratio: float = RATIO) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
-        s, a, b = m[0], m.start(), m.end()
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or _KNOWN.fullmatch(s):
-            continue
-        if any(x < b and a < y for x, _, y in base):
-            continue
-        if len(s) <= ratio * len(encoder.encode_ordinary(s)):
-            out.append((a, 3, b))
+        at, parts = m.start(), []
+        for x, _, y in base:
+            if x < m.end() and y > at:
+                parts.append((at, x))
+                at = y
+        for a, b in [*parts, (at, m.end())]:
+            s = text[a:b]
+            if b - a >= LEAST and not _KNOWN.fullmatch(s) and len(s) <= ratio * len(encoder.encode_ordinary(s)):
+                out.append((a, 3, b))
     return out
 
 
