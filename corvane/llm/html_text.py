@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import tidied
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:script|style|noscript|template|svg|iframe|title)(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"']))?/>(?:\s*</(?:script|style|noscript|template|svg|iframe|title)\s*>)?|<(script|style|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 #: Elements without content, and elements inside a block of text.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr b bdi bdo br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Tags that leave a head open: its end tag may be missing.
+_HEAD = set("html base basefont bgsound link meta title style script noscript noframes template".split())
 #: Start tags that end an open element of the same kind.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BOUNDS = set("ul ol dl table select article section div nav aside main body".split())
@@ -62,22 +64,24 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not skip_head:
-            raw = page[at : m.start()]
+        raw = page[at : m.start()]
+        if skip_head and raw.strip():
+            skip_head = False
+        if raw and not skip_head:
             parts.append(raw)
             if anchors:
                 linked += len(raw.strip())
         at = m.end()
         name = m[3]
         if name is None:
-            if m[1]:
+            if not m[0].startswith(("<!", "<?")):
                 parts.append(" ")
             continue
         name = name.lower()
         if name == "head":
             skip_head = not m[2]
             continue
-        if name == "body":
+        if name == "body" or not m[2] and name not in _HEAD:
             skip_head = False
         if name in _INLINE:
             if name == "a":
@@ -108,7 +112,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                         tokens += [f"{'role' if k.lower() == 'role' else 'name'}:{t}" for t in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()) if t]
                 stack.append((name, tuple(tokens)))
         path = tuple(t for _, tokens in stack for t in tokens) + ((f"leaf:{stack[-1][0]}",) if stack else ("leaf:",))
-    if at < len(page) and not skip_head:
+    if page[at:].strip():
         parts.append(page[at:])
     flush()
     return out
@@ -139,11 +143,11 @@ def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     x = np.zeros((len(page), INPUT), dtype=np.float32)
     for i, (path, text, linked) in enumerate(page):
         x[i, :PATH] = _path_vector(path)
-        words = text.split(" ", 60)[:60]
+        words = text.split(" ")
         for w in words:
             x[i, PATH + _hash(w.lower(), WORDS)] += 1 / len(words)
         n = len(text)
-        x[i, PATH + WORDS :] = (np.log1p(n) / 6, linked, text[-1] in ".!?", text[:1].isupper(), i / len(page), np.log1p(len(page)) / 5, sum(map(str.isdigit, text[:200])) / min(n, 200), text.count(",") / (1 + n / 50))
+        x[i, PATH + WORDS :] = (np.log1p(n) / 6, linked, text[-1] in ".!?", text[:1].isupper(), i / len(page), np.log1p(len(page)) / 5, sum(map(str.isdigit, text)) / n, text.count(",") / (1 + n / 50))
     return x
 
 

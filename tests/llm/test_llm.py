@@ -161,6 +161,16 @@ def test_main_text(spark):
     assert rows[2].text == "" and rows[None].n_chars == 0
 
 
+def test_blocks_without_optional_tags_and_of_self_closed_elements():
+    texts = lambda page: [b[1] for b in html_text.blocks(page)]
+    assert texts("<html><head><title>t</title><meta charset=x><p>First.<p>Second.") == ["First.", "Second."]
+    assert texts("<head><link rel=x>Bare text.<div>More.</div>") == ["Bare text.", "More."]
+    assert texts("<head><style>a{}</style></head><body><p>One <svg/>two <iframe src='a' /></iframe>three <svg><path/></svg>four.</p>") == ["One two three four."]
+    long = "word " * 70
+    one, two = (html_text.vectors([((), long + end, 0.0)]) for end in ("123456", "abcdef"))
+    assert (one[0, html_text.PATH : html_text.PATH + html_text.WORDS] != two[0, html_text.PATH : html_text.PATH + html_text.WORDS]).any() and one[0, -2] > 0 == two[0, -2]
+
+
 def test_vectors(spark):
     r = np.random.default_rng(2)
     base = r.standard_normal((60, 16))
