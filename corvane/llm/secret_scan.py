@@ -34,9 +34,16 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}", re.ASCII)
 RATIO = 2.0
-#: A word, or several in camel case.
-_WORD = r"(?:[A-Z]?[a-z]{1,19}(?:[A-Z][a-z]{2,19})*|[A-Z]{1,19})"
-_KNOWN = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_/+=-]+|" + f"{_WORD}?([_/-]+({_WORD}|[0-9]+)?)+")
+#: Characters of a run that the vocabulary encodes at once: longer runs go in parts.
+PART = 4096
+#: Hex digits of known digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
+DIGESTS = (32, 40, 56, 64, 96, 128)
+_HEX = re.compile(r"[0-9a-fA-F]+")
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_NUMBERS = re.compile(r"[0-9_/+=-]+")
+_MARKS = re.compile(r"[_/-]+")
+#: What identifiers join by marks: a number, or a word or several in camel case with up to four digits behind (v2, x86).
+_WORD = re.compile(r"(?:[A-Z]?[a-z]{1,19}(?:[A-Z][a-z]{2,19})*|[A-Z]{1,19})[0-9]{0,4}|[0-9]+")
 _encoders: dict[str, object] = {}
 
 
@@ -68,17 +75,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def known(run: str) -> bool:
+    """Whether a run is a digest, a UUID, numbers and dates, or words and numbers joined by marks; one look at each character."""
+    if _HEX.fullmatch(run):
+        return len(run) in DIGESTS or run.isdigit()
+    if _UUID.fullmatch(run) or _NUMBERS.fullmatch(run):
+        return True
+    first, *rest = _MARKS.split(run)
+    return bool(rest) and not first[:1].isdigit() and all(not w or _WORD.fullmatch(w) for w in (first, *rest))
+
+
+def n_tokens(run: str, encoder) -> int:
+    return sum(len(encoder.encode_ordinary(run[i : i + PART])) for i in range(0, len(run), PART))
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], encoder, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    out = []
+    """(start, kind, end) of the runs of key characters outside the base spans (in order of start) that the vocabulary encodes badly."""
+    out, i, covered = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        at, parts = m.start(), []
-        for x, _, y in base:
-            if x < m.end() and y > at:
-                parts.append((at, x))
-                at = y
+        at, parts = max(m.start(), covered), []
+        while i < len(base) and base[i][0] < m.end():
+            if base[i][0] > at:
+                parts.append((at, base[i][0]))
+            at = covered = max(at, base[i][2])
+            i += 1
         for a, b in [*parts, (at, m.end())]:
-            s = text[a:b]
-            if b - a >= LEAST and not _KNOWN.fullmatch(s) and len(s) <= ratio * len(encoder.encode_ordinary(s)):
+            if b - a >= LEAST and not known(text[a:b]) and b - a <= ratio * n_tokens(text[a:b], encoder):
                 out.append((a, 3, b))
     return out
 
