@@ -38,6 +38,8 @@ from corvane.llm.common import components, shared_folder, small, stored, tidied
 TARGET, HASHES = 2048, 32
 #: Numbers in a block of vectors, and rows of one product of matrices.
 BLOCK_NUMBERS, STEP = 1 << 17, 256
+#: Children of a node in the trees that connect linked rows.
+FAN = 32
 #: Labels beyond TARGET vectors up to which their sizes are broadcast.
 BROADCAST_LABELS = 100_000
 RUN = ["label", "dim", "pass", "run"]
@@ -159,6 +161,30 @@ def _forest(near: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return a, b
 
 
+def _trees(edges: np.ndarray) -> np.ndarray:
+    """Edges that connect the same nodes as edges (a < b) do, by trees of degree FAN + 1: no node becomes a hub of joins."""
+    nodes, ends = np.unique(edges, return_inverse=True)
+    root = np.arange(len(nodes))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for a, b in ends.reshape(-1, 2).tolist():
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    label = np.array([find(i) for i in range(len(nodes))], dtype=np.int64)
+    order = np.argsort(label, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]]) if len(order) else order
+    return np.concatenate([np.zeros((0, 2), np.int64), *(_tree(nodes[some]) for some in np.split(order, cuts[1:]))])
+
+
+def _tree(nodes: np.ndarray) -> np.ndarray:
+    """Edges of a tree over ascending nodes."""
+    return np.stack([nodes[(np.arange(1, len(nodes)) - 1) // FAN], nodes[1:]], axis=1)
+
+
 def _output(nodes: np.ndarray, others: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
     gap, gap2 = pa.nulls(len(edges), pa.int64()), pa.nulls(len(nodes), pa.int64())
     columns = [[pa.array(nodes), gap], [pa.array(others), gap], [gap2, pa.array(edges[:, 0])], [gap2, pa.array(edges[:, 1])]]
@@ -200,7 +226,7 @@ def _compared(least: float, kind: str, itself: bool):
             return None
         a, b = (np.concatenate([np.zeros(0, np.int64), *k]) for k in (a, b))
         a, b = np.minimum(a, b), np.maximum(a, b)
-        return _output(found, count, np.unique(np.stack([a, b], axis=1)[a < b], axis=0))
+        return _output(found, count, _trees(np.stack([a, b], axis=1)[a < b]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,12 +261,11 @@ def _decided(least: float):
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links that the rows of a block have with whole blocks, and its rows joined to its first one."""
+    """The links that the rows of a block have with whole blocks, and edges that connect its rows."""
     for batch in batches:
-        for nodes, lead, plus in zip(*(batch.column(c).to_pylist() for c in ("nodes", "lead", "plus")), strict=True):
+        for nodes, plus in zip(*(batch.column(c).to_pylist() for c in ("nodes", "plus")), strict=True):
             some = np.frombuffer(nodes, np.int64)
-            rest = some[some != lead]
-            yield _output(some, np.full(len(some), plus), np.stack([np.minimum(rest, lead), np.maximum(rest, lead)], axis=1))
+            yield _output(some, np.full(len(some), plus), _tree(np.sort(some)))
 
 
 def _links(classes: DataFrame, folder: str, least: float, missed: float, kind: str) -> DataFrame:
@@ -275,7 +300,7 @@ def _links(classes: DataFrame, folder: str, least: float, missed: float, kind: s
     gap = F.lit(None).cast("long")
     joined = whole.select(gap.alias("node"), gap.alias("others"), F.least("lead", "lead2").alias("a"), F.greatest("lead", "lead2").alias("b"))
     found = inner.unionByName(both.mapInArrow(tidied(_compared(least, kind, False)), _OUTPUT)).unionByName(joined)
-    found = found.unionByName(blocks.select("block", "nodes", "lead").join(plus, "block").mapInArrow(tidied(_spread), _OUTPUT))
+    found = found.unionByName(blocks.select("block", "nodes").join(plus, "block").mapInArrow(tidied(_spread), _OUTPUT))
     return stored(found, folder, "links")
 
 
