@@ -7,10 +7,15 @@ bytes of the hashes, one histogram a byte, so no term-by-bit matrix is made.
 
 ``within_radius`` cuts fingerprints into radius + 1 blocks: two within the
 radius agree on one block at least, so every table joins on one block, and the
-exact distance decides.
+exact distance decides. Where a block's value is common, the rest of the
+fingerprint is cut and joined in the same way, so that such rows meet only where
+two blocks agree.
 
 Defined results: null and empty texts have the fingerprint of no terms (all
-zero); equal texts have equal fingerprints; likeness is 1 - distance / 128.
+zero); equal texts have equal fingerprints; likeness is 1 - distance / 128. Rows
+of one id, or without an id (last), follow each other by a hash of their text;
+repeated rows each have a result. Columns beyond doc_id and text are not read;
+an empty table gives no rows, and a single row is followed by itself.
 """
 
 from __future__ import annotations
@@ -20,12 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U, mix64, shared_folder, slices, stored, text_bytes, tidied, word_hashes, words
+from corvane.llm.common import U, mix64, shared_folder, slices, small, stored, text_bytes, tidied, word_hashes, words
 
 BITS = 128
+#: Fingerprints that share a block's value beyond which it is common, and common values up to which they are broadcast.
+COMMON, BROADCAST_VALUES = 1_000, 200_000
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
@@ -68,18 +75,34 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, fingerprint string")
 
 
+def _cut(text: Column, length: int, parts: int) -> Column:
+    """A string of that length cut into so many parts."""
+    cuts = [(2 * i * length + parts) // (2 * parts) for i in range(parts + 1)]
+    return F.array(*(F.substring(text, a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)))
+
+
 def within_radius(prints: DataFrame, radius: int = 3) -> DataFrame:
     """Pairs (a, b, distance) of different fingerprints (column fingerprint) whose distance is at most radius.
 
     Equal fingerprints are one row first; rows of a fingerprint are found by joining it.
     """
-    nibbles = BITS // 4
-    cuts = [round(i * nibbles / (radius + 1)) for i in range(radius + 2)]
+    nibbles, parts = BITS // 4, radius + 1
     every = prints.select("fingerprint").where("fingerprint is not null").distinct()
-    tables = every.select("fingerprint", F.posexplode(F.array(*(F.substring("fingerprint", a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)))).alias("block", "value"))
-    other = tables.withColumnRenamed("fingerprint", "b")
-    distance = sum(F.bit_count(F.conv(F.substring("a", i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b", i, 8), 16, 10).cast("long"))) for i in range(1, nibbles, 8))
-    pairs = tables.withColumnRenamed("fingerprint", "a").join(other, ["block", "value"]).where("a < b").withColumn("distance", distance).where(F.col("distance") <= radius)
+    tables = every.select("fingerprint", F.posexplode(_cut(F.col("fingerprint"), nibbles, parts)).alias("block", "value"))
+    common = tables.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("block", "value", F.lit(True).alias("common"))
+    tables = tables.join(small(common, BROADCAST_VALUES), ["block", "value"], "left")
+    width = F.length("value")
+    before = F.expr(f"cast((2 * block * {nibbles} + {parts}) div {2 * parts} as int)")
+    rest = F.concat(F.substring(F.col("fingerprint"), F.lit(1), before), F.substring(F.col("fingerprint"), before + width + 1, F.lit(nibbles)))
+    least = nibbles - -(-nibbles // parts)
+    again = tables.where("common").withColumn("rest", rest).select("fingerprint", "block", "value", F.posexplode(_cut(F.col("rest"), least, parts)).alias("block2", "value2"))
+    rows = tables.where("common is null").select("fingerprint", "block", "value", F.lit(-1).alias("block2"), F.lit("").alias("value2")).unionByName(again)
+    distance = sum(
+        F.bit_count(F.conv(F.substring("a", i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b", i, 8), 16, 10).cast("long")))
+        for i in range(1, nibbles, 8)
+    )
+    pairs = rows.withColumnRenamed("fingerprint", "a").join(rows.withColumnRenamed("fingerprint", "b"), ["block", "value", "block2", "value2"])
+    pairs = pairs.where("a < b").withColumn("distance", distance).where(F.col("distance") <= radius)
     return pairs.select("a", "b", "distance").distinct()
 
 
@@ -125,28 +148,32 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edge(ids[0], part, True, texts[0])
 
 
-def _seams(group: pa.Table) -> pa.Table:
-    rows = group.sort_by([("part", "ascending"), ("last", "ascending")])
-    ids, texts, last = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), rows.column("last").to_pylist()
-    out = []
-    for i, end in enumerate(last):
-        if end:
-            j = (i + 1) % len(ids)
-            out.append(_compared([ids[i], ids[j]], [texts[i], texts[j]]))
-    return pa.Table.from_batches(out).select([n for n, _ in _RESULT])
+def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The result of the last row of a partition, from the first row of the next one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one, two, text, follow = (batch.column(c)[i].as_py() for c in ("doc_id", "doc_id2", "text", "text2"))
+            yield _compared([one, two], [text, follow]).select([n for n, _ in _RESULT])
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint, and that of its text with the last third replaced from the next row by descending doc_id.
 
-    Rows are range-partitioned and sorted; only the first and last row of each partition meet again.
-    Ties of doc_id go by text, null ids come last, and the first row follows the last.
+    Rows are range-partitioned and sorted; only the first and last row of each partition meet again, by the
+    partitions' numbers, each pair on its own. The first row follows the last.
     """
     spark = docs.sparkSession
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash"), F.col("row")]
     parts = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    found = stored(rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).mapInArrow(tidied(_neighbours), f"{schema}, part int, last boolean, text string"), shared_folder(spark), "prints")
-    seams = found.where("part is not null").select("doc_id", "part", "last", "text").groupBy().applyInArrow(_seams, schema)
-    return found.where("part is null").select([n for n, _ in _RESULT]).unionByName(seams)
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    found = stored(ordered.mapInArrow(tidied(_neighbours), f"{schema}, part int, last boolean, text string"), shared_folder(spark), "prints")
+    ends = found.where("part is not null").select("doc_id", "part", "last", "text")
+    # One number for each partition: bounded by the number of partitions.
+    numbers = sorted(r["part"] for r in ends.where("last").select("part").collect())
+    follows = spark.createDataFrame(list(zip(numbers, numbers[1:] + numbers[:1], strict=True)), "part int, next int")
+    first = ends.where("not last").select(F.col("part").alias("next"), F.col("doc_id").alias("doc_id2"), F.col("text").alias("text2"))
+    seams = ends.where("last").join(F.broadcast(follows), "part").join(first.hint("merge"), "next").select("doc_id", "text", "doc_id2", "text2")
+    return found.where("part is null").select([n for n, _ in _RESULT]).unionByName(seams.mapInArrow(tidied(_seams), schema))
