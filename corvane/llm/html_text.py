@@ -8,10 +8,14 @@ label can depend on the whole page. It is trained here, on layouts that
 ``sample_page`` deals out with known labels; nothing is read from the pages.
 
 Scripts, styles, comments and the head never become blocks. Character
-references are decoded; white space inside a block becomes one space.
+references are decoded; white space inside a block becomes one space. A page of
+many blocks is read in parts: the states of one direction are kept, not the
+vectors, so memory grows by 80 bytes a block beside the texts.
 
 Defined results: null and empty pages have an empty text; pages without markup
-are one block; rows keep null ids; nothing is cut off, however long the page.
+are one block; a tag without an end reaches to the end of the page; rows keep
+null ids and repeated rows; columns beyond page_id, url and html are not read;
+nothing is cut off, however long the page.
 """
 
 from __future__ import annotations
@@ -26,9 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import tidied
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:script|style|noscript|template|svg|iframe|title)(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"']))?/>(?:\s*</(?:script|style|noscript|template|svg|iframe|title)\s*>)?|<(script|style|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
+from corvane.llm.common import slices, tidied
+
+#: Elements whose content is no text.
+_RAW = "script|style|noscript|template|svg|iframe|title"
+#: Comments, self-closed and other raw elements, tags (a quote counts behind = only), declarations.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<(?:{_RAW})(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"']))?/>(?:\s*</(?:{_RAW})\s*>)?"
+    rf"|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[=\"'])*)(?:>|\Z)"
+    r"|<[!?][^>]*(?:>|\Z)",
+    re.DOTALL | re.IGNORECASE,
+)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 #: Elements without content, and elements inside a block of text.
@@ -48,6 +62,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(tokens of the elements around, text, share of link text) of each block of text, in order."""
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    # How often each name and each token is open: a deep stack is not read again for each tag.
+    names: dict[str, int] = {}
+    tokens_open: dict[str, int] = {}
     parts: list[str] = []
     linked = anchors = 0
     skip_head = False
@@ -62,6 +79,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             parts.clear()
         linked = 0
 
+    def pop(at: int):
+        for name, tokens in stack[at:]:
+            names[name] -= 1
+            for t in tokens:
+                tokens_open[t] -= 1
+                if not tokens_open[t]:
+                    del tokens_open[t]
+        del stack[at:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         raw = page[at : m.start()]
@@ -91,27 +117,29 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         flush()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if names.get(name):
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             anchors = 0
         else:
             if stack and stack[-1][0] == "p":
-                stack.pop()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _ENDS.get(name, ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BOUNDS:
-                    break
+                pop(len(stack) - 1)
+            if any(names.get(k) for k in _ENDS.get(name, ())):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in _ENDS[name]:
+                        pop(i)
+                        break
+                    if stack[i][0] in _BOUNDS:
+                        break
             if name not in _VOID:
                 tokens = [f"tag:{name}"]
                 if m[4]:
                     for k, a, b, c in _ATTRIBUTE.findall(m[4]):
                         tokens += [f"{'role' if k.lower() == 'role' else 'name'}:{t}" for t in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()) if t]
                 stack.append((name, tuple(tokens)))
-        path = tuple(t for _, tokens in stack for t in tokens) + ((f"leaf:{stack[-1][0]}",) if stack else ("leaf:",))
+                names[name] = names.get(name, 0) + 1
+                for t in tokens:
+                    tokens_open[t] = tokens_open.get(t, 0) + 1
+        path = (*tokens_open, f"leaf:{stack[-1][0]}" if stack else "leaf:")
     if page[at:].strip():
         parts.append(page[at:])
     flush()
@@ -139,15 +167,16 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return _paths[path]
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
-    x = np.zeros((len(page), INPUT), dtype=np.float32)
+def vectors(page: list[tuple[tuple[str, ...], str, float]], start: int = 0, total: int | None = None) -> np.ndarray:
+    """The vectors of a page's blocks, or of a part of it that begins at start."""
+    x, total = np.zeros((len(page), INPUT), dtype=np.float32), total or len(page)
     for i, (path, text, linked) in enumerate(page):
         x[i, :PATH] = _path_vector(path)
         words = text.split(" ")
         for w in words:
             x[i, PATH + _hash(w.lower(), WORDS)] += 1 / len(words)
         n = len(text)
-        x[i, PATH + WORDS :] = (np.log1p(n) / 6, linked, text[-1] in ".!?", text[:1].isupper(), i / len(page), np.log1p(len(page)) / 5, sum(map(str.isdigit, text)) / n, text.count(",") / (1 + n / 50))
+        x[i, PATH + WORDS :] = (np.log1p(n) / 6, linked, text[-1] in ".!?", text[:1].isupper(), (start + i) / total, np.log1p(total) / 5, sum(map(str.isdigit, text)) / n, text.count(",") / (1 + n / 50))
     return x
 
 
@@ -166,36 +195,41 @@ class Labeller:
         self.p["o"] = (r.standard_normal((2 * HIDDEN + INPUT, 1)) * 0.1).astype(np.float32)
         self.p["c"] = np.zeros(1, dtype=np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States of one direction (x already in its order), and what the backward pass needs."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, kept: list | None = None, state=None) -> tuple[np.ndarray, tuple]:
+        """States of one direction (x already in its order) after the given one, and the last; kept gets what the backward pass needs."""
         n, steps, _ = x.shape
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        pre = x @ self.p[f"x{d}"] + self.p[f"b{d}"]
-        out, kept = np.zeros((n, steps, HIDDEN), np.float32), []
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
+        pre, out = x @ self.p[f"x{d}"] + self.p[f"b{d}"], np.zeros((n, steps, HIDDEN), np.float32)
         for t in range(steps):
             z = pre[:, t] + h @ self.p[f"h{d}"]
-            i, f, o = (1 / (1 + np.exp(-z[:, k * HIDDEN : (k + 1) * HIDDEN])) for k in (0, 1, 2))
+            gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
+            i, f, o = (gates[:, k * HIDDEN : (k + 1) * HIDDEN] for k in (0, 1, 2))
             g = np.tanh(z[:, 3 * HIDDEN :])
             m = mask[:, t : t + 1]
             c2 = np.where(m, f * c + i * g, c)
             tc = np.tanh(c2)
             h2 = np.where(m, o * tc, h)
-            kept.append((h, c, i, f, o, g, tc, m))
+            if kept is not None:
+                kept.append((h, c, i, f, o, g, tc, m))
             h, c = h2, c2
             out[:, t] = h
-        return out, kept
+        return out, (h, c)
 
     def _turned(self, x: np.ndarray) -> np.ndarray:
         return x[:, ::-1]
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        f, kf = self._run(x, mask, "f")
-        b, kb = self._run(self._turned(x), self._turned(mask), "b")
+    def _probability(self, every: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(every @ self.p["o"] + self.p["c"], -30, 30)))[..., 0]
+
+    def forward(self, x: np.ndarray, mask: np.ndarray, kept: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        f, _ = self._run(x, mask, "f", kept and kept[0])
+        b, _ = self._run(self._turned(x), self._turned(mask), "b", kept and kept[1])
         every = np.concatenate([f, self._turned(b), x], axis=2)
-        return 1 / (1 + np.exp(-np.clip(every @ self.p["o"] + self.p["c"], -30, 30)))[:, :, 0], (every, kf, kb)
+        return self._probability(every), every
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        prob, (every, kf, kb) = self.forward(x, mask)
+        kf, kb = [], []
+        prob, every = self.forward(x, mask, (kf, kb))
         e = ((prob - y) * mask / mask.sum())[:, :, None].astype(np.float32)
         grad = {"o": np.einsum("ntk,nto->ko", every, e), "c": e.sum(axis=(0, 1))}
         back = e @ self.p["o"].T
@@ -219,8 +253,8 @@ class Labeller:
             grad[f"b{d}"] = dz_all.sum(axis=(0, 1))
         return grad
 
-    def label(self, pages: list[np.ndarray], most: int = 16_384) -> list[np.ndarray]:
-        """Whether each block of each page is article text; pages of similar length run together."""
+    def label(self, pages: list[list], most: int = 16_384) -> list[np.ndarray]:
+        """Whether each block of each page (of blocks) is article text; pages of similar length run together."""
         out: list = [np.zeros(0, dtype=bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         at = 0
@@ -229,13 +263,31 @@ class Labeller:
             while end < len(order) and (end + 1 - at) * len(pages[order[end]]) <= most:
                 end += 1
             some = order[at:end]
-            x, mask, _ = padded([pages[i] for i in some], None)
-            prob, _ = self.forward(x, mask)
-            for i, p in zip(some, prob, strict=True):
-                out[i] = p[: len(pages[i])] >= 0.5
+            if len(pages[some[0]]) > most:
+                out[some[0]] = self._label_long(pages[some[0]], most)
+            else:
+                x, mask, _ = padded([vectors(pages[i]) for i in some], None)
+                for i, p in zip(some, self.forward(x, mask)[0], strict=True):
+                    out[i] = p[: len(pages[i])] >= 0.5
             at = end
         return out
 
+    def _label_long(self, page: list, most: int) -> np.ndarray:
+        """The labels of one long page, read in parts: backward first, of which the states are kept, then forward."""
+        n, cuts = len(page), range(0, len(page), most)
+        part = lambda a: vectors(page[a : a + most], a, n)[None]
+        back, out, state = np.zeros((n, HIDDEN), np.float32), np.zeros(n, dtype=bool), None
+        for a in reversed(cuts):
+            x = part(a)
+            states, state = self._run(self._turned(x), np.ones(x.shape[:2], dtype=bool), "b", state=state)
+            back[a : a + most] = self._turned(states)[0]
+        state = None
+        for a in cuts:
+            x = part(a)
+            states, state = self._run(x, np.ones(x.shape[:2], dtype=bool), "f", state=state)
+            out[a : a + most] = self._probability(np.concatenate([states[0], back[a : a + most], x[0]], axis=1)) >= 0.5
+        return out
+
 
 def padded(pages: list[np.ndarray], labels: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
@@ -352,7 +404,7 @@ def train(pages: int = 2400, epochs: int = 6, seed: int = 9) -> Labeller:
 
 def extract(pages: list[str | None], model: Labeller) -> list[str]:
     found = [blocks(p or "") for p in pages]
-    labels = model.label([vectors(b) for b in found])
+    labels = model.label(found)
     return ["\n\n".join(t for (_, t, _), keep in zip(b, y.tolist(), strict=True) if keep) for b, y in zip(found, labels, strict=True)]
 
 
@@ -362,8 +414,7 @@ def main_texts(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
+            for some in slices(batch, "html", 4 << 20, 256):
                 texts = extract(some.column("html").to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
