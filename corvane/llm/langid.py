@@ -182,14 +182,14 @@ def languages(docs: DataFrame, model: Model | None = None, sample: int = SAMPLE)
     return out.select("doc_id", small_fold(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
-def labeller(model: Model, keep: list[str]):
-    """An Arrow function that adds lang_pred and score to doc_id and the columns to keep."""
-    shared = {"model": model}
+def labeller(model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")):
+    """An Arrow function that adds the language and its score, under these names, to doc_id or the columns to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "text", rows=256):
-                lang, score = shared["model"].predict(some.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column(c) for c in (keep or ["doc_id"])] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(keep or ["doc_id"]), "lang_pred", "score"])
+                lang, score = model.predict(some.column("text").to_pylist())
+                columns = [some.column(c) for c in keep or ["doc_id"]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(keep or ["doc_id"]), *names])
 
     return run
