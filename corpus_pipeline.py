@@ -11,26 +11,32 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm import bpe, jaccard, langid, mixing, secret_scan
 from corvane.llm.common import shared_folder, small, stored, tidied
 from corvane.session import ship
 
 #: Rows of (id, decision) up to which a decision is broadcast to the texts.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 #: A language below this score is no language.
 LEAST_SCORE = 0.5
-#: The column that numbers rows.
-ROW = "corvane_row"
+#: Columns of this module's own: their names clash with none of documents.
+ROW, LANG, SCORE, TIMES, COPY = (f"corvane_{c}" for c in ("row", "lang", "score", "times", "copy"))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose best language scores below LEAST_SCORE."""
     ship(spark)
-    model = langid.fit(docs)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    labelled = docs.mapInArrow(tidied(langid.labeller(model, docs.columns)), f"{kinds}, lang_pred string, score double")
-    return labelled.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    kinds = T.StructType([*docs.schema.fields, T.StructField(LANG, T.StringType()), T.StructField(SCORE, T.DoubleType())])
+    labelled = docs.mapInArrow(tidied(langid.labeller(model, docs.columns, (LANG, SCORE))), kinds)
+    return labelled.where((F.col(LANG) != langid.UND) & (F.col(SCORE) >= LEAST_SCORE)).select(*named(docs))
+
+
+def named(docs: DataFrame) -> list:
+    """The columns of docs, whatever characters their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -49,25 +55,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = found.select(F.col("doc_id").alias(ROW), "component_id").where(f"{ROW} is not null")
     first = groups.where(f"component_id <> {ROW}").select("component_id").distinct()
     groups = groups.join(small(first, BROADCAST_ROWS), "component_id", "left_semi")
-    named = groups.join(rows.select(ROW, "doc_id", F.xxhash64("text", "source", "lang").alias("hash")), ROW)
-    least = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash", ROW)).alias("x")).select(F.col(f"x.{ROW}").alias(ROW))
+    keys = rows.select(ROW, "doc_id", F.xxhash64("text", "source", "lang").alias("hash"))
+    least = groups.join(keys, ROW).groupBy("component_id").agg(F.min(F.struct("doc_id", "hash", ROW)).alias("x")).select(F.col(f"x.{ROW}").alias(ROW))
     gone = groups.select(ROW).join(small(least, BROADCAST_ROWS), ROW, "left_anti")
-    return rows.join(small(gone, BROADCAST_ROWS), ROW, "left_anti").select(docs.columns)
+    return rows.join(small(gone, BROADCAST_ROWS), ROW, "left_anti").select(*named(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; documents stay."""
     ship(spark)
-    return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*named(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
     ship(spark)
     rows = numbered(docs)
-    mix = mixing.mixed(rows, row=ROW).where("taken > 0").select(ROW, F.expr("cast(taken div size as int)").alias("times"))
+    mix = mixing.mixed(rows.select("doc_id", "text", "source", ROW), row=ROW).where("taken > 0").select(ROW, F.expr("cast(taken div size as int)").alias(TIMES))
     taken = rows.join(small(mix, BROADCAST_ROWS), ROW)
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(docs.columns)
+    return taken.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col(TIMES)))).select(*named(docs))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
