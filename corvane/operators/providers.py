@@ -6,8 +6,12 @@ A provider maps a list of texts to a list of vectors or texts. Batches close at
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -15,8 +19,37 @@ from pyspark.sql import DataFrame
 BATCH_TEXTS, BATCH_CHARS = 100, 60_000
 
 
+@lru_cache(maxsize=1 << 16)
+def _features(word: str, dim: int) -> tuple[tuple[int, float], ...]:
+    """(place, sign) of a word and of its runs of three letters."""
+    marked = f"<{word}>"
+    hashes = [zlib.crc32(t.encode()) for t in (word, *(marked[i : i + 3] for i in range(len(marked) - 2)))]
+    return tuple((h % dim, 1.0 if h >> 31 else -1.0) for h in hashes)
+
+
+def hashed_embedder(dim: int = 256) -> Callable[[list[str]], list[list[float]]]:
+    """Texts as signed counts of their hashed words and letter runs, scaled to length 1; texts that share words are near each other.
+
+    Repeats of a word count by their logarithm. A text without a word is the zero vector.
+    """
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        out = np.zeros((len(texts), dim))
+        for row, text in zip(out, texts, strict=True):
+            words: dict[str, int] = {}
+            for w in text.lower().split():
+                words[w] = words.get(w, 0) + 1
+            for w, n in words.items():
+                for at, sign in _features(w, dim):
+                    row[at] += sign * (1 + np.log(n))
+        norm = np.sqrt((out * out).sum(axis=1))[:, None]
+        return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).tolist()
+
+    return embed
+
+
 def code_point_embedder(dim: int = 16, step: int = 3, modulus: int = 13) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic vector from the sum of code points modulo 97."""
+    """A stub for tests: a vector from the sum of code points modulo 97."""
 
     def embed(texts: list[str]) -> list[list[float]]:
         return [[float((sum(map(ord, t)) % 97 + step * i) % modulus) for i in range(dim)] for t in texts]
@@ -37,8 +70,18 @@ def batches(texts: list[str], most_texts: int = BATCH_TEXTS, most_chars: int = B
         yield held
 
 
-EMBEDDERS: dict[str, Callable] = {"local": code_point_embedder}
-GENERATORS: dict[str, Callable] = {"extractive": lambda: lambda prompts: [p[:200] for p in prompts]}
+def conjunctions() -> Callable[[list[str]], list[str]]:
+    """Sub-queries without a model: the last paragraph of a prompt, less its label, cut at " and "."""
+    return lambda prompts: [json.dumps(p.split("Question: ", 1)[-1].split(" and "), ensure_ascii=False) for p in prompts]
+
+
+def backwards() -> Callable[[list[str]], list[str]]:
+    """An order without a model, for tests: the snippets of a prompt from the last to the first."""
+    return lambda prompts: [str(list(range(len(p.split("\nSnippets:\n", 1)[-1].splitlines())))[::-1]) for p in prompts]
+
+
+EMBEDDERS: dict[str, Callable] = {"local": hashed_embedder, "code-points": code_point_embedder}
+GENERATORS: dict[str, Callable] = {"extractive": lambda: lambda prompts: [p[:200] for p in prompts], "conjunctions": conjunctions, "backwards": backwards}
 
 
 def provider(kinds: dict[str, Callable], name: str, **options) -> Callable:
@@ -61,13 +104,22 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], m
     return rows.select(*names).mapInArrow(run, ", ".join([*kinds, "embedding array<float>", "model string", "dim int"]))
 
 
-def generated(rows: DataFrame, generate: Callable[[list[str]], list[str]], prompt: str = "prompt") -> DataFrame:
-    """rows with answer."""
+def generated(rows: DataFrame, generate: Callable[[list[str]], list[str]], prompt: str = "prompt", tolerant: bool = True) -> DataFrame:
+    """rows with answer; the answers of a batch that fails are null, or, unless tolerant, the failure is raised."""
+
+    def replies(prompts: list[str]) -> list[str | None]:
+        try:
+            return generate(prompts)
+        except Exception:
+            if not tolerant:
+                raise
+            return [None] * len(prompts)
+
     names = [c for c in rows.columns if c != "answer"]
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            answers = [a for some in batches([t or "" for t in batch.column(prompt).to_pylist()]) for a in generate(some)]
+            answers = [a for some in batches([t or "" for t in batch.column(prompt).to_pylist()]) for a in replies(some)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(answers, pa.string())], names=[*names, "answer"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names]

@@ -4,6 +4,9 @@ Chunks are rows (chunk: long, owner_dept, doc_type, sensitivity, source_path,
 section_path, text, allowed_roles); queries are rows (query_id, query, role).
 Scores are rounded to six digits before ordering; ties go by chunk, so results
 repeat. The query side is broadcast below ``QUERY_TERMS`` rows only.
+
+Roles are bits: a chunk carries the mask of the roles that may see it, so that no
+posting and no vector is copied for each role.
 """
 
 from __future__ import annotations
@@ -15,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import cosine, fusion_key, overlap, tokens
-from corvane.operators.policy import permitted
+from corvane.functions.access import ROLES, role_bit, role_mask
+from corvane.functions.text import cosine, fusion_key, is_complex, llm_order, overlap, subqueries, tokens
+from corvane.operators.policy import decision, permitted
+from corvane.storage import shared_folder, stored
 
 K1, B, RRF = 1.5, 0.75, 60
-QUERY_TERMS = 200_000
+#: Query terms, and vectors of queries, up to which they are broadcast.
+QUERY_TERMS, QUERY_VECTORS = 200_000, 10_000
 
 
 def bounded(df: DataFrame, most: int = QUERY_TERMS) -> DataFrame:
@@ -38,84 +44,141 @@ def top(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk", by:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def visible(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """chunks with the mask of the roles that may see them, those left out that no role of the queries may see."""
+    asking = [r["role"] for r in queries.select("role").where(F.col("role").isin(ROLES)).distinct().collect()]  # one row a role
+    bits = sum(1 << ROLES.index(r) for r in asking)
+    return chunks.withColumn("mask", role_mask(lambda r: F.array_contains("allowed_roles", r))).where(F.col("mask").bitwiseAND(bits) != 0)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.withColumn("bit", role_bit(F.col("role"))).where("bit > 0")
+
+
+def _sees() -> Column:
+    return F.col("mask").bitwiseAND(F.col("bit")) != 0
+
+
+def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(chunk, mask, dl, term, tf) of chunks (chunk, mask, text): the index of BM25, from one look at each text.
+
+    With terms (term: distinct), other tokens are counted in a row without a term; so every chunk has a row.
+    """
+    rows = chunks.select("chunk", "mask", tokens("text").alias("toks")).select("chunk", "mask", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+    if terms is not None:
+        rows = rows.join(bounded(terms.select("term", F.lit(True).alias("hit"))), "term", "left").withColumn("term", F.when(F.col("hit"), F.col("term")))
+    return rows.groupBy("chunk", "mask", "dl", "term").agg(F.count("term").alias("tf"))
+
+
+def bm25_index(chunks: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """The stored postings of chunks: all terms, or those of the queries among chunks that their roles may see."""
+    if queries is None:
+        rows, terms = chunks.withColumn("mask", role_mask(lambda r: F.array_contains("allowed_roles", r))), None
+    else:
+        rows, terms = visible(chunks, queries), query_terms(queries).select("term").distinct()
+    return stored(postings(rows, terms), shared_folder(chunks.sparkSession), "postings")
+
+
+def bm25_scores(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, role, chunk, score) of every visible chunk with a query term; statistics are those of the chunks that the query's role may see."""
     terms = query_terms(queries)
-    roles = queries.select("role").distinct()
-    words = chunks.select("chunk", "allowed_roles", tokens("text").alias("toks")).withColumn("dl", F.size("toks"))
-    seen = words.select("chunk", "dl", F.explode(F.array_distinct("allowed_roles")).alias("role")).join(bounded(roles), "role")
-    stats = seen.groupBy("role").agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.lit(1), F.count("*"))).alias("avgdl"))
-    postings = words.select("chunk", "allowed_roles", "dl", F.explode("toks").alias("term")).join(bounded(terms.select("term").distinct()), "term").groupBy("chunk", "allowed_roles", "dl", "term").agg(F.count("*").alias("tf"))
-    postings = postings.withColumn("role", F.explode(F.array_distinct("allowed_roles"))).drop("allowed_roles")
-    df = postings.groupBy("role", "term").agg(F.count("*").alias("df"))
-    weights = terms.join(df, ["role", "term"]).join(F.broadcast(stats), "role").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    roles = F.broadcast(index.sparkSession.createDataFrame([(r, 1 << i) for i, r in enumerate(ROLES)], "role string, bit int"))
+    # Sums by mask first: there are few masks, and each role adds up those that hold its bit.
+    sizes = index.groupBy("chunk").agg(F.any_value("mask").alias("mask"), F.any_value("dl").alias("dl")).groupBy("mask").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
+    stats = sizes.join(roles, _sees()).groupBy("role").agg(F.sum("n").alias("n"), (F.sum("dl") / F.greatest(F.lit(1), F.sum("n"))).alias("avgdl"))
+    hits = index.where("term is not null").join(bounded(terms.select("term").distinct()), "term", "left_semi")
+    df = hits.groupBy("mask", "term").agg(F.count("*").alias("df")).join(roles, _sees()).groupBy("role", "term").agg(F.sum("df").alias("df"))
+    weights = _asked(terms).join(df, ["role", "term"]).join(F.broadcast(stats), "role")
+    weights = weights.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.lit(1e-9), F.col("avgdl")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    return postings.join(bounded(weights), ["role", "term"]).groupBy("query_id", "role", "chunk").agg(F.round(F.sum(part), 6).alias("score"))
+    weights = weights.select("query_id", "role", "bit", "term", "times", "idf", "avgdl")
+    return hits.join(bounded(weights), "term").where(_sees()).groupBy("query_id", "role", "chunk").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k best chunks of positive score for each query."""
-    return top(bm25_scores(chunks, queries).where("score > 0"), k)
+def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 5, index: DataFrame | None = None) -> DataFrame:
+    """The k best chunks of positive score for each query; index: the stored postings of chunks, if there are any."""
+    return top(bm25_scores(bm25_index(chunks, queries) if index is None else index, queries).where("score > 0"), k)
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 5, policy: bool = True) -> DataFrame:
-    """Visible, permitted chunks by the number of their tokens that are in the query; max(1, k) of them."""
-    words = queries.select("query_id", "role", F.explode(F.array_distinct(tokens("query", False))).alias("term"))
-    hits = chunks.select("chunk", "allowed_roles", "owner_dept", "doc_type", "sensitivity", F.explode(tokens("text", False)).alias("term"))
-    found = hits.join(bounded(words), "term").where(F.array_contains("allowed_roles", F.col("role")))
+    """Visible, permitted chunks by the number of their tokens that are in the query; max(1, k) of them.
+
+    Roles and the policy leave chunks out before their texts are looked at; equal tokens of a chunk are one row.
+    """
+    words = _asked(queries).select("query_id", "role", "bit", F.explode(F.array_distinct(tokens("query", False))).alias("term"))
+    rows = visible(chunks, queries)
     if policy:
-        found = permitted(found, F.col("role"))
-    return top(found.groupBy("query_id", "role", "chunk").agg(F.count("*").alias("score")), max(1, k))
+        permits = role_mask(lambda r: decision(F.lit(r), F.lit("retrieve_chunk"))["effect"] == "permit")
+        rows = rows.withColumn("mask", F.col("mask").bitwiseAND(permits)).where("mask <> 0")
+    hits = rows.select("chunk", "mask", F.explode(tokens("text", False)).alias("term"))
+    hits = hits.join(bounded(words.select("term").distinct()), "term", "left_semi").groupBy("chunk", "mask", "term").agg(F.count("*").alias("n"))
+    found = hits.join(bounded(words), "term").where(_sees())
+    return top(found.groupBy("query_id", "role", "chunk").agg(F.sum("n").alias("score")), max(1, k))
 
 
-def _blocks(size: int):
-    """Rows (g, id, vector) packed into blocks of one row, each of one g."""
+def _blocks(size: int, flag: str):
+    """Rows (id, flag, vector) packed into rows of blocks, scaled to length 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list, list]] = {}
-
-        def out(g: str):
-            ids, rows = held.pop(g)
-            return pa.RecordBatch.from_arrays([pa.array([g]), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(rows, np.float64).tobytes()], pa.binary())], names=["g", "ids", "rows"])
-
         for batch in batches:
-            for g, i, v in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "vector")), strict=True):
-                x = np.array(v, dtype=np.float64)
-                norm = np.sqrt((x * x).sum())
-                ids, rows = held.setdefault(g, ([], []))
-                ids.append(i)
-                rows.append(x / norm if norm > 0 else x * 0)
-                if len(ids) == size:
-                    yield out(g)
-        for g in list(held):
-            yield out(g)
+            for at in range(0, batch.num_rows, size):
+                some = batch.slice(at, size)
+                x = np.array(some.column("vector").to_pylist(), dtype=np.float64).reshape(some.num_rows, -1)
+                norm = np.sqrt((x * x).sum(axis=1))[:, None]
+                x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                packed = (np.array(some.column("id").to_pylist(), np.int64), np.array(some.column(flag).to_pylist(), np.int32), x)
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in packed], names=["ids", flag, "rows"])
 
     return run
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024, by: str | None = None, spread: int = 32) -> DataFrame:
+def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best finite scores of each row, ties by id."""
+    if score.shape[1] > k:
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        row, at = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+    else:
+        row, at = np.nonzero(np.isfinite(score))
+    order = np.lexsort((ids[at], -score[row, at], row))
+    row, at = row[order], at[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], at[place < k]
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
     """(query_id, id, score, rank): the k nearest vectors by cosine of each query vector, exact.
 
-    vectors: (id, vector); queries: (query_id, vector); with by, both have that column and only rows that
-    agree on it meet. Blocks of the stated query set meet blocks of vectors, spread over tasks; a pair of
-    blocks keeps k candidates a query, so nothing grows but the number of pairs.
+    vectors: (id, vector) and, for roles, mask; queries: (query_id, vector) and bit; only vectors whose mask
+    holds the bit are found. Vectors stay where they are read: blocks of the stated query set are broadcast up to
+    ``QUERY_VECTORS`` queries; beyond, both are dealt over as many parts as Spark shuffles to. A pair of blocks
+    keeps k candidates a query, so nothing grows but the number of pairs.
     """
-    g = F.col(by).cast("string") if by else F.lit("")
-    pack = lambda df, name: df.select(g.alias("g"), F.col(name).cast("long").alias("id"), "vector").where("g is not null and id is not null and vector is not null").mapInArrow(_blocks(block), "g string, ids binary, rows binary")
-    packed = pack(vectors, "id").withColumn("part", F.expr(f"cast(pmod(xxhash64(ids), {spread}) as int)"))
-    asked = pack(queries, "query_id").select("g", F.col("ids").alias("qids"), F.col("rows").alias("qrows"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
+
+    def packed(df: DataFrame, name: str, flag: str) -> DataFrame:
+        flags = F.col(flag) if flag in df.columns else F.lit(1)
+        rows = df.select(F.col(name).cast("long").alias("id"), flags.cast("int").alias(flag), "vector").where("id is not null and vector is not null")
+        return rows.mapInArrow(_blocks(block, flag), f"ids binary, {flag} binary, rows binary")
+
+    blocks = packed(vectors, "id", "mask")
+    asked = packed(queries, "query_id", "bit").select(F.col("ids").alias("qids"), "bit", F.col("rows").alias("qrows"))
+    if queries.limit(QUERY_VECTORS + 1).count() <= QUERY_VECTORS:
+        pairs = blocks.crossJoin(F.broadcast(asked))
+    else:
+        parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.withColumn("part", F.expr(f"cast(pmod(xxhash64(ids), {parts}) as int)"))
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = blocks.join(asked, "part").drop("part")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, rows, qids, qrows in zip(*(batch.column(c).to_pylist() for c in ("ids", "rows", "qids", "qrows")), strict=True):
+            for ids, mask, rows, qids, bit, qrows in zip(*(batch.column(c).to_pylist() for c in ("ids", "mask", "rows", "qids", "bit", "qrows")), strict=True):
                 ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
                 score = np.round(np.frombuffer(qrows).reshape(len(qids), -1) @ np.frombuffer(rows).reshape(len(ids), -1).T, 6) + 0.0
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, axis=1).ravel())], names=["query_id", "id", "score"])
+                score[np.frombuffer(bit, np.int32)[:, None] & np.frombuffer(mask, np.int32)[None, :] == 0] = -np.inf
+                row, at = best_of(score, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[at]), pa.array(score[row, at])], names=["query_id", "id", "score"])
 
-    pairs = packed.join(asked, ["g", "part"]).select("ids", "rows", "qids", "qrows")
     return top(pairs.mapInArrow(best, "query_id long, id long, score double"), k, tie="id")
 
 
@@ -161,6 +224,21 @@ def rerank_listed(candidates: DataFrame, order: DataFrame) -> DataFrame:
     return rows.join(asked, ["query_id", "position"]).select("query_id", "chunk", (F.col("at") + 1).cast("long").alias("rank"))
 
 
+def rerank_replied(candidates: DataFrame, generate, top_k: int | None = None) -> DataFrame:
+    """Candidates (query_id, query, rank, chunk, text) in the order that a generator's replies list; those without a list keep their order.
+
+    One prompt a query goes to the generator in its batches; a batch that fails keeps the order of its candidates.
+    """
+    from corvane.operators import generation, providers
+
+    snippets = candidates.select("query_id", "query", F.col("rank").alias("place"), "text", F.lit("").alias("source_path"), F.lit("").alias("section_path"))
+    asked = generation.contexts(snippets).select("query_id", F.size("snippets").alias("n"), generation.rerank_prompt(F.col("query"), F.col("snippets")).alias("prompt"))
+    order = providers.generated(asked, generate).select("query_id", llm_order(F.coalesce("answer", F.lit("")), F.col("n")).alias("positions"))
+    placed = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    found = rerank_listed(placed, order)
+    return found.where(F.col("rank") <= (top_k or 2**30))
+
+
 RERANKERS = {"simple": rerank_simple}
 
 
@@ -169,15 +247,16 @@ def rerank(candidates: DataFrame, backend: str = "simple", top_k: int | None = N
     return ({**RERANKERS, **(extra or {})}.get(backend) or rerank_simple)(candidates, top_k)
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, dense: DataFrame | None, k: int = 5, again: bool = True) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, dense: DataFrame | None, k: int = 5, again: bool = True, index: DataFrame | None = None) -> DataFrame:
     """Dense and sparse hits fused, reranked and then held to the policy (no refill); dense: (query_id, chunk, rank) or None."""
-    parts = [bm25_search(chunks, queries, k).select("query_id", F.lit(1).alias("list"), "rank", "chunk")]
+    parts = [bm25_search(chunks, queries, k, index).select("query_id", F.lit(1).alias("list"), "rank", "chunk")]
     if dense is not None:
         parts.append(dense.select("query_id", F.lit(0).alias("list"), "rank", "chunk"))
     ranked = parts[0] if len(parts) == 1 else parts[1].unionByName(parts[0])
     payload = chunks.select("chunk", "source_path", "section_path", "text", "owner_dept", "doc_type", "sensitivity")
-    found = fuse(ranked.join(payload.select("chunk", "source_path", "section_path"), "chunk"), k).select("query_id", "chunk", "rank", "score")
-    rows = found.join(payload, "chunk").join(bounded(queries), "query_id")
+    ranked = stored(bounded(ranked).join(payload.select("chunk", "source_path", "section_path"), "chunk"), shared_folder(chunks.sparkSession), "ranked")
+    found = fuse(ranked, k).select("query_id", "chunk", "rank", "score")
+    rows = bounded(found).join(payload, "chunk").join(bounded(queries), "query_id")
     if again:
         better = rerank_simple(rows.select("query_id", "query", "rank", "chunk", "text"))
         rows = rows.drop("rank", "score").join(better, ["query_id", "chunk"])
@@ -200,6 +279,55 @@ def multihop(found: DataFrame, k: int, total: int) -> DataFrame:
     return kept.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= total)
 
 
+def decomposed(queries: DataFrame, generate=None, most: int = 3, auto: bool = True) -> DataFrame:
+    """(query_id, query, role, sub, subquery, hops): the sub-queries that a generator's replies list, numbered from 0.
+
+    Only questions that look complex are asked (all, unless auto); a reply that is no list, a failed batch and every
+    other question give the question itself. hops: whether the question is answered by several steps.
+    """
+    from corvane.operators import generation, providers
+
+    hard = is_complex("query") if auto else F.lit(True)
+    asked = queries.withColumn("hard", F.coalesce(hard, F.lit(False)))
+    replies = asked.where("hard").withColumn("prompt", generation.decompose_prompt(F.col("query")))
+    replies = providers.generated(replies, generate or providers.provider(providers.GENERATORS, "conjunctions"))
+    parts = replies.withColumn("parts", subqueries(F.coalesce("answer", F.lit("")), F.col("query"), most))
+    alone = asked.where("not hard").withColumn("parts", F.array("query"))
+    rows = parts.select("query_id", "query", "role", "parts").unionByName(alone.select("query_id", "query", "role", "parts"))
+    hops = ~((F.size("parts") == 1) & (F.col("parts")[0] == F.col("query")))
+    rows = rows.withColumn("hops", F.coalesce(hops & (F.size("parts") > 0), F.lit(False)))
+    return rows.select("query_id", "query", "role", "hops", F.posexplode("parts").alias("sub", "subquery"))
+
+
+def multihop_search(queries: DataFrame, retrieve, k: int = 5, generate=None, auto: bool = True) -> DataFrame:
+    """(query_id, sub, rank, source_path, section_path, chunk, place) of all questions, simple ones by one retrieval of k, others by k of each sub-query, 2k in all.
+
+    retrieve maps queries (query_id: long, query, role) to (query_id, rank, source_path, section_path, chunk); all
+    sub-queries of all questions are one batch.
+    """
+    parts = stored(decomposed(queries, generate, auto=auto).withColumn("number", F.monotonically_increasing_id()), shared_folder(queries.sparkSession), "parts")
+    found = retrieve(parts.select(F.col("number").alias("query_id"), F.col("subquery").alias("query"), "role")).withColumnRenamed("query_id", "number")
+    found = found.join(parts.select("number", "query_id", "sub", "hops"), "number").where(F.col("rank") <= k)
+    single = found.where("not hops").withColumn("place", F.col("rank").cast("long")).drop("number", "hops")
+    several = multihop(found.where("hops").drop("number", "hops"), k, 2 * k)
+    names = ["query_id", "sub", "rank", "source_path", "section_path", "chunk", "place"]
+    return single.select(names).unionByName(several.select(names))
+
+
+def dedup_counts(found: DataFrame) -> DataFrame:
+    """(query_id, before, after): contexts of each question before and after repeats of a source and section are left out."""
+    key = fusion_key("source_path", "section_path")
+    return found.groupBy("query_id").agg(F.count("*").alias("before"), F.countDistinct(key).alias("after"))
+
+
+def chat_contexts(chunks: DataFrame, queries: DataFrame, dense: DataFrame | None, k: int = 5, again: bool = False, index: DataFrame | None = None) -> DataFrame:
+    """What a chat answer reads and cites: hybrid hits with texts and rules (query_id, place, source_path, section_path, text, rule)."""
+    rows = hybrid_search(chunks, queries, dense, k, again, index)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")
+    rows = rows.withColumn("place", place)
+    return bounded(rows).join(chunks.select("chunk", "text"), "chunk").select("query_id", "place", "source_path", "section_path", "text", "rule", "chunk")
+
+
 def overlap_score(chunks: DataFrame, query: str) -> DataFrame:
     return chunks.withColumn("score", overlap(tokens("text", False), tokens(F.lit(query), False)))
 

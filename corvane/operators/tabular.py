@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import or_unknown, to_number
@@ -10,6 +10,8 @@ from corvane.functions.text import or_unknown, to_number
 # Column names that masking hides, and what stands in for them.
 PII = ["name", "first_name", "last_name", "email", "phone", "address", "ssn", "national_id", "dob", "date_of_birth", "employee_id", "personal_email", "personal_phone"]
 REDACTED = "[REDACTED]"
+#: Steps of a histogram.
+BINS = 2048
 #: Columns that the strict option hides besides.
 STRICT = ["full_name", "salary", "manager_id"]
 
@@ -38,12 +40,36 @@ def nested_aggregates(rows: DataFrame, **columns: str) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, value: str, by: str) -> DataFrame:
-    """Mean, median and p95: the element at int(0.95 n) of the sorted values, the largest below 20 values."""
-    n = F.count(value)
-    at = F.when(n < 20, n).otherwise(F.floor(n * 0.95) + 1)
-    ranked = rows.where(F.col(value).isNotNull())
-    from pyspark.sql import Window
-
-    place = ranked.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(value)))
-    stats = ranked.groupBy(by).agg(n.alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.median(value), 6).alias("median"), at.cast("int").alias("place"))
-    return stats.join(place.select(by, "place", F.col(value).alias("p95")), [by, "place"]).select(by, "n", "mean", "median", F.round("p95", 6).alias("p95"))
+    """Mean, median and p95: the element at int(0.95 n) of the sorted values, the largest below 20 values.
+
+    Equal values are counted first. Counts by BINS steps between a group's least and largest value find the step of
+    each place; only values of those steps are ranked, so that no task sorts a whole group.
+    """
+    found = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    stats = found.groupBy(F.col("g").alias("sg")).agg(F.sum("n").alias("all"), F.sum(F.col("v") * F.col("n")).alias("sum"), F.min("v").alias("low"), F.max("v").alias("high"))
+    n = F.col("all")
+    places = F.array((n + 1) / 2, n / 2 + 1, F.when(n < 20, n).otherwise(F.floor(n * 0.95) + 1))
+    stats = stats.withColumn("places", F.transform(places, lambda x: F.floor(x)))
+    width = F.greatest((F.col("high") - F.col("low")) / BINS, F.lit(1e-300))
+    step = F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(BINS - 1))
+    values = found.join(F.broadcast(stats), F.col("g").eqNullSafe(F.col("sg"))).select("g", "v", "n", "places", step.alias("step"))
+    steps = values.groupBy("g", "step").agg(F.sum("n").alias("m"), F.first("places").alias("places"))
+    steps = steps.withColumn("upto", F.sum("m").over(Window.partitionBy("g").orderBy("step")))  # BINS rows a group
+    holds = lambda upto, m: (F.col(upto) >= F.col("place")) & (F.col(upto) - F.col(m) < F.col("place"))
+    wanted = steps.withColumn("place", F.explode("places")).where(holds("upto", "m"))
+    wanted = wanted.select(F.col("g").alias("wg"), F.col("step").alias("ws"), "place", (F.col("upto") - F.col("m")).alias("below")).distinct()
+    inside = values.join(F.broadcast(wanted), F.col("g").eqNullSafe(F.col("wg")) & (F.col("step") == F.col("ws")))
+    inside = inside.withColumn("at", F.col("below") + F.sum("n").over(Window.partitionBy("wg", "ws", "place").orderBy("v"))).where(holds("at", "n"))
+    hit = inside.groupBy("wg").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("found"))
+    out = stats.join(F.broadcast(hit), F.col("sg").eqNullSafe(F.col("wg")))
+    at = lambda i: F.element_at("found", F.col("places")[i])
+    mean, median = F.round(F.col("sum") / n, 6), F.round((at(0) + at(1)) / 2, 6)
+    return out.select(F.col("sg").alias(by), n.alias("n"), mean.alias("mean"), median.alias("median"), F.round(at(2), 6).alias("p95"))
+
+
+def speedup(plain: DataFrame, cached: DataFrame, value: str, order: str) -> DataFrame:
+    """One row: the mean of as many plain values, in order, as there are cached ones, by the mean of those; null where that is not positive."""
+    n = cached.where(F.col(value).isNotNull()).count()
+    first = plain.where(F.col(value).isNotNull()).orderBy(order).limit(n)
+    both = first.agg(F.avg(value).alias("a")).crossJoin(cached.agg(F.avg(value).alias("b")))  # one row each
+    return both.select(F.when(F.col("b") > 0, F.round(F.col("a") / F.col("b"), 6)).alias("prefix_cache_speedup"))

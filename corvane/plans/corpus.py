@@ -32,20 +32,21 @@ ROLE_SQL = "CASE CAST(item_id % 6 AS INTEGER) WHEN 0 THEN 'finance' WHEN 1 THEN
 ROLES_SQL = "(VALUES ('finance'), ('marketing'), ('hr'), ('engineering'), ('c_level'), ('employee')) AS r(role)"
 
 
-def with_sql(role: str | None = None) -> str:
-    """The CTEs corpus, q (queries), roles and vis (role, chunk)."""
+def with_sql(role: str | None = None, q: str | None = None) -> str:
+    """The CTEs corpus, q (queries; or the given ones, of columns query_id, query, role), roles and vis (role, chunk)."""
+    q = q or f"""q AS (SELECT item_id AS query_id, text AS query, {f"'{role}'" if role else ROLE_SQL} AS role FROM benchmark)"""
     return f"""WITH c0 AS (SELECT doc_id AS chunk, text, source AS source_path, lang AS section_path, {DEPT_SQL} AS owner_dept, 'md' AS doc_type FROM documents),
 corpus AS (SELECT *, CASE WHEN chunk % 10 = 8 THEN 'confidential' WHEN chunk % 10 = 9 THEN 'restricted' WHEN owner_dept = 'general' THEN 'general' ELSE 'internal' END AS sensitivity FROM c0),
-q AS (SELECT item_id AS query_id, text AS query, {f"'{role}'" if role else ROLE_SQL} AS role FROM benchmark),
+{q},
 vis AS (SELECT role, chunk FROM {ROLES_SQL}, corpus WHERE owner_dept = 'general' OR (sensitivity IN ('general', 'internal') AND (role = owner_dept OR role = 'c_level')))"""
 
 
 PERMIT_SQL = "(role = 'c_level' OR owner_dept = 'general' OR (doc_type = 'md' AND sensitivity IN ('general', 'internal') AND role = owner_dept))"
 
 
-def bm25_sql(role: str | None = None, k: int = 5) -> str:
+def bm25_sql(role: str | None = None, k: int = 5, q: str | None = None) -> str:
     """CTEs up to hits (query_id, role, chunk, score, rank)."""
-    return with_sql(role) + f""",
+    return with_sql(role, q) + f""",
 words AS (SELECT chunk, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+') AS w FROM corpus),
 dl AS (SELECT chunk, len(w) AS dl FROM words),
 tf AS (SELECT chunk, term, count(*) AS tf FROM (SELECT chunk, lower(unnest(w)) AS term FROM words) GROUP BY chunk, term),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from corvane.functions import access
 from corvane.functions import text as T
 from corvane.operators import chunking, generation, policy, providers, retrieval, store, tabular
-from corvane.plans.corpus import DEPT_SQL, PERMIT_SQL, ROLES_SQL, asked, bm25_sql, chunks, rerank_sql, table, with_sql
+from corvane.plans.corpus import DEPT_SQL, PERMIT_SQL, ROLE_SQL, ROLES_SQL, asked, bm25_sql, chunks, rerank_sql, table, with_sql
+from corvane.sources import files
 from corvane.streaming import events as E
 
 K = 5
@@ -195,9 +196,9 @@ def lsh_topk(spark, d):
 def _dense(spark, d) -> DataFrame:
     """(query_id, chunk, score, rank): a query's vector is that of its number; each role searches the chunks it may see."""
     v = _vectors(spark, d)
-    seen = v.join(chunks(spark, d).select("chunk", F.explode("allowed_roles").alias("role")), v["id"] == F.col("chunk"))
-    q = asked(spark, d).join(v.withColumnRenamed("id", "query_id"), "query_id")
-    return retrieval.dense_search(seen, q, K, by="role").withColumnRenamed("id", "chunk")
+    seen = v.join(retrieval.visible(chunks(spark, d), asked(spark, d)).select(F.col("chunk").alias("id"), "mask"), "id")
+    q = asked(spark, d).select("query_id", access.role_bit(F.col("role")).alias("bit")).join(v.withColumnRenamed("id", "query_id"), "query_id")
+    return retrieval.dense_search(seen, q, K).withColumnRenamed("id", "chunk")
 
 
 _DENSE = f""",
@@ -400,9 +401,100 @@ def multihop_retrieve(spark, d):
     return retrieval.multihop(rows, K, 2 * K).select("query_id", "sub", "rank", "chunk", "place")
 
 
+_PARTS = f"""b AS (SELECT item_id, text, {ROLE_SQL} AS role, coalesce(regexp_matches(lower(coalesce(text, '')), '{_PATTERN}') OR length(text) - length(replace(text, '?', '')) > 1 OR (contains(lower(text), ' and ') AND len(regexp_extract_all(text, '[^\\s]+')) > 10), FALSE) AS hard FROM benchmark),
+l AS (SELECT *, CASE WHEN hard THEN list_slice(string_split(text, ' and '), 1, 3) ELSE [text] END AS parts FROM b),
+parts AS (SELECT item_id, role, sub - 1 AS sub, subquery, hops FROM (SELECT item_id, role, NOT (len(parts) = 1 AND parts[1] = text) AS hops, unnest(parts) AS subquery, generate_subscripts(parts, 1) AS sub FROM l))"""
+
+
+@query(f"WITH {_PARTS} SELECT item_id AS query_id, CAST(sub AS BIGINT) AS sub, subquery, hops FROM parts")
+def decompose(spark, d):
+    """Complex questions cut by the built-in generator, the others whole."""
+    return retrieval.decomposed(asked(spark, d)).select("query_id", F.col("sub").cast("long").alias("sub"), "subquery", "hops")
+
+
+def _sourced(spark, d):
+    """Retrieval for sub-queries: BM25 hits with their source and section."""
+
+    def retrieve(queries: DataFrame) -> DataFrame:
+        c = chunks(spark, d)
+        return retrieval.bm25_search(c, queries, K).join(c.select("chunk", "source_path", "section_path"), "chunk").select("query_id", "rank", "source_path", "section_path", "chunk")
+
+    return retrieve
+
+
+_HOPS = bm25_sql(q=f"{_PARTS}, q AS (SELECT item_id * 10 + sub AS query_id, subquery AS query, role FROM parts)") + """, found AS (SELECT p.item_id AS qid, p.sub, hops, hits.rank, source_path, section_path, hits.chunk FROM hits JOIN parts p ON p.item_id * 10 + p.sub = hits.query_id JOIN corpus USING (chunk))"""
+
+
+@query(_HOPS + f""", one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, coalesce(source_path, ''), coalesce(section_path, '') ORDER BY sub, rank) AS n FROM found WHERE hops) WHERE n = 1),
+several AS (SELECT qid, sub, rank, chunk, row_number() OVER (PARTITION BY qid ORDER BY sub, rank) AS place FROM one)
+SELECT qid AS query_id, CAST(sub AS BIGINT) AS sub, rank, chunk, rank AS place FROM found WHERE NOT hops UNION ALL SELECT qid, CAST(sub AS BIGINT), rank, chunk, place FROM several WHERE place <= {2 * K}""")
+def multihop_search(spark, d):
+    found = retrieval.multihop_search(asked(spark, d), _sourced(spark, d), K)
+    return found.select("query_id", F.col("sub").cast("long").alias("sub"), "rank", "chunk", "place")
+
+
+@query(bm25_sql() + ", found AS (SELECT query_id % 4 AS qid, source_path, section_path FROM hits JOIN corpus USING (chunk)) SELECT qid AS query_id, count(*) AS before, CAST(count(DISTINCT coalesce(source_path, '') || '#' || coalesce(section_path, '')) AS BIGINT) AS after FROM found GROUP BY qid")
+def dedup_counts(spark, d):
+    found = _sourced(spark, d)(asked(spark, d))
+    return retrieval.dedup_counts(found.withColumn("query_id", F.col("query_id") % 4))
+
+
+@query(bm25_sql() + " SELECT query_id, chunk, CAST(count(*) OVER (PARTITION BY query_id) + 1 - rank AS BIGINT) AS rank FROM hits")
+def rerank_llm(spark, d):
+    """The order of a generator that lists every snippet, the last first."""
+    return retrieval.rerank_replied(_candidates(spark, d), providers.provider(providers.GENERATORS, "backwards"))
+
+
+@query(bm25_sql() + _DENSE + _FUSED + f" SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fused.rank) AS place, source_path, section_path, chunk FROM fused JOIN q USING (query_id) JOIN corpus USING (chunk) WHERE {PERMIT_SQL}")
+def chat_contexts(spark, d):
+    out = retrieval.chat_contexts(chunks(spark, d), asked(spark, d), _dense(spark, d), K)
+    return out.select("query_id", "place", "source_path", "section_path", "chunk")
+
+
 # Stores, caches, events
 
 
+def _described(spark, d) -> DataFrame:
+    """documents as chunks of a collection, one section each, with ids and roles."""
+    rows = chunks(spark, d).where("chunk % 10 < 8").withColumn("source_path", F.concat_ws("/", "owner_dept", F.col("chunk").cast("string")))
+    parts = chunking.chunk_markdown(rows.select("source_path", "text"), max_tokens=10**8)
+    rows = parts.join(rows.drop("text", "section_path"), "source_path")
+    return rows.withColumn("id", T.chunk_id("source_path", "section_path", "text"))
+
+
+_DESCRIBED = with_sql() + """, s AS (SELECT chunk, owner_dept, source_path, substr(sha256(source_path || '||' || text), 1, 32) AS id FROM (SELECT chunk, owner_dept, owner_dept || '/' || chunk AS source_path, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM corpus WHERE chunk % 10 < 8) WHERE text <> '')"""
+
+
+@query(_DESCRIBED + " SELECT id, source_path, owner_dept, CAST(256 AS INTEGER) AS dim FROM s")
+def dense_index(spark, d):
+    """Scan, chunks, roles, embeddings and upsert of the documents of odd ids over an index of all: every id once."""
+    rows = _described(spark, d)
+    every = files.dense_index(rows, None)
+    return files.dense_index(rows.where("chunk % 2 = 1"), every).select("id", "source_path", "owner_dept", "dim")
+
+
+@query(_DESCRIBED + " SELECT (SELECT count(*) FROM corpus) AS sparse, (SELECT count(*) FROM s) AS dense")
+def index_counts(spark, d):
+    c = chunks(spark, d)
+    sparse = retrieval.postings(c.withColumn("mask", F.lit(1)))
+    return files.index_counts(sparse, _described(spark, d).dropDuplicates(["id"]))
+
+
+@query("SELECT event_id, CASE CAST(c_nationkey % 6 AS INTEGER) WHEN 0 THEN 'finance' WHEN 1 THEN 'marketing' WHEN 2 THEN 'hr' WHEN 3 THEN 'engineering' WHEN 4 THEN 'c_level' ELSE 'employee' END AS role FROM events JOIN customer ON c_custkey = user_id WHERE c_custkey % 3 > 0")
+def user_roles(spark, d):
+    """Events with their user's role; two of three customers are users."""
+    role = F.element_at(F.array(*map(F.lit, access.ROLES)), (F.col("c_nationkey") % 6 + 1).cast("int"))
+    users = table(spark, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("user_id"), role.alias("role"))
+    return access.with_role(table(spark, d, "events"), users, "user_id").select("event_id", "role")
+
+
+@query("WITH p AS (SELECT value FROM events WHERE event_type <> 'purchase' AND value IS NOT NULL ORDER BY event_id LIMIT (SELECT count(value) FROM events WHERE event_type = 'purchase')) SELECT round((SELECT avg(value) FROM p) / avg(value), 6) AS prefix_cache_speedup FROM events WHERE event_type = 'purchase'")
+def prefix_cache_speedup(spark, d):
+    """Purchases as the runs with a cached prefix, the other events as those without."""
+    e = table(spark, d, "events")
+    return tabular.speedup(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"), "value", "event_id")
+
+
 @query("WITH n AS (SELECT * FROM (SELECT 'd' || doc_id % 700 AS id, text, row_number() OVER (PARTITION BY doc_id % 700 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1), o AS (SELECT 'd' || item_id AS id, text FROM benchmark) SELECT id, text FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, text FROM n")
 def upsert(spark, d):
     """benchmark texts, overwritten by documents with repeated ids."""
@@ -431,6 +523,43 @@ def cache_misses(spark, d):
     return store.misses(*_asked_keys(spark, d)).select("doc_id", "key")
 
 
+@query(f"SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS value, coalesce(text, '') IN (SELECT coalesce(text, '') FROM {_CACHE}) AS cached FROM documents")
+def cache_merge(spark, d):
+    """Values of all documents: those of the cache, and those computed for the misses."""
+    key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    row = lambda t: t.select(key.alias("key"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("value"))
+    docs = table(spark, d, "documents")
+    cache = row(table(spark, d, "conversations")).unionByName(row(docs.where("lang = 'en'"))).dropDuplicates(["key"])
+    new = store.misses(row(docs), cache)
+    return store.merged(docs.select("doc_id", key.alias("key")), cache, new).select("doc_id", "value", "cached")
+
+
+def _entries(spark, d) -> DataFrame:
+    """Events as cache entries: their user is the key, their value the size."""
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("at"), "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.floor(F.coalesce("value", F.lit(0))).cast("long").alias("size"))
+
+
+@query("SELECT key, event_id FROM (SELECT user_id AS key, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def cache_put(spark, d):
+    """Entries of odd events written over those of even ones and themselves: a user's latest one stays."""
+    rows = _entries(spark, d)
+    return store.put(rows.limit(0), rows).select("key", "event_id")
+
+
+_CAP = 20_000
+
+
+@query(f"SELECT event_id FROM (SELECT event_id, sum(size) OVER (ORDER BY hour DESC, ts DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM (SELECT event_id, ts, date_trunc('hour', ts) AS hour, CAST(floor(coalesce(value, 0)) AS BIGINT) AS size FROM events)) WHERE upto <= {_CAP}")
+def cache_within(spark, d):
+    return store.within(_entries(spark, d), _CAP, at="ts", tie="event_id").select("event_id")
+
+
+@query("SELECT count(*) AS item_count, CAST(sum(CAST(floor(coalesce(value, 0)) AS BIGINT)) AS BIGINT) AS size_bytes FROM events")
+def cache_stats(spark, d):
+    return store.stats(_entries(spark, d))
+
+
 @query("SELECT event_id, user_id FROM events WHERE event_type <> 'purchase' AND ts + INTERVAL 15 DAY > (SELECT max(ts) FROM events) UNION ALL SELECT event_id, user_id FROM events WHERE event_type = 'purchase'")
 def cache_ttl(spark, d):
     """Events as cache entries of fifteen days; purchases never expire."""
@@ -466,4 +595,4 @@ def rate_limit_keys(spark, d):
 def local_embeddings(spark, d):
     """Vectors of all documents from the built-in embedder, in provider batches."""
     rows = table(spark, d, "documents").select("doc_id", "text")
-    return providers.embedded(rows, providers.provider(providers.EMBEDDERS, "local"), "code-points").select("doc_id", "embedding", "model", "dim")
+    return providers.embedded(rows, providers.provider(providers.EMBEDDERS, "local"), "hashed-256").select("doc_id", "embedding", "model", "dim")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import access
 from corvane.functions.text import chunk_id
+from corvane.operators import providers
 from corvane.operators.chunking import chunk_markdown
-
+from corvane.operators.store import write_version
 
 
 def _described(rows: DataFrame, base: str) -> DataFrame:
@@ -44,6 +45,28 @@ def build_index(spark: SparkSession, base: str, **options) -> DataFrame:
     return chunks.select("*", *access.role_flags(F.col("allowed_roles")))
 
 
+def dense_index(chunks: DataFrame, old: DataFrame | None, embed=None, model: str = "hashed-256") -> DataFrame:
+    """Chunks of build_index with embedding, model and dim, in place of those of the same id in old; of repeated ids one stays.
+
+    embed maps a list of texts to vectors and gets provider batches; the built-in embedder needs no network.
+    """
+    embed = embed or providers.provider(providers.EMBEDDERS, "local")
+    new = providers.embedded(chunks.dropDuplicates(["id"]), embed, model)
+    return new if old is None else old.join(new.select("id"), "id", "left_anti").select(new.columns).unionByName(new)
+
+
+def build_dense_index(spark: SparkSession, base: str, path: str, old: DataFrame | None = None, embed=None, **options) -> int:
+    """Scans, chunks, embeds and writes a new version of the dense index of a folder; the number of its rows (a missing base: 0)."""
+    if not os.path.exists(base) and "://" not in base:
+        return 0
+    return write_version(dense_index(build_index(spark, base, **options), old, embed), path).count()
+
+
+def index_counts(sparse: DataFrame, dense: DataFrame) -> DataFrame:
+    """One row: the numbers of chunks of the sparse index (chunk) and of the dense one."""
+    return sparse.agg(F.countDistinct("chunk").alias("sparse")).crossJoin(dense.agg(F.count("*").alias("dense")))  # one row each
+
+
 def hr_rows(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header; every value stays a string."""
     return spark.read.csv(path, header=True, inferSchema=False)
@@ -62,7 +85,17 @@ def env_file(path: str) -> dict[str, str]:
 
 
 # Settings and their defaults.
-SETTINGS = {"HR_AGGREGATE_MODE": "disabled", "HR_MASKED_ROWS_MODE": "disabled", "AUDIT_LOG_DIR": "logs/audit"}
+SETTINGS = {
+    "OPENAI_API_KEY": "",
+    "OPENAI_EMBEDDING_MODEL": "text-embedding-3-small",
+    "OPENAI_CHAT_MODEL": "gpt-4o-mini",
+    "CHROMA_DB_DIR": ".chroma",
+    "HR_AGGREGATE_MODE": "disabled",
+    "HR_MASKED_ROWS_MODE": "disabled",
+    "AUDIT_LOG_DIR": "logs/audit",
+    "HOST": "127.0.0.1",
+    "PORT": "8000",
+}
 
 
 def settings(**over: str) -> dict[str, str]:

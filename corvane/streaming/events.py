@@ -38,18 +38,23 @@ def stream_files(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def indexed(new_chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Adds the chunks of a stream to an index, those whose id it holds already left out."""
+    """Adds the chunks of a stream to an index, those whose id it holds already left out.
+
+    Every batch writes a partition of its own number anew, so a batch that is run again leaves no row twice.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates(["id"])
         try:
-            known = spark.read.parquet(path).select("id")
+            known = spark.read.schema("id string, batch long").parquet(path).where(F.col("batch") < number).select("id")
+            known.limit(1).count()
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             known = None
-        (rows.join(known, "id", "left_anti") if known is not None else rows).write.mode("append").parquet(path)
+        new = rows.join(known, "id", "left_anti") if known is not None else rows
+        new.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
 
     return new_chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
