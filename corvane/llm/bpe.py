@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corvane.llm.common import tidied
+from corvane.llm.common import shipped, slices, tidied
 
 SHORT = 64
 #: Runs that a worker remembers; beyond, it forgets all of them.
@@ -278,10 +278,10 @@ def _with(df: DataFrame, **kinds: T.DataType) -> T.StructType:
 
 def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with a column of token ids of each whole text."""
-    path = path or default_path()
+    place = shipped(df.sparkSession, path or default_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.load(path)
+        bpe = ByteBpe.load(place())
         for batch in batches:
             for some in _runs(batch, text):
                 yield _replaced(some, **{ids: bpe.encode_batch([t or "" for t in some.column(text).to_pylist()]).arrow()})
@@ -291,11 +291,11 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
 
 def tokenized(df: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """df with ids, n_tokens and lossless (whether the ids decode to the text) instead of its text."""
-    path = path or default_path()
+    place = shipped(df.sparkSession, path or default_path())
     kinds = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "lossless": T.BooleanType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.load(path)
+        bpe = ByteBpe.load(place())
         for batch in batches:
             for some in _runs(batch, text):
                 texts = [t or "" for t in some.column(text).to_pylist()]
@@ -313,10 +313,10 @@ def tokenized(df: DataFrame, path: str | None = None, text: str = "text") -> Dat
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of each row's ids; null ids give an empty text."""
-    path = path or default_path()
+    place = shipped(df.sparkSession, path or default_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.load(path)
+        bpe = ByteBpe.load(place())
         for batch in batches:
             yield _replaced(batch, **{text: pa.array([bpe.decode([i for i in x or [] if i is not None]) for x in batch.column(ids).to_pylist()], type=pa.string())})
 
@@ -324,7 +324,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str =
 
 
 def _runs(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    from corvane.llm.common import slices
+
 
     return slices(batch, text, 2 << 20)
 
@@ -334,11 +334,11 @@ def round_trip(df: DataFrame, path: str | None = None, text: str = "text") -> Da
 
     The same encoder and decoder as ``encode`` and ``decode``, one after the other in a task, so that ids need not pass through the JVM.
     """
-    path = path or default_path()
+    place = shipped(df.sparkSession, path or default_path())
     kinds = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.load(path)
+        bpe = ByteBpe.load(place())
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for some in _runs(batch, text):

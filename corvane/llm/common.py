@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
+import os
 from functools import wraps
 
 import numpy as np
@@ -14,35 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.storage import forget, shared_folder, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else None
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/corvane-{uuid.uuid4().hex}"
+__all__ = ["forget", "shared_folder", "stored"]
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Writes df once as a table in the shared folder and reads it back: lineage ends there, on storage that outlives executors."""
-    path = f"{folder}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a stored() table that no later step reads."""
-    for path in {re.sub(r"/[^/]*$", "", p) for p in df.inputFiles()}:
-        jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
@@ -204,10 +180,32 @@ def small_fold(column, n: int, out: int):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, out: int, most: int) -> DataFrame:
-    """text and label (int) of at most so many labelled documents outside the held-out fold, the first by a hash of the id.
+    """doc_id, text and label (int) of the documents of at most so many labelled ids outside the held-out fold, the first by a hash of the id.
 
-    The sample's size is bounded, so its ids are broadcast; texts stay where they are read.
+    Of several labels of an id the largest counts. The number of ids is bounded, so they are broadcast; texts stay
+    where they are read. Ids may repeat: what is made of the rows goes through ``first_rows``.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ids = bounded_sample(ids.where(~small_fold(F.col("doc_id"), n, out)), "doc_id", most)
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def first_rows(rows: DataFrame, most: int, *tie: str) -> DataFrame:
+    """At most so many rows, the first by a hash of doc_id: what reaches the driver is bounded however often an id repeats."""
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", *tie).limit(most)
+
+
+def shipped(spark: SparkSession, path: str):
+    """Sends a file of the driver to all executors; a function that gives its place in a task."""
+    context, sent = spark.sparkContext, path
+    if path not in getattr(context, "_corvane_files", set()):
+        context.addFile(path)
+        context._corvane_files = {*getattr(context, "_corvane_files", set()), path}
+
+    def place() -> str:
+        from pyspark import SparkFiles
+
+        own = SparkFiles.get(os.path.basename(sent))
+        return own if os.path.exists(own) else sent
+
+    return place

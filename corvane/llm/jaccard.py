@@ -59,7 +59,7 @@ LEAF = 16
 #: Members of a leader's group that one task verifies.
 SLICE = 512
 #: Groups that one task forms of a block, beyond which more than TILE free sets go to tiles, and members of a tile.
-LEADERS, TILE = 64, 4096
+LEADERS, TILE = 64, 1024
 #: Places in a set are kept in this many steps, those of a prefix in a byte.
 STEPS = 1024
 #: Group rows up to which they are broadcast to the texts; beyond, both are shuffled.

@@ -7,7 +7,9 @@ arrays of features, thresholds and leaf values, which a batch walks level by
 level. The fit takes at most ``sample`` labelled rows, outside the held-out fold.
 
 Defined results: null and empty texts have zero statistics and are scored like
-any text; without labelled rows every score is 0.5; rows keep null ids.
+any text; without labelled rows every score is 0.5; rows keep null ids
+and repeated rows are scored each. Of several labels of an id the largest counts.
+Columns beyond doc_id, text and the label are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U, LOWER, labelled, mix64, slices, small_fold, text_bytes, tidied, word_hashes, words
+from corvane.llm.common import U, LOWER, first_rows, labelled, mix64, slices, small_fold, text_bytes, tidied, word_hashes, words
 
 SAMPLE = 12_000
 BINS, DEPTH, TREES, RATE = 64, 4, 80, 0.15
@@ -161,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
                 x = statistics(some.column("text"))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
-    rows = labelled(docs, labels, "quality", 4, 2, sample).mapInArrow(tidied(run), "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
+    rows = labelled(docs, labels, "quality", 4, 2, sample).mapInArrow(tidied(run), "doc_id long, label int, x binary")
+    rows = first_rows(rows, sample, "x").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(-1, len(NAMES))
     return Trees.fit(x, rows["label"].to_numpy(dtype=np.float64))
 

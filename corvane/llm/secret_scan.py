@@ -9,7 +9,8 @@ tiktoken vocabulary are at most ``RATIO``. A run that a base span covers in part
 is tested in the parts that are left.
 
 Defined results: null and empty texts have no spans; positions are code points,
-ends exclusive; rows keep null ids and repeated rows.
+ends exclusive; rows keep null ids and repeated rows; an empty table gives no
+rows. ``redacted`` keeps all columns; the scan reads doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import slices, tidied
+from corvane.llm.common import shipped, slices, tidied
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -111,10 +112,10 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 def secrets(docs: DataFrame, path: str | None = None, ratio: float = RATIO) -> DataFrame:
     """doc_id and spans (an array of kind, start, end, by start and then by kind) of each row of docs."""
-    path = path or default_path()
+    place = shipped(docs.sparkSession, path or default_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(place())
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for some in slices(batch, "text"):
@@ -130,11 +131,11 @@ def secrets(docs: DataFrame, path: str | None = None, ratio: float = RATIO) -> D
 
 def redacted(docs: DataFrame, path: str | None = None, ratio: float = RATIO, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of its text replaced by mark; overlapping spans are replaced as one. Other columns stay."""
-    path = path or default_path()
+    place = shipped(docs.sparkSession, path or default_path())
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(place())
         for batch in batches:
             for some in slices(batch, "text"):
                 out = []

@@ -8,7 +8,9 @@ few weights, kept as a sorted array of hashes that every task gets. The fit take
 at most ``sample`` labelled rows outside the held-out fold.
 
 Defined results: null and empty texts get the bias's score; without labelled
-rows every score is 0.5; rows keep null ids.
+rows every score is 0.5; rows keep null ids and repeated rows are scored each. Of
+several labels of an id the largest counts. Columns beyond doc_id, text and the
+label are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U, NOT_ALNUM, labelled, mix64, slices, small_fold, span_hashes, text_bytes, tidied, words
+from corvane.llm.common import U, NOT_ALNUM, first_rows, labelled, mix64, slices, small_fold, span_hashes, text_bytes, tidied, words
 
 SAMPLE = 8_000
 #: log2 of the feature space.
@@ -106,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Sparse:
                 cuts = np.searchsorted(of[order], np.arange(1, n))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("label"), pa.array([np.unique(d).tobytes() for d in np.split(x[order], cuts)], pa.binary())], names=["doc_id", "label", "x"])
 
-    rows = labelled(docs, labels, "toxic", 5, 0, sample).mapInArrow(tidied(run), "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
+    rows = labelled(docs, labels, "toxic", 5, 0, sample).mapInArrow(tidied(run), "doc_id long, label int, x binary")
+    rows = first_rows(rows, sample, "x").toPandas().sort_values(["doc_id", "x"])
     return Sparse.fit([np.frombuffer(x, dtype=np.uint32) for x in rows["x"]], rows["label"].to_numpy(dtype=np.float64))
 
 
