@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from corvane.functions.text import NO_ANSWER, source_label
 
 # The two prompts.
-SYSTEM = "You are a careful assistant. Answer ONLY using the provided context snippets. Cite sources in-line as [#] and include a final 'Citations' section listing source and section. If the answer is not in the context, reply: 'I don't know based on the available context.'"
-RERANK = "You are a helpful reranking assistant. Given a query and a list of snippets,\nreturn the indices of the top snippets in descending relevance order as a JSON list of integers.\nOnly output the JSON array (e.g., [2,0,1])."
+SYSTEM = (
+    "You are a careful assistant. Answer ONLY using the provided context snippets. Cite sources in-line as "
+    "[#] and include a final 'Citations' section listing source and section. If the answer is not in the "
+    "context, reply: 'I don't know based on the available context.'"
+)
+RERANK = (
+    "You are a helpful reranking assistant. Given a query and a list of snippets,\nreturn the indices of "
+    "the top snippets in descending relevance order as a JSON list of integers.\nOnly output the JSON array "
+    "(e.g., [2,0,1])."
+)
 #: The instruction that asks for sub-queries; an own wording, of which only the form of the reply matters.
-DECOMPOSE = "Split the question below into two to four short questions that can be answered one by one, with the words a search would need.\nReturn only a JSON array of strings."
+DECOMPOSE = (
+    "Split the question below into two to four short questions that can be answered one by one, with the "
+    "words a search would need.\nReturn only a JSON array of strings."
+)
 
 
 def contexts(rows: DataFrame) -> DataFrame:

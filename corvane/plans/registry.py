@@ -42,13 +42,19 @@ def oracle_sql() -> dict[str, str]:
 # Texts and access
 
 
-@query("SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, lower(array_to_string(w, ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+') AS w FROM documents)")
+@query((
+    "SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, lower(array_to_string(w, ' ')) AS tokens FROM (SELECT "
+    "doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+') AS w FROM documents)"
+))
 def tokenize_bm25(spark, d):
     t = T.tokens("text")
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
-@query("SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, lower(array_to_string(w, ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+') AS w FROM documents)")
+@query((
+    "SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, lower(array_to_string(w, ' ')) AS tokens FROM (SELECT "
+    "doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+') AS w FROM documents)"
+))
 def tokenize_keyword(spark, d):
     t = T.tokens("text", False)
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
@@ -64,7 +70,11 @@ def chunk_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", T.chunk_id("source", "lang", "text").alias("id"))
 
 
-@query("SELECT page_id, CASE lower(regexp_extract(url || CASE page_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.CSV' WHEN 2 THEN '.pdf' ELSE '' END, '\\.([^./]+)$', 1)) WHEN 'md' THEN 'md' WHEN 'csv' THEN 'csv' ELSE 'unknown' END AS doc_type FROM pages")
+@query((
+    "SELECT page_id, CASE lower(regexp_extract(url || CASE page_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.CSV' "
+    "WHEN 2 THEN '.pdf' ELSE '' END, '\\.([^./]+)$', 1)) WHEN 'md' THEN 'md' WHEN 'csv' THEN 'csv' ELSE 'unknown' "
+    "END AS doc_type FROM pages"
+))
 def doc_types(spark, d):
     suffix = F.when(F.col("page_id") % 4 == 0, ".md").when(F.col("page_id") % 4 == 1, ".CSV").when(F.col("page_id") % 4 == 2, ".pdf").otherwise("")
     return table(spark, d, "pages").select("page_id", access.doc_type(F.concat("url", suffix)).alias("doc_type"))
@@ -84,13 +94,19 @@ def sensitivity(spark, d):
     return _kinds(spark, d)
 
 
-@query(f"""SELECT doc_id, CASE WHEN owner_dept = 'general' THEN 'finance,marketing,hr,engineering,c_level,employee' WHEN doc_type = 'md' AND sensitivity IN ('general', 'internal') THEN owner_dept || ',c_level' WHEN owner_dept = 'hr' AND doc_type IN ('csv', 'aggregate') THEN 'hr,c_level' ELSE '' END AS roles
+@query(f"""SELECT doc_id, CASE WHEN owner_dept = 'general' THEN 'finance,marketing,hr,engineering,c_level,employee' WHEN
+    doc_type = 'md' AND sensitivity IN ('general', 'internal') THEN owner_dept || ',c_level' WHEN owner_dept = 'hr' AND doc_type
+    IN ('csv', 'aggregate') THEN 'hr,c_level' ELSE '' END AS roles
 FROM (SELECT *, {_SENSITIVITY_SQL} AS sensitivity FROM {_KINDS_SQL})""")
 def allowed_roles(spark, d):
     return _kinds(spark, d).select("doc_id", F.array_join(access.allowed_roles(F.col("owner_dept"), F.col("doc_type"), F.col("sensitivity")), ",").alias("roles"))
 
 
-@query(with_sql() + """ SELECT c.chunk, count(CASE WHEN role = 'finance' THEN 1 END) > 0 AS role_finance, count(CASE WHEN role = 'marketing' THEN 1 END) > 0 AS role_marketing, count(CASE WHEN role = 'hr' THEN 1 END) > 0 AS role_hr, count(CASE WHEN role = 'engineering' THEN 1 END) > 0 AS role_engineering, count(CASE WHEN role = 'c_level' THEN 1 END) > 0 AS role_c_level, count(CASE WHEN role = 'employee' THEN 1 END) > 0 AS role_employee, coalesce(string_agg(role, ',' ORDER BY role), '') AS allowed_roles_str FROM corpus c LEFT JOIN vis v ON c.chunk = v.chunk GROUP BY c.chunk""")
+@query(with_sql() + """ SELECT c.chunk, count(CASE WHEN role = 'finance' THEN 1 END) > 0 AS role_finance, count(CASE WHEN
+    role = 'marketing' THEN 1 END) > 0 AS role_marketing, count(CASE WHEN role = 'hr' THEN 1 END) > 0 AS role_hr, count(CASE
+    WHEN role = 'engineering' THEN 1 END) > 0 AS role_engineering, count(CASE WHEN role = 'c_level' THEN 1 END) > 0 AS role_c_level,
+    count(CASE WHEN role = 'employee' THEN 1 END) > 0 AS role_employee, coalesce(string_agg(role, ',' ORDER BY role), '')
+    AS allowed_roles_str FROM corpus c LEFT JOIN vis v ON c.chunk = v.chunk GROUP BY c.chunk""")
 def role_flags(spark, d):
     return chunks(spark, d).select("chunk", *access.role_flags(F.col("allowed_roles")))
 
@@ -102,7 +118,14 @@ def role_filter(spark, d):
     return chunks(spark, d).select("chunk", F.explode("allowed_roles").alias("role")).join(F.broadcast(roles), "role").select("role", "chunk")
 
 
-@query(with_sql() + f", t AS (SELECT role, c.* FROM {ROLES_SQL}, corpus c) SELECT role, chunk, CASE WHEN {PERMIT_SQL} THEN 'permit' ELSE 'deny' END AS effect, CASE WHEN role = 'c_level' THEN 'c_level_full_access' WHEN owner_dept = 'general' THEN 'general_docs_any_role' WHEN sensitivity IN ('general', 'internal') AND role = owner_dept THEN 'same_department_internal_docs' WHEN role = 'employee' THEN 'employee_non_general_deny' WHEN role <> owner_dept THEN 'cross_department_deny' ELSE 'high_sensitivity_md_deny_by_default' END AS rule FROM t")
+@query(with_sql() + (
+    f", t AS (SELECT role, c.* FROM {ROLES_SQL}, corpus c) SELECT role, chunk, CASE WHEN {PERMIT_SQL} THEN "
+    "'permit' ELSE 'deny' END AS effect, CASE WHEN role = 'c_level' THEN 'c_level_full_access' WHEN owner_dept "
+    "= 'general' THEN 'general_docs_any_role' WHEN sensitivity IN ('general', 'internal') AND role = owner_dept "
+    "THEN 'same_department_internal_docs' WHEN role = 'employee' THEN 'employee_non_general_deny' WHEN role "
+    "<> owner_dept THEN 'cross_department_deny' ELSE 'high_sensitivity_md_deny_by_default' END AS rule FROM "
+    "t"
+))
 def policy_decisions(spark, d):
     rows = chunks(spark, d).withColumn("role", F.explode(F.array(*map(F.lit, access.ROLES))))
     return rows.withColumn("x", policy.decision(F.col("role"), F.lit("retrieve_chunk"))).select("role", "chunk", "x.effect", "x.rule")
@@ -129,15 +152,34 @@ def policy_rows(spark) -> DataFrame:
 
 
 @query(_GRID_SQL + """, g AS (SELECT * FROM v_role, v_owner_dept, v_doc_type, v_sensitivity, v_action, v_rows_mode, v_aggregate_mode),
-f AS (SELECT *, coalesce(role = 'c_level', FALSE) AS top, coalesce(role IN ('hr', 'c_level'), FALSE) AS hrc, coalesce(owner_dept = 'general', FALSE) AS gen, coalesce(owner_dept = 'hr', FALSE) AS hr, coalesce(doc_type, '') AS dt, role IS NOT DISTINCT FROM owner_dept AS own, action IN ('retrieve_chunk', 'view_source') AS rd, coalesce(sensitivity, '') AS s FROM g),
-r AS (SELECT *, CASE WHEN top THEN 'c_level_full_access' WHEN gen AND rd THEN 'general_docs_any_role' WHEN dt = 'md' AND s IN ('general', 'internal') AND own AND rd THEN 'same_department_internal_docs' WHEN coalesce(role, '') = 'employee' AND NOT gen THEN 'employee_non_general_deny' WHEN dt = 'md' AND NOT own AND NOT gen THEN 'cross_department_deny' WHEN hr AND dt = 'csv' AND action = 'view_row' AND hrc THEN 'hr_rows_hr_and_c_level_only' WHEN hr AND dt = 'csv' AND action = 'view_row' THEN 'non_hr_hr_rows_deny' WHEN coalesce(rows_mode, '') = 'enabled' AND hr AND dt = 'csv' AND action = 'view_masked_row' AND NOT hrc THEN 'hr_masked_rows_non_hr_if_enabled' WHEN hr AND dt = 'csv' AND action = 'view_masked_row' AND hrc THEN 'hr_masked_rows_hr_and_c_level' WHEN coalesce(aggregate_mode, '') = 'enabled' AND hr AND dt = 'aggregate' AND action IN ('retrieve_chunk', 'view_source', 'aggregate_query') AND NOT hrc THEN 'hr_aggregates_non_hr_if_enabled' WHEN hr AND dt = 'aggregate' AND action IN ('retrieve_chunk', 'view_source', 'aggregate_query') AND hrc THEN 'hr_aggregates_hr_and_c_level' WHEN dt = 'md' AND s IN ('confidential', 'restricted') THEN 'high_sensitivity_md_deny_by_default' END AS rule FROM f)
-SELECT role, owner_dept, doc_type, sensitivity, action, rows_mode, aggregate_mode, rule, CASE WHEN rule IS NULL OR rule LIKE '%deny%' THEN 'deny' ELSE 'permit' END AS effect FROM r""")
+f AS (SELECT *, coalesce(role = 'c_level', FALSE) AS top, coalesce(role IN ('hr', 'c_level'), FALSE) AS hrc, coalesce(owner_dept
+    = 'general', FALSE) AS gen, coalesce(owner_dept = 'hr', FALSE) AS hr, coalesce(doc_type, '') AS dt, role IS NOT DISTINCT
+    FROM owner_dept AS own, action IN ('retrieve_chunk', 'view_source') AS rd, coalesce(sensitivity, '') AS s FROM g),
+r AS (SELECT *, CASE WHEN top THEN 'c_level_full_access' WHEN gen AND rd THEN 'general_docs_any_role' WHEN dt = 'md' AND
+    s IN ('general', 'internal') AND own AND rd THEN 'same_department_internal_docs' WHEN coalesce(role, '') = 'employee'
+    AND NOT gen THEN 'employee_non_general_deny' WHEN dt = 'md' AND NOT own AND NOT gen THEN 'cross_department_deny' WHEN
+    hr AND dt = 'csv' AND action = 'view_row' AND hrc THEN 'hr_rows_hr_and_c_level_only' WHEN hr AND dt = 'csv' AND action
+    = 'view_row' THEN 'non_hr_hr_rows_deny' WHEN coalesce(rows_mode, '') = 'enabled' AND hr AND dt = 'csv' AND action = 'view_masked_row'
+    AND NOT hrc THEN 'hr_masked_rows_non_hr_if_enabled' WHEN hr AND dt = 'csv' AND action = 'view_masked_row' AND hrc THEN
+    'hr_masked_rows_hr_and_c_level' WHEN coalesce(aggregate_mode, '') = 'enabled' AND hr AND dt = 'aggregate' AND action
+    IN ('retrieve_chunk', 'view_source', 'aggregate_query') AND NOT hrc THEN 'hr_aggregates_non_hr_if_enabled' WHEN hr AND
+    dt = 'aggregate' AND action IN ('retrieve_chunk', 'view_source', 'aggregate_query') AND hrc THEN 'hr_aggregates_hr_and_c_level'
+    WHEN dt = 'md' AND s IN ('confidential', 'restricted') THEN 'high_sensitivity_md_deny_by_default' END AS rule FROM f)
+SELECT role, owner_dept, doc_type, sensitivity, action, rows_mode, aggregate_mode, rule, CASE WHEN rule IS NULL OR rule LIKE
+    '%deny%' THEN 'deny' ELSE 'permit' END AS effect FROM r""")
 def policy_grid(spark, d):
     x = policy.decision(F.col("role"), F.col("action"), {"hr_masked_rows_mode": F.col("rows_mode"), "hr_aggregate_mode": F.col("aggregate_mode")})
     return policy_rows(spark).withColumn("x", x).select(*_GRID, "x.rule", "x.effect")
 
 
-@query(with_sql() + f", t AS (SELECT role, c.* FROM {ROLES_SQL}, corpus c) SELECT role, owner_dept, sensitivity, count(*) AS n, count(v.chunk) AS admitted, count(CASE WHEN {PERMIT_SQL} THEN 1 END) AS permitted FROM (SELECT t.*, vis.chunk AS v FROM t LEFT JOIN vis ON t.role = vis.role AND t.chunk = vis.chunk) AS x(role, chunk, text, source_path, section_path, owner_dept, doc_type, sensitivity, v) LEFT JOIN (SELECT chunk AS k FROM corpus) ON FALSE LEFT JOIN (SELECT 1 AS chunk) v ON x.v IS NOT NULL GROUP BY role, owner_dept, sensitivity")
+@query(with_sql() + (
+    f", t AS (SELECT role, c.* FROM {ROLES_SQL}, corpus c) SELECT role, owner_dept, sensitivity, count(*) "
+    f"AS n, count(v.chunk) AS admitted, count(CASE WHEN {PERMIT_SQL} THEN 1 END) AS permitted FROM (SELECT "
+    "t.*, vis.chunk AS v FROM t LEFT JOIN vis ON t.role = vis.role AND t.chunk = vis.chunk) AS x(role, chunk, "
+    "text, source_path, section_path, owner_dept, doc_type, sensitivity, v) LEFT JOIN (SELECT chunk AS k "
+    "FROM corpus) ON FALSE LEFT JOIN (SELECT 1 AS chunk) v ON x.v IS NOT NULL GROUP BY role, owner_dept, "
+    "sensitivity"
+))
 def prefilter_vs_policy(spark, d):
     rows = chunks(spark, d).withColumn("role", F.explode(F.array(*map(F.lit, access.ROLES))))
     permit = policy.decision(F.col("role"), F.lit("retrieve_chunk"))["effect"] == "permit"
@@ -159,14 +201,18 @@ def batch_bm25(spark, d):
     return retrieval.bm25_search(chunks(spark, d), asked(spark, d), K).select("query_id", "chunk", "score", "rank")
 
 
-@query("SELECT doc_id AS chunk, term, count(*) AS tf FROM (SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'))) AS term FROM documents) GROUP BY doc_id, term")
+@query((
+    "SELECT doc_id AS chunk, term, count(*) AS tf FROM (SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, "
+    "''), '[A-Za-z0-9_]+'))) AS term FROM documents) GROUP BY doc_id, term"
+))
 def postings(spark, d):
     return chunks(spark, d).select("chunk", F.explode(T.tokens("text")).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("tf"))
 
 
 @query(with_sql() + f""", w AS (SELECT chunk, lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'))) AS term FROM corpus),
 t AS (SELECT DISTINCT query_id, role, term FROM (SELECT query_id, role, lower(unnest(regexp_extract_all(coalesce(query, ''), '[A-Za-z0-9]+'))) AS term FROM q)),
-s AS (SELECT query_id, chunk, count(*) AS score FROM t JOIN w USING (term) JOIN vis USING (role, chunk) JOIN (SELECT chunk, owner_dept, doc_type, sensitivity FROM corpus) USING (chunk) WHERE {PERMIT_SQL} GROUP BY query_id, chunk)
+s AS (SELECT query_id, chunk, count(*) AS score FROM t JOIN w USING (term) JOIN vis USING (role, chunk) JOIN (SELECT chunk,
+    owner_dept, doc_type, sensitivity FROM corpus) USING (chunk) WHERE {PERMIT_SQL} GROUP BY query_id, chunk)
 SELECT query_id, chunk, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM s) WHERE rank <= {K}""")
 def overlap_search(spark, d):
     return retrieval.keyword_search(chunks(spark, d), asked(spark, d), K).select("query_id", "chunk", "score", "rank")
@@ -179,7 +225,11 @@ def _vectors(spark, d) -> DataFrame:
 _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 
 
-@query(f"SELECT query_id, id, score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= {K}")
+@query((
+    f"SELECT query_id, id, score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score, "
+    f"row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, "
+    f"embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= {K}"
+))
 def cosine_topk(spark, d):
     """The stated query set (ids divisible by 20) against all rows."""
     v = _vectors(spark, d)
@@ -202,7 +252,8 @@ def _dense(spark, d) -> DataFrame:
 
 
 _DENSE = f""",
-dv AS (SELECT q.query_id, b.vec_id AS chunk, {_COS} AS score FROM q JOIN embeddings a ON a.vec_id = q.query_id JOIN vis ON vis.role = q.role JOIN embeddings b ON b.vec_id = vis.chunk),
+dv AS (SELECT q.query_id, b.vec_id AS chunk, {_COS} AS score FROM q JOIN embeddings a ON a.vec_id = q.query_id JOIN vis ON
+    vis.role = q.role JOIN embeddings b ON b.vec_id = vis.chunk),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM dv) WHERE rank <= {K})"""
 
 
@@ -214,7 +265,8 @@ def dense_role_search(spark, d):
 _FUSED = f""",
 lists AS (SELECT query_id, 0 AS list, rank, chunk FROM dense UNION ALL SELECT query_id, 1, rank, chunk FROM hits),
 parts AS (SELECT query_id, coalesce(source_path, '') || '#' || coalesce(section_path, '') AS key, list, rank, chunk FROM lists JOIN corpus USING (chunk)),
-sums AS (SELECT query_id, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000000 + rank) AS first, arg_max(chunk, list * 1000000 + rank) AS chunk FROM parts GROUP BY query_id, key),
+sums AS (SELECT query_id, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000000 + rank) AS first, arg_max(chunk,
+    list * 1000000 + rank) AS chunk FROM parts GROUP BY query_id, key),
 fused AS (SELECT * FROM (SELECT query_id, key, score, chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM sums) WHERE rank <= {K})"""
 
 
@@ -238,20 +290,31 @@ def rerank_simple(spark, d):
     return retrieval.rerank(_candidates(spark, d), "simple")
 
 
-@query(bm25_sql() + f""", e AS (SELECT hits.query_id, hits.chunk, hits.rank AS before, {_COS} AS score FROM hits JOIN embeddings a ON a.vec_id = hits.query_id JOIN embeddings b ON b.vec_id = hits.chunk) SELECT query_id, chunk, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM e""")
+@query(bm25_sql() + f""", e AS (SELECT hits.query_id, hits.chunk, hits.rank AS before, {_COS} AS score FROM hits JOIN embeddings
+    a ON a.vec_id = hits.query_id JOIN embeddings b ON b.vec_id = hits.chunk) SELECT query_id, chunk, score, row_number()
+    OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM e""")
 def rerank_embedding(spark, d):
     v = _vectors(spark, d)
     rows = _candidates(spark, d).join(v.withColumnRenamed("id", "chunk"), "chunk").join(v.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")), "query_id")
     return retrieval.rerank_embedding(rows)
 
 
-@query(bm25_sql() + _DENSE + _FUSED + ", cand AS (SELECT fused.query_id, q.query, fused.rank, fused.chunk, corpus.text FROM fused JOIN q USING (query_id) JOIN corpus USING (chunk))" + rerank_sql("cand") + f" SELECT query_id, chunk, source_path, section_path, score, rank FROM reranked JOIN q USING (query_id) JOIN corpus USING (chunk) WHERE {PERMIT_SQL}")
+@query(bm25_sql() + _DENSE + _FUSED + (
+    ", cand AS (SELECT fused.query_id, q.query, fused.rank, fused.chunk, corpus.text FROM fused JOIN q USING "
+    "(query_id) JOIN corpus USING (chunk))"
+) + rerank_sql("cand") + (
+    " SELECT query_id, chunk, source_path, section_path, score, rank FROM reranked JOIN q USING (query_id) "
+    f"JOIN corpus USING (chunk) WHERE {PERMIT_SQL}"
+))
 def hybrid_search(spark, d):
     out = retrieval.hybrid_search(chunks(spark, d), asked(spark, d), _dense(spark, d), K)
     return out.select("query_id", "chunk", "source_path", "section_path", "score", "rank")
 
 
-@query(bm25_sql() + " SELECT round(avg(CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS precision_at_k, count(*) AS judged FROM hits JOIN labels ON labels.doc_id = hits.chunk")
+@query(bm25_sql() + (
+    " SELECT round(avg(CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS precision_at_k, "
+    "count(*) AS judged FROM hits JOIN labels ON labels.doc_id = hits.chunk"
+))
 def precision_at_k(spark, d):
     hits = retrieval.bm25_search(chunks(spark, d), asked(spark, d), K).join(table(spark, d, "labels").withColumnRenamed("doc_id", "chunk"), "chunk")
     return hits.agg(F.round(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)), 6).alias("precision_at_k"), F.count("*").alias("judged"))
@@ -275,7 +338,11 @@ def _staff(spark, d) -> DataFrame:
     return table(spark, d, "customer").select(F.when(F.col("c_custkey") % 11 == 0, "").otherwise(F.col("c_mktsegment")).alias("department"), F.when(F.col("c_custkey") % 7 == 0, "").when(F.col("c_custkey") % 13 == 0, "n/a").otherwise(F.col("c_acctbal").cast("decimal(12,2)").cast("string")).alias("salary"), F.col("c_nationkey").cast("string").alias("performance_rating"))
 
 
-_STAFF = "(SELECT CASE WHEN c_custkey % 11 = 0 THEN 'Unknown' ELSE c_mktsegment END AS department, CASE WHEN c_custkey % 7 = 0 THEN 0.0::DOUBLE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE) END AS salary, CAST(c_nationkey AS DOUBLE) AS rating FROM customer)"
+_STAFF = (
+    "(SELECT CASE WHEN c_custkey % 11 = 0 THEN 'Unknown' ELSE c_mktsegment END AS department, CASE WHEN c_custkey "
+    "% 7 = 0 THEN 0.0::DOUBLE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(CAST(c_acctbal AS DECIMAL(12,2)) "
+    "AS DOUBLE) END AS salary, CAST(c_nationkey AS DOUBLE) AS rating FROM customer)"
+)
 
 
 @query(f"SELECT department, count(*) AS n, round(avg(salary), 6) AS avg_salary, round(avg(rating), 6) AS avg_rating FROM {_STAFF} GROUP BY department")
@@ -288,7 +355,13 @@ def hr_total(spark, d):
     return tabular.nested_aggregates(_staff(spark, d)).select("total", F.size("by_department").cast("long").alias("departments"))
 
 
-@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS p FROM events WHERE value IS NOT NULL), s AS (SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, n, mean, median, round(value, 6) AS p95 FROM s JOIN r USING (event_type) WHERE p = CASE WHEN n < 20 THEN n ELSE CAST(floor(n * 0.95) AS BIGINT) + 1 END")
+@query((
+    "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS p "
+    "FROM events WHERE value IS NOT NULL), s AS (SELECT event_type, count(*) AS n, round(avg(value), 6) AS "
+    "mean, round(median(value), 6) AS median FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT "
+    "event_type, n, mean, median, round(value, 6) AS p95 FROM s JOIN r USING (event_type) WHERE p = CASE "
+    "WHEN n < 20 THEN n ELSE CAST(floor(n * 0.95) AS BIGINT) + 1 END"
+))
 def latency_summary(spark, d):
     return tabular.latency_summary(table(spark, d, "events"), "value", "event_type")
 
@@ -296,12 +369,22 @@ def latency_summary(spark, d):
 # Chunks
 
 
-@query("SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(i * 2048 + 1 AS BIGINT), 2048) AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 2047) // 2048)) AS i FROM documents WHERE length(text) > 0)")
+@query((
+    "SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(i * 2048 + 1 AS BIGINT), 2048) AS "
+    "text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 2047) // 2048)) AS i FROM documents "
+    "WHERE length(text) > 0)"
+))
 def fixed_chunks(spark, d):
     return chunking.fixed_chunks(table(spark, d, "documents"))
 
 
-@query("WITH f AS (SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(i * 2048 + 1 AS BIGINT), 2048) AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 2047) // 2048)) AS i FROM documents WHERE length(text) > 0)), g AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS before FROM f) SELECT doc_id, chunk_index, CASE WHEN length(before) > 200 THEN right(before, 200) || ' ' || text ELSE text END AS text FROM g")
+@query((
+    "WITH f AS (SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(i * 2048 + 1 AS BIGINT), "
+    "2048) AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 2047) // 2048)) AS i FROM documents "
+    "WHERE length(text) > 0)), g AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index) "
+    "AS before FROM f) SELECT doc_id, chunk_index, CASE WHEN length(before) > 200 THEN right(before, 200) "
+    "|| ' ' || text ELSE text END AS text FROM g"
+))
 def overlap_prefix(spark, d):
     from pyspark.sql import Window
 
@@ -310,7 +393,10 @@ def overlap_prefix(spark, d):
     return rows.withColumn("before", before).select("doc_id", "chunk_index", F.when(F.length("before") > 200, F.concat(F.substring(F.col("before"), F.length("before") - 199, F.lit(200)), F.lit(" "), F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS source_path, '' AS section_path, text FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents) WHERE text <> ''")
+@query((
+    "SELECT CAST(doc_id AS VARCHAR) AS source_path, '' AS section_path, text FROM (SELECT doc_id, trim(text, "
+    "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents) WHERE text <> ''"
+))
 def markdown_sections(spark, d):
     """Documents here have no headings, so each is one section."""
     return chunking.sections(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_path"), "text")).select("source_path", "section_path", "text")
@@ -326,18 +412,31 @@ def split_recursive(spark, d):
 _PATTERN = "|".join(T.COMPLEX_PATTERNS)
 
 
-@query(f"SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '')), '{_PATTERN}') OR length(text) - length(replace(text, '?', '')) > 1 OR (contains(lower(text), ' and ') AND len(regexp_extract_all(text, '[^\\s]+')) > 10) AS is_complex FROM conversations")
+@query((
+    f"SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '')), '{_PATTERN}') OR length(text) - length(replace(text, "
+    "'?', '')) > 1 OR (contains(lower(text), ' and ') AND len(regexp_extract_all(text, '[^\\s]+')) > 10) "
+    "AS is_complex FROM conversations"
+))
 def query_complexity(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.is_complex("text").alias("is_complex"))
 
 
-@query("WITH m AS (SELECT conv_id, string_agg(CASE WHEN role IN ('user', 'assistant') THEN text END, chr(10) || chr(10) ORDER BY turn) AS said, arg_max(text, turn) FILTER (WHERE role = 'system') AS system FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN said IS NULL THEN coalesce(system, '') WHEN coalesce(system, '') = '' THEN said ELSE system || chr(10) || chr(10) || said END AS prompt FROM m")
+@query((
+    "WITH m AS (SELECT conv_id, string_agg(CASE WHEN role IN ('user', 'assistant') THEN text END, chr(10) "
+    "|| chr(10) ORDER BY turn) AS said, arg_max(text, turn) FILTER (WHERE role = 'system') AS system FROM "
+    "conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN said IS NULL THEN coalesce(system, '') WHEN "
+    "coalesce(system, '') = '' THEN said ELSE system || chr(10) || chr(10) || said END AS prompt FROM m"
+))
 def flat_messages(spark, d):
     m = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     return table(spark, d, "conversations").groupBy("conv_id").agg(m.alias("m")).select("conv_id", T.flat_messages("m").alias("prompt"))
 
 
-@query("SELECT conv_id, turn, CAST(p AS BIGINT) AS position, CAST(o - 1 AS BIGINT) AS ordinal FROM (SELECT conv_id, turn, unnest(v) AS p, generate_subscripts(v, 1) AS o FROM (SELECT conv_id, turn, list_filter(CASE WHEN turn % 3 = 2 THEN [0, 1, 2] ELSE [2, CAST(turn AS INTEGER), 7, 0] END, lambda x: x < 3) AS v FROM conversations))")
+@query((
+    "SELECT conv_id, turn, CAST(p AS BIGINT) AS position, CAST(o - 1 AS BIGINT) AS ordinal FROM (SELECT conv_id, "
+    "turn, unnest(v) AS p, generate_subscripts(v, 1) AS o FROM (SELECT conv_id, turn, list_filter(CASE WHEN "
+    "turn % 3 = 2 THEN [0, 1, 2] ELSE [2, CAST(turn AS INTEGER), 7, 0] END, lambda x: x < 3) AS v FROM conversations))"
+))
 def parse_llm_order(spark, d):
     """Replies made up from each turn: a list with an item out of range, or no list."""
     reply = F.when(F.col("turn") % 3 == 2, "no order").otherwise(F.concat(F.lit("[2, "), F.col("turn").cast("string"), F.lit(", 7, 0]")))
@@ -345,7 +444,11 @@ def parse_llm_order(spark, d):
     return rows.select("conv_id", "turn", F.col("col").cast("long").alias("position"), F.col("pos").cast("long").alias("ordinal"))
 
 
-@query("SELECT item_id, CAST(o - 1 AS BIGINT) AS ordinal, s AS subquery FROM (SELECT item_id, unnest(v) AS s, generate_subscripts(v, 1) AS o FROM (SELECT item_id, CASE item_id % 3 WHEN 0 THEN ['a' || item_id, 'b'] WHEN 1 THEN ['a', 'b', 'c'] ELSE [text] END AS v FROM benchmark))")
+@query((
+    "SELECT item_id, CAST(o - 1 AS BIGINT) AS ordinal, s AS subquery FROM (SELECT item_id, unnest(v) AS s, "
+    "generate_subscripts(v, 1) AS o FROM (SELECT item_id, CASE item_id % 3 WHEN 0 THEN ['a' || item_id, 'b'] "
+    "WHEN 1 THEN ['a', 'b', 'c'] ELSE [text] END AS v FROM benchmark))"
+))
 def parse_subqueries(spark, d):
     """Replies made up for each query: fenced, too long, or no list."""
     i = F.col("item_id").cast("string")
@@ -359,7 +462,11 @@ def _contexts(spark, d) -> DataFrame:
     return retrieval.first_of_each(rows, ["rank"]).withColumnRenamed("rank", "place")
 
 
-_CONTEXTS = _CANDIDATES + ", ctx AS (SELECT * FROM (SELECT cand.query_id, cand.query, cand.rank AS place, cand.chunk, cand.text, source_path, section_path, row_number() OVER (PARTITION BY cand.query_id, source_path, section_path ORDER BY cand.rank) AS n FROM cand JOIN corpus USING (chunk)) WHERE n = 1)"
+_CONTEXTS = _CANDIDATES + (
+    ", ctx AS (SELECT * FROM (SELECT cand.query_id, cand.query, cand.rank AS place, cand.chunk, cand.text, "
+    "source_path, section_path, row_number() OVER (PARTITION BY cand.query_id, source_path, section_path "
+    "ORDER BY cand.rank) AS n FROM cand JOIN corpus USING (chunk)) WHERE n = 1)"
+)
 
 
 @query(bm25_sql() + _CONTEXTS + " SELECT query_id, place, source_path || '#' || section_path AS key, chunk FROM ctx")
@@ -367,17 +474,33 @@ def dedup_contexts(spark, d):
     return _contexts(spark, d).select("query_id", "place", "key", "chunk")
 
 
-@query(bm25_sql() + _CONTEXTS + ", p AS (SELECT query_id, query, string_agg('[' || n2 || '] ' || replace(trim(text, ' '), chr(10), ' ') || chr(10) || '(Source: ' || source_path || '#' || section_path || ')', chr(10) ORDER BY place) AS s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n2 FROM ctx) GROUP BY query_id, query) SELECT query_id, 'Query:' || chr(10) || query || chr(10) || chr(10) || 'Context snippets:' || chr(10) || s AS prompt FROM p")
+@query(bm25_sql() + _CONTEXTS + (
+    ", p AS (SELECT query_id, query, string_agg('[' || n2 || '] ' || replace(trim(text, ' '), chr(10), ' "
+    "') || chr(10) || '(Source: ' || source_path || '#' || section_path || ')', chr(10) ORDER BY place) AS "
+    "s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n2 FROM ctx) GROUP BY "
+    "query_id, query) SELECT query_id, 'Query:' || chr(10) || query || chr(10) || chr(10) || 'Context snippets:' "
+    "|| chr(10) || s AS prompt FROM p"
+))
 def prompt_build(spark, d):
     return generation.contexts(_contexts(spark, d)).select("query_id", generation.chat_prompt(F.col("query"), F.col("snippets")).alias("prompt"))
 
 
-@query(bm25_sql() + _CONTEXTS + f", p AS (SELECT query_id, query, string_agg((n2 - 1) || ': ' || replace(text, chr(10), ' '), chr(10) ORDER BY place) AS s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n2 FROM ctx) GROUP BY query_id, query) SELECT query_id, '{generation.RERANK}' || chr(10) || 'Query: ' || query || chr(10) || 'Snippets:' || chr(10) || s AS prompt FROM p")
+@query(bm25_sql() + _CONTEXTS + (
+    ", p AS (SELECT query_id, query, string_agg((n2 - 1) || ': ' || replace(text, chr(10), ' '), chr(10) "
+    "ORDER BY place) AS s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n2 "
+    f"FROM ctx) GROUP BY query_id, query) SELECT query_id, '{generation.RERANK}' || chr(10) || 'Query: ' || "
+    "query || chr(10) || 'Snippets:' || chr(10) || s AS prompt FROM p"
+))
 def rerank_prompt(spark, d):
     return generation.contexts(_contexts(spark, d)).select("query_id", generation.rerank_prompt(F.col("query"), F.col("snippets")).alias("prompt"))
 
 
-@query(bm25_sql() + _CONTEXTS + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n2 FROM ctx) SELECT q.query_id, CASE WHEN f.query_id IS NULL THEN 'I don''t know based on the available context.' ELSE 'Based on [1], ' || substr(text, 1, 200) || '...' || chr(10) || chr(10) || 'Citations: [1] ' || trim(source_path || '#' || section_path, '#') END AS answer FROM q LEFT JOIN f ON f.query_id = q.query_id AND n2 = 1")
+@query(bm25_sql() + _CONTEXTS + (
+    ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n2 FROM ctx) SELECT q.query_id, "
+    "CASE WHEN f.query_id IS NULL THEN 'I don''t know based on the available context.' ELSE 'Based on [1], "
+    "' || substr(text, 1, 200) || '...' || chr(10) || chr(10) || 'Citations: [1] ' || trim(source_path || "
+    "'#' || section_path, '#') END AS answer FROM q LEFT JOIN f ON f.query_id = q.query_id AND n2 = 1"
+))
 def extractive_answer(spark, d):
     found = generation.contexts(_contexts(spark, d)).select("query_id", "snippets")
     rows = asked(spark, d).select("query_id").join(found, "query_id", "left")
@@ -385,7 +508,11 @@ def extractive_answer(spark, d):
     return rows.select("query_id", generation.extractive_answer(F.coalesce("snippets", empty)).alias("answer"))
 
 
-@query(bm25_sql() + _CONTEXTS + f" SELECT ctx.query_id, ctx.place, ctx.source_path, ctx.section_path, CASE WHEN role = 'c_level' THEN 'c_level_full_access' WHEN owner_dept = 'general' THEN 'general_docs_any_role' ELSE 'same_department_internal_docs' END AS rule FROM ctx JOIN q USING (query_id) JOIN corpus USING (chunk) WHERE {PERMIT_SQL}")
+@query(bm25_sql() + _CONTEXTS + (
+    " SELECT ctx.query_id, ctx.place, ctx.source_path, ctx.section_path, CASE WHEN role = 'c_level' THEN "
+    "'c_level_full_access' WHEN owner_dept = 'general' THEN 'general_docs_any_role' ELSE 'same_department_internal_docs' "
+    f"END AS rule FROM ctx JOIN q USING (query_id) JOIN corpus USING (chunk) WHERE {PERMIT_SQL}"
+))
 def citations(spark, d):
     rows = _contexts(spark, d).join(asked(spark, d).select("query_id", "role"), "query_id").join(chunks(spark, d).select("chunk", "owner_dept", "doc_type", "sensitivity"), "chunk")
     return generation.citations(policy.permitted(rows, F.col("role")).withColumn("rule", F.col("decision.rule")))
@@ -401,9 +528,12 @@ def multihop_retrieve(spark, d):
     return retrieval.multihop(rows, K, 2 * K).select("query_id", "sub", "rank", "chunk", "place")
 
 
-_PARTS = f"""b AS (SELECT item_id, text, {ROLE_SQL} AS role, coalesce(regexp_matches(lower(coalesce(text, '')), '{_PATTERN}') OR length(text) - length(replace(text, '?', '')) > 1 OR (contains(lower(text), ' and ') AND len(regexp_extract_all(text, '[^\\s]+')) > 10), FALSE) AS hard FROM benchmark),
+_PARTS = f"""b AS (SELECT item_id, text, {ROLE_SQL} AS role, coalesce(regexp_matches(lower(coalesce(text, '')), '{_PATTERN}')
+    OR length(text) - length(replace(text, '?', '')) > 1 OR (contains(lower(text), ' and ') AND len(regexp_extract_all(text,
+    '[^\\s]+')) > 10), FALSE) AS hard FROM benchmark),
 l AS (SELECT *, CASE WHEN hard THEN list_slice(string_split(text, ' and '), 1, 3) ELSE [text] END AS parts FROM b),
-parts AS (SELECT item_id, role, sub - 1 AS sub, subquery, hops FROM (SELECT item_id, role, NOT (len(parts) = 1 AND parts[1] = text) AS hops, unnest(parts) AS subquery, generate_subscripts(parts, 1) AS sub FROM l))"""
+parts AS (SELECT item_id, role, sub - 1 AS sub, subquery, hops FROM (SELECT item_id, role, NOT (len(parts) = 1 AND parts[1]
+    = text) AS hops, unnest(parts) AS subquery, generate_subscripts(parts, 1) AS sub FROM l))"""
 
 
 @query(f"WITH {_PARTS} SELECT item_id AS query_id, CAST(sub AS BIGINT) AS sub, subquery, hops FROM parts")
@@ -422,18 +552,26 @@ def _sourced(spark, d):
     return retrieve
 
 
-_HOPS = bm25_sql(q=f"{_PARTS}, q AS (SELECT item_id * 10 + sub AS query_id, subquery AS query, role FROM parts)") + """, found AS (SELECT p.item_id AS qid, p.sub, hops, hits.rank, source_path, section_path, hits.chunk FROM hits JOIN parts p ON p.item_id * 10 + p.sub = hits.query_id JOIN corpus USING (chunk))"""
+_HOPS = bm25_sql(q=f"{_PARTS}, q AS (SELECT item_id * 10 + sub AS query_id, subquery AS query, role FROM parts)") + """,
+    found AS (SELECT p.item_id AS qid, p.sub, hops, hits.rank, source_path, section_path, hits.chunk FROM hits JOIN parts
+    p ON p.item_id * 10 + p.sub = hits.query_id JOIN corpus USING (chunk))"""
 
 
-@query(_HOPS + f""", one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, coalesce(source_path, ''), coalesce(section_path, '') ORDER BY sub, rank) AS n FROM found WHERE hops) WHERE n = 1),
+@query(_HOPS + f""", one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, coalesce(source_path, ''), coalesce(section_path,
+    '') ORDER BY sub, rank) AS n FROM found WHERE hops) WHERE n = 1),
 several AS (SELECT qid, sub, rank, chunk, row_number() OVER (PARTITION BY qid ORDER BY sub, rank) AS place FROM one)
-SELECT qid AS query_id, CAST(sub AS BIGINT) AS sub, rank, chunk, rank AS place FROM found WHERE NOT hops UNION ALL SELECT qid, CAST(sub AS BIGINT), rank, chunk, place FROM several WHERE place <= {2 * K}""")
+SELECT qid AS query_id, CAST(sub AS BIGINT) AS sub, rank, chunk, rank AS place FROM found WHERE NOT hops UNION ALL SELECT
+    qid, CAST(sub AS BIGINT), rank, chunk, place FROM several WHERE place <= {2 * K}""")
 def multihop_search(spark, d):
     found = retrieval.multihop_search(asked(spark, d), _sourced(spark, d), K)
     return found.select("query_id", F.col("sub").cast("long").alias("sub"), "rank", "chunk", "place")
 
 
-@query(bm25_sql() + ", found AS (SELECT query_id % 4 AS qid, source_path, section_path FROM hits JOIN corpus USING (chunk)) SELECT qid AS query_id, count(*) AS before, CAST(count(DISTINCT coalesce(source_path, '') || '#' || coalesce(section_path, '')) AS BIGINT) AS after FROM found GROUP BY qid")
+@query(bm25_sql() + (
+    ", found AS (SELECT query_id % 4 AS qid, source_path, section_path FROM hits JOIN corpus USING (chunk)) "
+    "SELECT qid AS query_id, count(*) AS before, CAST(count(DISTINCT coalesce(source_path, '') || '#' || "
+    "coalesce(section_path, '')) AS BIGINT) AS after FROM found GROUP BY qid"
+))
 def dedup_counts(spark, d):
     found = _sourced(spark, d)(asked(spark, d))
     return retrieval.dedup_counts(found.withColumn("query_id", F.col("query_id") % 4))
@@ -445,7 +583,10 @@ def rerank_llm(spark, d):
     return retrieval.rerank_replied(_candidates(spark, d), providers.provider(providers.GENERATORS, "backwards"))
 
 
-@query(bm25_sql() + _DENSE + _FUSED + f" SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fused.rank) AS place, source_path, section_path, chunk FROM fused JOIN q USING (query_id) JOIN corpus USING (chunk) WHERE {PERMIT_SQL}")
+@query(bm25_sql() + _DENSE + _FUSED + (
+    " SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fused.rank) AS place, source_path, "
+    f"section_path, chunk FROM fused JOIN q USING (query_id) JOIN corpus USING (chunk) WHERE {PERMIT_SQL}"
+))
 def chat_contexts(spark, d):
     out = retrieval.chat_contexts(chunks(spark, d), asked(spark, d), _dense(spark, d), K)
     return out.select("query_id", "place", "source_path", "section_path", "chunk")
@@ -462,7 +603,9 @@ def _described(spark, d) -> DataFrame:
     return rows.withColumn("id", T.chunk_id("source_path", "section_path", "text"))
 
 
-_DESCRIBED = with_sql() + """, s AS (SELECT chunk, owner_dept, source_path, substr(sha256(source_path || '||' || text), 1, 32) AS id FROM (SELECT chunk, owner_dept, owner_dept || '/' || chunk AS source_path, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM corpus WHERE chunk % 10 < 8) WHERE text <> '')"""
+_DESCRIBED = with_sql() + """, s AS (SELECT chunk, owner_dept, source_path, substr(sha256(source_path || '||' || text), 1,
+    32) AS id FROM (SELECT chunk, owner_dept, owner_dept || '/' || chunk AS source_path, trim(text, ' ' || chr(9) || chr(10)
+    || chr(11) || chr(12) || chr(13)) AS text FROM corpus WHERE chunk % 10 < 8) WHERE text <> '')"""
 
 
 @query(_DESCRIBED + " SELECT id, source_path, owner_dept, CAST(256 AS INTEGER) AS dim FROM s")
@@ -480,7 +623,11 @@ def index_counts(spark, d):
     return files.index_counts(sparse, _described(spark, d).dropDuplicates(["id"]))
 
 
-@query("SELECT event_id, CASE CAST(c_nationkey % 6 AS INTEGER) WHEN 0 THEN 'finance' WHEN 1 THEN 'marketing' WHEN 2 THEN 'hr' WHEN 3 THEN 'engineering' WHEN 4 THEN 'c_level' ELSE 'employee' END AS role FROM events JOIN customer ON c_custkey = user_id WHERE c_custkey % 3 > 0")
+@query((
+    "SELECT event_id, CASE CAST(c_nationkey % 6 AS INTEGER) WHEN 0 THEN 'finance' WHEN 1 THEN 'marketing' "
+    "WHEN 2 THEN 'hr' WHEN 3 THEN 'engineering' WHEN 4 THEN 'c_level' ELSE 'employee' END AS role FROM events "
+    "JOIN customer ON c_custkey = user_id WHERE c_custkey % 3 > 0"
+))
 def user_roles(spark, d):
     """Events with their user's role; two of three customers are users."""
     role = F.element_at(F.array(*map(F.lit, access.ROLES)), (F.col("c_nationkey") % 6 + 1).cast("int"))
@@ -488,14 +635,23 @@ def user_roles(spark, d):
     return access.with_role(table(spark, d, "events"), users, "user_id").select("event_id", "role")
 
 
-@query("WITH p AS (SELECT value FROM events WHERE event_type <> 'purchase' AND value IS NOT NULL ORDER BY event_id LIMIT (SELECT count(value) FROM events WHERE event_type = 'purchase')) SELECT round((SELECT avg(value) FROM p) / avg(value), 6) AS prefix_cache_speedup FROM events WHERE event_type = 'purchase'")
+@query((
+    "WITH p AS (SELECT value FROM events WHERE event_type <> 'purchase' AND value IS NOT NULL ORDER BY event_id "
+    "LIMIT (SELECT count(value) FROM events WHERE event_type = 'purchase')) SELECT round((SELECT avg(value) "
+    "FROM p) / avg(value), 6) AS prefix_cache_speedup FROM events WHERE event_type = 'purchase'"
+))
 def prefix_cache_speedup(spark, d):
     """Purchases as the runs with a cached prefix, the other events as those without."""
     e = table(spark, d, "events")
     return tabular.speedup(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"), "value", "event_id")
 
 
-@query("WITH n AS (SELECT * FROM (SELECT 'd' || doc_id % 700 AS id, text, row_number() OVER (PARTITION BY doc_id % 700 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1), o AS (SELECT 'd' || item_id AS id, text FROM benchmark) SELECT id, text FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, text FROM n")
+@query((
+    "WITH n AS (SELECT * FROM (SELECT 'd' || doc_id % 700 AS id, text, row_number() OVER (PARTITION BY doc_id "
+    "% 700 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1), o AS (SELECT 'd' || item_id AS id, text "
+    "FROM benchmark) SELECT id, text FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, text "
+    "FROM n"
+))
 def upsert(spark, d):
     """benchmark texts, overwritten by documents with repeated ids."""
     old = table(spark, d, "benchmark").select(F.concat(F.lit("d"), F.col("item_id").cast("string")).alias("id"), "text")
@@ -523,7 +679,10 @@ def cache_misses(spark, d):
     return store.misses(*_asked_keys(spark, d)).select("doc_id", "key")
 
 
-@query(f"SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS value, coalesce(text, '') IN (SELECT coalesce(text, '') FROM {_CACHE}) AS cached FROM documents")
+@query((
+    "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS value, coalesce(text, '') IN (SELECT coalesce(text, "
+    f"'') FROM {_CACHE}) AS cached FROM documents"
+))
 def cache_merge(spark, d):
     """Values of all documents: those of the cache, and those computed for the misses."""
     key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -540,7 +699,10 @@ def _entries(spark, d) -> DataFrame:
     return e.select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("at"), "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.floor(F.coalesce("value", F.lit(0))).cast("long").alias("size"))
 
 
-@query("SELECT key, event_id FROM (SELECT user_id AS key, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+@query((
+    "SELECT key, event_id FROM (SELECT user_id AS key, event_id, row_number() OVER (PARTITION BY user_id "
+    "ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
+))
 def cache_put(spark, d):
     """Entries of odd events written over those of even ones and themselves: a user's latest one stays."""
     rows = _entries(spark, d)
@@ -550,7 +712,11 @@ def cache_put(spark, d):
 _CAP = 20_000
 
 
-@query(f"SELECT event_id FROM (SELECT event_id, sum(size) OVER (ORDER BY hour DESC, ts DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM (SELECT event_id, ts, date_trunc('hour', ts) AS hour, CAST(floor(coalesce(value, 0)) AS BIGINT) AS size FROM events)) WHERE upto <= {_CAP}")
+@query((
+    "SELECT event_id FROM (SELECT event_id, sum(size) OVER (ORDER BY hour DESC, ts DESC, event_id ROWS BETWEEN "
+    "UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM (SELECT event_id, ts, date_trunc('hour', ts) AS hour, "
+    f"CAST(floor(coalesce(value, 0)) AS BIGINT) AS size FROM events)) WHERE upto <= {_CAP}"
+))
 def cache_within(spark, d):
     return store.within(_entries(spark, d), _CAP, at="ts", tie="event_id").select("event_id")
 
@@ -560,7 +726,10 @@ def cache_stats(spark, d):
     return store.stats(_entries(spark, d))
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_type <> 'purchase' AND ts + INTERVAL 15 DAY > (SELECT max(ts) FROM events) UNION ALL SELECT event_id, user_id FROM events WHERE event_type = 'purchase'")
+@query((
+    "SELECT event_id, user_id FROM events WHERE event_type <> 'purchase' AND ts + INTERVAL 15 DAY > (SELECT "
+    "max(ts) FROM events) UNION ALL SELECT event_id, user_id FROM events WHERE event_type = 'purchase'"
+))
 def cache_ttl(spark, d):
     """Events as cache entries of fifteen days; purchases never expire."""
     rows = table(spark, d, "events").withColumn("expires_at", F.when(F.col("event_type") != "purchase", F.col("ts") + F.expr("interval 15 days")))
@@ -568,7 +737,10 @@ def cache_ttl(spark, d):
     return store.live(rows.join(F.broadcast(now)), F.col("now")).select("event_id", "user_id")
 
 
-@query("SELECT window_start, user_id, n FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, user_id, count(*) AS n FROM events GROUP BY 1, 2) WHERE n > 2")
+@query((
+    "SELECT window_start, user_id, n FROM (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, "
+    "user_id, count(*) AS n FROM events GROUP BY 1, 2) WHERE n > 2"
+))
 def rate_limit_windows(spark, d):
     return E.windows(table(spark, d, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "n")
 
@@ -583,7 +755,10 @@ def audit_lines(spark, d):
     return E.audit_rows(table(spark, d, "events"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'user:u' || user_id WHEN event_id % 3 = 1 THEN 'user:n' || user_id ELSE '10.0.0.' || user_id END AS key FROM events")
+@query((
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'user:u' || user_id WHEN event_id % 3 = 1 THEN 'user:n' "
+    "|| user_id ELSE '10.0.0.' || user_id END AS key FROM events"
+))
 def rate_limit_keys(spark, d):
     u = F.col("user_id").cast("string")
     user = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), u))
