@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Nodes up to which labels (two numbers each) are broadcast.
+BROADCAST_LABELS = 500_000
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """df marked for broadcast if it has at most so many rows, else as it is: the join then shuffles."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -30,14 +34,16 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     """The connected components of edges (a, b: long): a row (node, label) for each node of an edge, label its smallest reachable node.
 
     Every round takes the least label of the neighbours and then the label of that label, by joins and
-    partial minima, and ends as a table in the shared folder; it stops when no label changes.
+    partial minima, and ends as a table in the shared folder; it stops when no label changes. Labels are
+    broadcast up to BROADCAST_LABELS nodes; beyond, the joins shuffle, and a hub's rows are dealt anew as a skewed join.
     """
     both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(), folder, "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), folder, "labels")
+    side = F.broadcast if labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else lambda df: df
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        hop = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "m").alias("at"))
-        up = labels.select(F.col("node").alias("at"), F.col("label").alias("up"))
+        near = both.join(side(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        hop = near.join(side(labels), "node").select("node", F.col("label").alias("before"), F.least("label", "m").alias("at"))
+        up = side(labels.select(F.col("node").alias("at"), F.col("label").alias("up")))
         after = stored(hop.join(up, "at", "left").select("node", "before", F.least("at", "up").alias("label")), folder, "labels")
         done = after.where("before <> label").limit(1).count() == 0
         forget(labels)

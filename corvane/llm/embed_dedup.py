@@ -42,6 +42,8 @@ BLOCK_NUMBERS, STEP = 1 << 17, 256
 FAN = 32
 #: Labels beyond TARGET vectors up to which their sizes are broadcast.
 BROADCAST_LABELS = 100_000
+#: Linked vectors up to which their numbers and components are broadcast.
+BROADCAST_NODES = 500_000
 RUN = ["label", "dim", "pass", "run"]
 _ROWS = "label string, dim int, pass int, run long, earlier binary, key long, node long, copies long, v binary"
 _BLOCKS = (
@@ -325,7 +327,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, missed: float = 0.05)
     labels = components(links.where("a is not null").select("a", "b"), folder).withColumnRenamed("label", "of")
     smallest = labels.join(classes.select("node", "rep"), "node").groupBy("of").agg(F.min("rep").alias("smallest"))
     others = links.where("node is not null").groupBy("node").agg(F.sum("others").alias("others"))
-    named = classes.select("label", "h", "h2", "node", "rep", "copies").join(others, "node", "left").join(labels.join(smallest, "of"), "node", "left")
+    found = small(labels.join(small(smallest, BROADCAST_NODES), "of"), BROADCAST_NODES)
+    named = classes.select("label", "h", "h2", "node", "rep", "copies").join(small(others, BROADCAST_NODES), "node", "left").join(found, "node", "left")
     n_links = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
     named = named.select("label", "h", "h2", n_links.alias("n_links"), F.coalesce("smallest", "rep").alias("component_id"))
     out = rows.where("sound").select("vec_id", "label", "h", "h2").join(named, ["label", "h", "h2"]).select("vec_id", "n_links", "component_id")

@@ -2,11 +2,12 @@
 
 Characters that are no letters read as blanks and letters as lower case; n-grams
 of one to three characters are hashed. Document frequencies are counted over the
-whole training fold. The weights are trained on at most ``sample`` rows of it by
+whole training fold. The weights are trained on about ``sample`` rows of it by
 follow-the-regularised-leader with elastic-net penalties; a fifth of the sample
 is kept back to fit the temperature that calibrates the scores. The sample holds
-each language by its share, and ``LEAST`` rows of it at least, of up to ``LANGS``
-languages (the most frequent): rare languages are learned too.
+each language by its share, and about ``LEAST`` rows of it at least, of up to
+``LANGS`` languages (the most frequent): rare languages are learned too. At most
+``sample`` + LEAST * LANGS rows reach the driver.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 without training rows every language is ``und``; rows keep null ids and repeated
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import U, first_rows, shared_folder, slices, small_fold, stored, tidied
@@ -166,14 +167,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counts = {r["lang"]: r["n"] for r in fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGS).collect()}
     total = sum(counts.values())
     quota = {lang: min(n, max(LEAST, sample * n // total)) for lang, n in counts.items()}
-    # A hash of the id takes somewhat more than the quota of each language, a window over these rows the quota.
-    shares = [(lang, int(min(1.0, 1.5 * q / counts[lang] + 20 / counts[lang]) * 2**31), q) for lang, q in quota.items()]
-    shares = F.broadcast(spark.createDataFrame(shares, "lang string, share long, quota long"))
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(2**31))
-    near = fold.select("doc_id", "lang").join(shares, "lang").where(h < F.col("share"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = near.withColumn("place", place).where("place <= quota").select("doc_id").distinct().withColumn("sampled", F.lit(True))
-    rows = fold.join(F.broadcast(ids), "doc_id", "left").withColumn("sampled", F.coalesce("sampled", F.lit(False)))
+    # A hash of the id takes each language's quota, about.
+    shares = F.broadcast(spark.createDataFrame([(lang, q * 2**31 // counts[lang]) for lang, q in quota.items()], "lang string, share long"))
+    taken = F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < F.col("share")
+    rows = fold.join(shares, "lang", "left").withColumn("sampled", F.coalesce(taken, F.lit(False))).select("doc_id", "text", "lang", "sampled")
     rows = stored(rows.mapInArrow(tidied(_counts), "doc_id long, lang string, at binary, tf binary, gram int, df long"), shared_folder(spark), "ngrams")
     df = rows.where("gram is not null").groupBy("gram").agg(F.sum("df").alias("df")).toPandas()
     some = first_rows(rows.where("gram is null"), sample + LEAST * LANGS, "lang", "at").toPandas().sort_values(["doc_id", "lang", "at"])
