@@ -254,9 +254,13 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, dense: DataFrame | None
         parts.append(dense.select("query_id", F.lit(0).alias("list"), "rank", "chunk"))
     ranked = parts[0] if len(parts) == 1 else parts[1].unionByName(parts[0])
     payload = chunks.select("chunk", "source_path", "section_path", "text", "owner_dept", "doc_type", "sensitivity")
-    ranked = stored(bounded(ranked).join(payload.select("chunk", "source_path", "section_path"), "chunk"), shared_folder(chunks.sparkSession), "ranked")
-    found = fuse(ranked, k).select("query_id", "chunk", "rank", "score")
+    # Few rows, of which the sides of later joins are counted: searched once, then read.
+    folder = shared_folder(chunks.sparkSession)
+    ranked = stored(ranked, folder, "ranked")
+    found = stored(fuse(bounded(ranked).join(payload.select("chunk", "source_path", "section_path"), "chunk"), k).select("query_id", "chunk", "rank", "score"), folder, "fused")
     rows = bounded(found).join(payload, "chunk").join(bounded(queries), "query_id")
+    if again:
+        rows = stored(rows, folder, "payload")
     if again:
         better = rerank_simple(rows.select("query_id", "query", "rank", "chunk", "text"))
         rows = rows.drop("rank", "score").join(better, ["query_id", "chunk"])
@@ -324,7 +328,7 @@ def chat_contexts(chunks: DataFrame, queries: DataFrame, dense: DataFrame | None
     """What a chat answer reads and cites: hybrid hits with texts and rules (query_id, place, source_path, section_path, text, rule)."""
     rows = hybrid_search(chunks, queries, dense, k, again, index)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")
-    rows = rows.withColumn("place", place)
+    rows = stored(rows.withColumn("place", place), shared_folder(chunks.sparkSession), "contexts")
     return bounded(rows).join(chunks.select("chunk", "text"), "chunk").select("query_id", "place", "source_path", "section_path", "text", "rule", "chunk")
 
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, policy, providers, store
+from corvane.operators import chunking, policy, providers, retrieval, store
 from corvane.sources import files
 from corvane.streaming import events
 
@@ -65,3 +65,96 @@ def test_replies(spark):
     one = lambda c: row.select(c.alias("x")).first().x
     assert one(T.llm_order(F.lit("[2,0,9]"), F.lit(3))) == [2, 0] and one(T.llm_order(F.lit("oops"), F.lit(2))) == [0, 1]
     assert one(T.subqueries(F.lit('```json\n["a","b"]\n```'), F.lit("q"))) == ["a", "b"] and one(T.subqueries(F.lit("no"), F.lit("q"))) == ["q"]
+
+
+def test_split_text_by_worked_examples():
+    """Pieces are stripped, cuts lose their separator, overlaps come from stripped pieces; compat repeats what was held before a long part."""
+    one = lambda text, compat, over=0, most=4: chunking.split_text(text, most, over, compat=compat)
+    assert one("  short \n", False) == ["short"]
+    text = "aaaa bbbb\n\ncccc dddd\n\neeee"
+    assert one(text, False) == one(text, True) == ["aaaa bbbb", "cccc dddd\n\neeee"]
+    text = "head\n\n" + "x" * 20 + "\n\ntail\n\nlast part of it"
+    assert one(text, False) == ["head", "x" * 16, "xxxx", "tail", "last part of it"]
+    assert one(text, True) == ["head", "x" * 16, "xxxx", "head\n\ntail", "last part of it"]
+    assert one("one two. three four five. six", False) == ["one two", "three four five", "six"]
+    assert one("aaaa bbbb\n\ncccc dddd\n\neeee", False, over=1) == ["aaaa bbbb", "bbbb cccc dddd\n\neeee"]
+    assert one("\n\n\n\nabcdefghij\n\n   \n\nklmnopqrst", False) == ["abcdefghij", "klmnopqrst"]
+
+
+def test_embedder_places_texts_that_share_words_near():
+    a, b, c, none = providers.hashed_embedder()(["the annual leave policy of staff", "annual leave of our staff", "quarterly revenue grew again", "  "])
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+    assert len(a) == 256 and abs(dot(a, a) - 1) < 1e-9 and dot(a, b) > 0.5 > dot(a, c) and not any(none)
+
+
+def test_failing_providers_keep_order_and_question(spark):
+    def fails(prompts):
+        raise RuntimeError("no answer")
+
+    rows = spark.createDataFrame([(1, "q one", r, r, f"text {r}") for r in (1, 2, 3)], "query_id long, query string, rank long, chunk long, text string")
+    assert [(x.chunk, x.rank) for x in retrieval.rerank_replied(rows, fails).orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 3)]
+    assert [x.chunk for x in retrieval.rerank_replied(rows, providers.backwards(), 2).orderBy("rank").collect()] == [3, 2]
+    asked = spark.createDataFrame([(1, "compare leave and pay", "hr"), (2, "leave rules", "hr")], "query_id long, query string, role string")
+    hops = lambda g: sorted((x.query_id, x.sub, x.subquery, x.hops) for x in retrieval.decomposed(asked, g).collect())
+    assert hops(fails) == [(1, 0, "compare leave and pay", False), (2, 0, "leave rules", False)]
+    assert hops(None) == [(1, 0, "compare leave", True), (1, 1, "pay", True), (2, 0, "leave rules", False)]
+    try:
+        providers.generated(rows.withColumnRenamed("text", "prompt"), fails, tolerant=False).collect()
+    except Exception as e:
+        assert "no answer" in str(e)
+    else:
+        raise AssertionError
+
+
+def test_dense_index_of_a_folder(spark, tmp_path):
+    base = tmp_path / "base"
+    (base / "hr").mkdir(parents=True)
+    (base / "hr" / "a.md").write_text("# Leave\nStaff have leave.\n# Pay\nPay comes monthly.")
+    assert files.build_dense_index(spark, str(base), str(tmp_path / "v1")) == 2
+    (base / "hr" / "b.md").write_text("New text.")
+    old = spark.read.parquet(str(tmp_path / "v1"))
+    assert files.build_dense_index(spark, str(base), str(tmp_path / "v2"), old) == 3
+    assert files.build_dense_index(spark, str(tmp_path / "none"), str(tmp_path / "v3")) == 0
+    assert {r.dim for r in spark.read.parquet(str(tmp_path / "v2")).collect()} == {256}
+
+
+def test_index_of_a_stream_takes_a_batch_twice(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "1"), ("b", "2"), ("b", "2")], "id string, text string")
+    rows.write.parquet(str(tmp_path / "in"))
+    for checkpoint in ("one", "two"):  # the second run replays the first batch
+        stream = events.stream_files(spark, str(tmp_path / "in"), rows)
+        events.indexed(stream, str(tmp_path / "index"), str(tmp_path / checkpoint)).awaitTermination(120)
+        assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "index")).collect()) == ["a", "b"]
+    spark.createDataFrame([("b", "2"), ("c", "3")], "id string, text string").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = events.stream_files(spark, str(tmp_path / "in"), rows)
+    events.indexed(stream, str(tmp_path / "index"), str(tmp_path / "two")).awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "index")).collect()) == ["a", "b", "c"]
+
+
+def test_settings_and_policy_files(spark, tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# note\nPORT='9000'\nHOST=\"example\"\nnonsense\n")
+    monkeypatch.setenv("HOST", "kept")
+    assert files.env_file(str(tmp_path / ".env")) == {"PORT": "9000", "HOST": "kept"} and files.env_file(str(tmp_path / "none")) == {}
+    assert files.settings(PORT="1")["PORT"] == "1" and len(files.settings()) == 9
+    (tmp_path / "policy.json").write_text('{"default": "deny", "rules": [{"name": "x", "effect": "permit", "when": {"all": [{"in": ["subject.role", "hr and more"]}]}}]}')
+    rules = policy.load(str(tmp_path / "policy.json"))
+    got = spark.createDataFrame([("hr",), ("it",), (None,)], "role string").select(policy.compiled(rules, {"subject.role": F.col("role")}).alias("x")).collect()
+    assert [r.x.effect for r in got] == ["permit", "deny", "deny"]
+
+
+def test_cache_versions(spark, tmp_path):
+    cache = spark.createDataFrame([("a", 1, 5), ("b", 2, 7)], "key string, at int, size long")
+    new = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 3, 3)], "key string, at int, size long")
+    both = store.put(cache, new)
+    assert sorted(map(tuple, both.collect())) == [("a", 1, 5), ("b", 4, 2), ("c", 3, 3)]
+    assert tuple(store.stats(both).first()) == (3, 10)
+    empty = store.clear(both, str(tmp_path / "v2"))
+    assert empty.columns == cache.columns and tuple(store.stats(empty).first()) == (0, 0)
+
+
+def test_audit_sink_writes_a_folder_a_day(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.audit_sink(rows, str(tmp_path / "audit"))
+    days = rows.select(T.utc_day(F.col("ts").cast("timestamp")).alias("d")).distinct().count()
+    back = spark.read.text(str(tmp_path / "audit"))
+    assert back.count() == rows.count() and back.select("day").distinct().count() == days
