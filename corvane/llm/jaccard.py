@@ -537,7 +537,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """rows: doc_id, label, key, leader, slice. The links that the groups' whole sets have, as (a, b)."""
     by_doc = rows.groupBy("doc_id", "label", "key").agg(F.collect_set(F.struct("leader", "slice")).alias("at"))
-    sets = docs.select("doc_id", "text").join(small(by_doc, BROADCAST_ROWS), "doc_id").mapInArrow(tidied(_sets), "leader long, slice int, rep long, key long, label long, set binary")
+    # The rows are the entries of all lists: their number bounds the bytes.
+    if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        by_doc = F.broadcast(by_doc)
+    sets = docs.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(tidied(_sets), "leader long, slice int, rep long, key long, label long, set binary")
     return sets.groupBy("leader", "slice").applyInArrow(_verifier(percent), "a long, b long")
 
 
