@@ -53,8 +53,9 @@ def token_estimate(text) -> Column:
     return F.floor(F.length(F.coalesce(_col(text), F.lit(""))) / 4).cast("long")
 
 
-def fusion_key(source, section) -> Column:
-    return F.concat(F.coalesce(_col(source), F.lit("")), F.lit("#"), F.coalesce(_col(section), F.lit("")))
+def fusion_key(source, section, null: str = "") -> Column:
+    """source#section; null stands for a missing part. Where parts that are there but hold no value must read None, null is "None"."""
+    return F.concat(F.coalesce(_col(source), F.lit(null)), F.lit("#"), F.coalesce(_col(section), F.lit(null)))
 
 
 def source_label(source, section) -> Column:

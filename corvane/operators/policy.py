@@ -101,6 +101,13 @@ def permitted(rows: DataFrame, role: Column, action: str = "retrieve_chunk", pol
     return rows.withColumn("decision", decision(role, F.lit(action), policy=policy)).where("decision.effect = 'permit'")
 
 
+def authorized(rows: DataFrame, role: Column, action: Column, flags: dict[str, Column] | None = None) -> DataFrame:
+    """rows with the rule that permits them; the first row that is denied fails the job with 403 and the rule."""
+    x = decision(role, action, flags)
+    refusal = F.raise_error(F.concat(F.lit("403 "), F.coalesce(x["rule"], F.lit("no rule"))))
+    return rows.withColumn("rule", F.when(x["effect"] == "permit", x["rule"]).otherwise(refusal))
+
+
 def load(path: str) -> dict:
     """A policy file (YAML or JSON) in the form of POLICY."""
     with open(path, encoding="utf-8") as f:

@@ -51,6 +51,11 @@ def visible(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return chunks.withColumn("mask", role_mask(lambda r: F.array_contains("allowed_roles", r))).where(F.col("mask").bitwiseAND(bits) != 0)
 
 
+def visible_to(chunks: DataFrame, role: str | None) -> DataFrame:
+    """chunks (allowed_roles) that a role may see; without a role, all of them."""
+    return chunks.where(F.array_contains("allowed_roles", role)) if role else chunks
+
+
 def _asked(queries: DataFrame) -> DataFrame:
     return queries.withColumn("bit", role_bit(F.col("role"))).where("bit > 0")
 

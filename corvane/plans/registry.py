@@ -111,6 +111,33 @@ def role_flags(spark, d):
     return chunks(spark, d).select("chunk", *access.role_flags(F.col("allowed_roles")))
 
 
+@query("SELECT doc_id, coalesce(source, 'None') || '#' || CASE WHEN doc_id % 3 = 0 THEN 'None' ELSE lang END AS key FROM documents")
+def fusion_keys(spark, d):
+    """Keys whose missing parts read None."""
+    section = F.when(F.col("doc_id") % 3 != 0, F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", T.fusion_key("source", section, "None").alias("key"))
+
+
+@query(with_sql() + " SELECT 'hr' AS role, chunk FROM vis WHERE role = 'hr' UNION ALL SELECT 'none', chunk FROM corpus")
+def metadata_filter(spark, d):
+    """Chunks under the filter of a role, and without a role."""
+    c = chunks(spark, d)
+    one = retrieval.visible_to(c, "hr").select(F.lit("hr").alias("role"), "chunk")
+    return one.unionByName(retrieval.visible_to(c, None).select(F.lit("none").alias("role"), "chunk"))
+
+
+@query(with_sql() + (
+    f", t AS (SELECT role, c.* FROM {ROLES_SQL}, corpus c) SELECT role, chunk, CASE WHEN role = 'c_level' "
+    "THEN 'c_level_full_access' WHEN owner_dept = 'general' THEN 'general_docs_any_role' ELSE 'same_department_internal_docs' "
+    f"END AS rule FROM t WHERE {PERMIT_SQL}"
+))
+def authorized(spark, d):
+    """Requests that the policy permits pass the gate, each with its rule; a denied one would fail the job."""
+    rows = chunks(spark, d).withColumn("role", F.explode(F.array(*map(F.lit, access.ROLES))))
+    rows = policy.permitted(rows, F.col("role")).drop("decision")
+    return policy.authorized(rows, F.col("role"), F.lit("retrieve_chunk")).select("role", "chunk", "rule")
+
+
 @query(with_sql() + " SELECT role, chunk FROM vis")
 def role_filter(spark, d):
     """The pre-filter for every role."""

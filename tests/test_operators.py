@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -158,3 +159,11 @@ def test_audit_sink_writes_a_folder_a_day(spark, tmp_path):
     days = rows.select(T.utc_day(F.col("ts").cast("timestamp")).alias("d")).distinct().count()
     back = spark.read.text(str(tmp_path / "audit"))
     assert back.count() == rows.count() and back.select("day").distinct().count() == days
+
+
+def test_denied_requests_fail(spark):
+    rows = spark.createDataFrame([("hr", "hr", "csv", "restricted", "view_row"), ("finance", "hr", "csv", "restricted", "view_row")], "role string, owner_dept string, doc_type string, sensitivity string, action string")
+    gate = lambda df: policy.authorized(df, F.col("role"), F.col("action")).collect()
+    assert gate(rows.where("role = 'hr'"))[0].rule == "hr_rows_hr_and_c_level_only"
+    with pytest.raises(Exception, match="403 non_hr_hr_rows_deny"):
+        gate(rows)
