@@ -4,10 +4,10 @@ Equal vectors of a label are one row first. In every pass the vectors of a label
 and length are ordered lexicographically by concatenated random hashes (signs of
 fixed projections). A window is a run of vectors whose leading hashes are equal;
 the number of leading hashes grows with the label, so that a run of evenly spread
-vectors keeps about ``TARGET`` rows. All pairs of a window are compared. A pair at
+vectors keeps about ``target`` rows. All pairs of a window are compared. A pair at
 the least cosine shares a window with a known probability, and there are as many
 passes as make the share of pairs missed at most ``missed``; labels of up to
-``TARGET`` different vectors have one window and miss none.
+``target`` different vectors have one window and miss none.
 
 Windows have no cap: a dense group makes a long run, which is packed into blocks
 that meet pair by pair. Blocks around close centres are decided by their centres
@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import components, shared_folder, small, stored, tidied
 
-#: Different vectors of a window, if they are evenly spread, and hashes of a pass.
-TARGET, HASHES = 2048, 32
-#: Numbers in a block of vectors, and rows of one product of matrices.
-BLOCK_NUMBERS, STEP = 1 << 17, 256
+#: Least and most rows of a window of evenly spread vectors and of a block, and the numbers in each that decide between them.
+LEAST_ROWS, MOST_ROWS, WINDOW_NUMBERS, BLOCK_NUMBERS = 256, 2048, 1 << 20, 1 << 19
+#: Hashes of a pass, and rows of one product of matrices.
+HASHES, STEP = 32, 256
 #: Children of a node in the trees that connect linked rows.
 FAN = 32
-#: Labels beyond TARGET vectors up to which their sizes are broadcast.
+#: Labels of several windows up to which their sizes are broadcast.
 BROADCAST_LABELS = 100_000
 #: Linked vectors up to which their numbers and components are broadcast.
 BROADCAST_NODES = 500_000
@@ -52,6 +52,15 @@ _BLOCKS = (
 )
 
 
+def target(dim):
+    """Different vectors of a window, if they are evenly spread."""
+    return F.greatest(F.lit(LEAST_ROWS), F.least(F.lit(MOST_ROWS), F.floor(WINDOW_NUMBERS / dim)))
+
+
+def block_rows(dim: int) -> int:
+    return max(LEAST_ROWS, min(MOST_ROWS, BLOCK_NUMBERS // dim))
+
+
 def passes(bits: int, least: float, missed: float) -> int:
     """Passes after which a pair at the least cosine shared no window of so many leading hashes with probability missed."""
     if not bits:
@@ -129,7 +138,7 @@ def _packer(kind: str):
         for batch in batches:
             column = lambda c: batch.column(c).to_pylist()  # noqa: E731, B023
             for at, row in zip(zip(*map(column, RUN), strict=True), zip(*map(column, ("node", "copies", "earlier", "v")), strict=True), strict=True):
-                if rows and (at != now or len(rows) * now[1] >= BLOCK_NUMBERS):
+                if rows and (at != now or len(rows) >= block_rows(now[1])):
                     yield block()
                     number, rows = number + 1, []
                 now = at
@@ -273,8 +282,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(classes: DataFrame, folder: str, least: float, missed: float, kind: str) -> DataFrame:
     """(node, others) and (a, b) of all windows of classes (node, copies, label, embedding)."""
     rows = classes.withColumn("dim", F.size("embedding"))
-    sizes = rows.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > TARGET)
-    bits = F.least(F.lit(HASHES - 2), F.ceil(F.log2(F.col("n") / TARGET))).cast("int")
+    sizes = rows.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > target(F.col("dim")))
+    bits = F.least(F.lit(HASHES - 2), F.ceil(F.log2(F.col("n") / target(F.col("dim"))))).cast("int")
     sizes = sizes.select("label", "dim", bits.alias("bits"))
     rows = rows.join(small(sizes, BROADCAST_LABELS), ["label", "dim"], "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
     rows = rows.select("label", "dim", "bits", "node", "copies", "embedding").mapInArrow(tidied(_hashed(least, missed, kind)), _ROWS)
