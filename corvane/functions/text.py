@@ -36,10 +36,15 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def tokens(text, underscore: bool = True) -> Column:
-    """Runs of ASCII letters and digits (and underscores, for BM25), lower-cased after they are found; null gives none."""
+def runs(text, underscore: bool = True) -> Column:
+    """Runs of ASCII letters and digits (and underscores, for BM25) as they stand; null gives none. What explodes them lowers each row, inside generated code."""
     pattern = r"([A-Za-z0-9_]+)" if underscore else r"([A-Za-z0-9]+)"
-    return F.transform(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(pattern), F.lit(1)), F.lower)
+    return F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(pattern), F.lit(1))
+
+
+def tokens(text, underscore: bool = True) -> Column:
+    """Runs, lower-cased after they are found."""
+    return F.transform(runs(text, underscore), F.lower)
 
 
 def overlap(doc_tokens, query_tokens) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.access import ROLES, role_bit, role_mask
-from corvane.functions.text import cosine, fusion_key, is_complex, llm_order, overlap, subqueries, tokens
+from corvane.functions.text import cosine, fusion_key, is_complex, llm_order, overlap, runs, subqueries, tokens
 from corvane.operators.policy import decision, permitted
 from corvane.storage import shared_folder, stored
 
@@ -35,7 +35,7 @@ def bounded(df: DataFrame, most: int = QUERY_TERMS) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, role, term, times): repeated terms count repeatedly."""
-    return queries.select("query_id", "role", F.explode(tokens("query")).alias("term")).groupBy("query_id", "role", "term").agg(F.count("*").alias("times"))
+    return queries.select("query_id", "role", F.explode(runs("query")).alias("term")).groupBy("query_id", "role", F.lower("term").alias("term")).agg(F.count("*").alias("times"))
 
 
 def top(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk", by: str = "query_id") -> DataFrame:
@@ -69,7 +69,8 @@ def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
     With terms (term: distinct), other tokens are counted in a row without a term; so every chunk has a row.
     """
-    rows = chunks.select("chunk", "mask", tokens("text").alias("toks")).select("chunk", "mask", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+    rows = chunks.select("chunk", "mask", runs("text").alias("toks")).select("chunk", "mask", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+    rows = rows.withColumn("term", F.lower("term"))
     if terms is not None:
         rows = rows.join(bounded(terms.select("term", F.lit(True).alias("hit"))), "term", "left").withColumn("term", F.when(F.col("hit"), F.col("term")))
     return rows.groupBy("chunk", "mask", "dl", "term").agg(F.count("term").alias("tf"))
@@ -116,7 +117,7 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 5, policy: bo
     if policy:
         permits = role_mask(lambda r: decision(F.lit(r), F.lit("retrieve_chunk"))["effect"] == "permit")
         rows = rows.withColumn("mask", F.col("mask").bitwiseAND(permits)).where("mask <> 0")
-    hits = rows.select("chunk", "mask", F.explode(tokens("text", False)).alias("term"))
+    hits = rows.select("chunk", "mask", F.explode(runs("text", False)).alias("term")).withColumn("term", F.lower("term"))
     hits = hits.join(bounded(words.select("term").distinct()), "term", "left_semi").groupBy("chunk", "mask", "term").agg(F.count("*").alias("n"))
     found = hits.join(bounded(words), "term").where(_sees())
     return top(found.groupBy("query_id", "role", "chunk").agg(F.sum("n").alias("score")), max(1, k))

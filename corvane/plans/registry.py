@@ -233,7 +233,7 @@ def batch_bm25(spark, d):
     "''), '[A-Za-z0-9_]+'))) AS term FROM documents) GROUP BY doc_id, term"
 ))
 def postings(spark, d):
-    return chunks(spark, d).select("chunk", F.explode(T.tokens("text")).alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("tf"))
+    return chunks(spark, d).select("chunk", F.explode(T.runs("text")).alias("term")).groupBy("chunk", F.lower("term").alias("term")).agg(F.count("*").alias("tf"))
 
 
 @query(with_sql() + f""", w AS (SELECT chunk, lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'))) AS term FROM corpus),
