@@ -197,8 +197,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, n: int, out: int, m
 
 
 def first_rows(rows: DataFrame, most: int, *tie: str) -> DataFrame:
-    """At most so many rows, the first by a hash of doc_id: what reaches the driver is bounded however often an id repeats."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", *tie).limit(most)
+    """At most so many rows, the first by a hash of doc_id: what reaches the driver is bounded however often an id repeats.
+
+    The repartition keeps the merge of the tasks' first rows off the driver.
+    """
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", *tie).limit(most).repartition(1)
 
 
 def shipped(spark: SparkSession, path: str):
