@@ -346,7 +346,20 @@ def sample_page(r) -> str:
         return f"<{kind}>{inner}</{kind}>"
 
     def main_block():
-        return pick([lambda: prose_tag(True)] * 8 + [lambda: f"<h2>\x01{_prose(r, 1, 9)}</h2>", lambda: "<ul>" + "".join(f"<li>\x01{_prose(r, 2, 20)}</li>" for _ in some(1, 5)) + "</ul>", lambda: f"<blockquote>\x01{_prose(r, 4, 40)}.</blockquote>", lambda: f"<pre>\x01{_prose(r, 2, 20)}</pre>", lambda: f"<table><tr><td>\x01{_prose(r, 1, 6)}<td>\x01{_prose(r, 1, 6)}</table>", lambda: f"<figure><figcaption>\x01{_prose(r, 2, 12)}.</figcaption></figure>", lambda: f"<div>\x01{_prose(r, 6, 50)}.</div>", lambda: f'<p><a href="/y">\x01{_prose(r, 2, 9)}</a> {_prose(r, 2, 9)}.</p>'])()
+        rows = lambda: f"<table><tr><td>\x01{_prose(r, 1, 6)}<td>\x01{_prose(r, 1, 6)}</table>"
+        return pick(
+            [lambda: prose_tag(True)] * 8
+            + [
+                lambda: f"<h2>\x01{_prose(r, 1, 9)}</h2>",
+                lambda: "<ul>" + "".join(f"<li>\x01{_prose(r, 2, 20)}</li>" for _ in some(1, 5)) + "</ul>",
+                lambda: f"<blockquote>\x01{_prose(r, 4, 40)}.</blockquote>",
+                lambda: f"<pre>\x01{_prose(r, 2, 20)}</pre>",
+                rows,
+                lambda: f"<figure><figcaption>\x01{_prose(r, 2, 12)}.</figcaption></figure>",
+                lambda: f"<div>\x01{_prose(r, 6, 50)}.</div>",
+                lambda: f'<p><a href="/y">\x01{_prose(r, 2, 9)}</a> {_prose(r, 2, 9)}.</p>',
+            ]
+        )()
 
     body = [f"<h1>\x01{_prose(r, 2, 14)}</h1>"] if r.random() < 0.9 else []
     if body and r.random() < 0.25:

@@ -141,9 +141,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if new:
                 counts += np.bincount((np.concatenate(new) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             k = some.num_rows
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), pa.array(fine, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            sizes = pa.array(list(map(len, sets)), pa.int64())
+            found = [some.column("doc_id"), sizes, pa.array(digests, pa.binary()), pa.array(fine, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(k, t) for t in schema.types[4:])], schema=schema)
     parts = counts.astype(np.uint32).reshape(CHUNKS, -1)
-    yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.nulls(CHUNKS, pa.binary()), pa.array([part] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], schema=schema)
+    sums = [pa.array([part] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())]
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(CHUNKS, t) for t in schema.types[:4]), *sums], schema=schema)
 
 
 def _added(group: pa.Table) -> pa.Table:

@@ -27,7 +27,12 @@ SAMPLE = 12_000
 BINS, DEPTH, TREES, RATE = 64, 4, 80, 0.15
 _MARKS = np.frombuffer(b"!|#$%&*<>{}[]@^~=+_/\\\"';:?-()", dtype=np.uint8)
 NAMES = (
-    ["log_bytes", "log_words", "mean_word", "upper", "lower", "digit", "white", "other_ascii", "beyond_ascii", "words_ending_in_mark", "words_starting_upper", "words_all_upper", "words_without_letter", "distinct_words", "repeats_of_last_word", "distinct_pairs", "distinct_fives", "log_lines", "distinct_lines", "words_a_line", "sentence_ends", "log_longest_word", "most_common_byte"]
+    [
+        *("log_bytes", "log_words", "mean_word", "upper", "lower", "digit", "white", "other_ascii", "beyond_ascii"),
+        *("words_ending_in_mark", "words_starting_upper", "words_all_upper", "words_without_letter", "distinct_words"),
+        *("repeats_of_last_word", "distinct_pairs", "distinct_fives", "log_lines", "distinct_lines", "words_a_line"),
+        *("sentence_ends", "log_longest_word", "most_common_byte"),
+    ]
     + [f"mark_{chr(c)}" for c in _MARKS]
 )
 

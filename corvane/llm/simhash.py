@@ -119,7 +119,9 @@ def _compared(ids: list, texts: list[str]) -> pa.RecordBatch:
         edited.append(t[: len(t) - m] + follow[:m] if m else t)
     also = fingerprints(pa.array(edited, pa.large_string()))
     hexed = lambda x: pa.array([r.tobytes().hex() for r in x], pa.string())
-    columns = [pa.array(ids[:-1], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), hexed(prints[:-1]), hexed(also), pa.array(likeness(prints[:-1], also)), pa.array(likeness(prints[:-1], prints[1:]))]
+    columns = [pa.array(ids[:-1], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64())]
+    columns += [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), hexed(prints[:-1]), hexed(also)]
+    columns += [pa.array(likeness(prints[:-1], also)), pa.array(likeness(prints[:-1], prints[1:]))]
     return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(edited), k) for _, k in _EDGE], names=[n for n, _ in _RESULT + _EDGE])
 
 
