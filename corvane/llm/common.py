@@ -53,6 +53,19 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
             return after.select("node", "label")
 
 
+def joined_components(labels: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """labels (node, label) after more edges (a, b): only components that the new edges join are looked at again."""
+    known = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    ends = edges.join(known("a"), "a", "left").join(known("b"), "b", "left")
+    ends = stored(ends.select("a", "b", F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y")).where("x <> y"), folder, "ends")
+    if ends.limit(1).count() == 0:
+        return labels
+    after = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), folder).select(F.col("node").alias("label"), F.col("label").alias("now"))
+    new = ends.select(F.col("a").alias("node"), F.col("x").alias("label")).union(ends.select("b", "y")).where("node = label").distinct()
+    every = labels.unionByName(new.join(labels.select("node"), "node", "left_anti"))
+    return stored(every.join(after, "label", "left").select("node", F.coalesce("now", "label").alias("label")), folder, "labels")
+
+
 def crc_mod(column, n: int):
     """crc32 of the id as text, modulo n: the folds of labelled rows."""
     return F.crc32(column.cast("string").cast("binary")) % n

@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U, components, mix64, shared_folder, slices, small, stored, text_bytes, tidied, word_hashes, words
+from corvane.llm.common import U, components, joined_components, mix64, shared_folder, slices, small, stored, text_bytes, tidied, word_hashes, words
 
 K = 5
 #: log2 of the counters that order shingles by frequency; 4 MB for each task.
@@ -613,8 +613,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
                 again = _tiled(cut, points, folder, percent).distinct()
             again = stored(again, folder, "again")
             again = stored(_sliced(again, reps), folder, "again").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-            edges = stored(edges.unionByName(_verified(docs, again, percent)), folder, "links")
-            labels = components(edges, folder)
+            labels = joined_components(labels, stored(_verified(docs, again, percent), folder, "links"), folder)
     named = reps.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", "n_equal", F.coalesce("label", "doc_id").alias("component_id"))
     out = rows.where("n > 0 and doc_id is not null").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_equal")
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_equal"))

@@ -473,3 +473,22 @@ def test_pipeline_stages_equal_plain_versions(spark):
     taken = {x.doc_id: x.taken // x.size for x in mixing.mixed(kept).collect() if x.size}
     out = corpus_pipeline.mix_sources(spark, kept, "").collect()
     assert sorted(x.doc_id for x in out) == sorted(i for i, n in taken.items() for _ in range(n))
+
+
+def test_components_joined_by_more_edges(spark, tmp_path):
+    """In one go and in two, on dealt graphs: the same labels."""
+    from corvane.llm.common import components, joined_components, shared_folder
+
+    r = random.Random(13)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)]
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    folder = shared_folder(spark)
+    label = list(range(300))
+    for a, b in edges:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    want = {i: label[i] for i in {x for e in edges for x in e if e[0] != e[1]}}
+    whole = components(frame(edges), folder)
+    parts = joined_components(components(frame(edges[:120]), folder), frame(edges[120:]), folder)
+    assert {x.node: x.label for x in whole.collect()} == want == {x.node: x.label for x in parts.collect()}
+    assert joined_components(whole, frame(edges[:50]), folder) is whole
