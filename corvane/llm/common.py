@@ -183,13 +183,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return span_hashes(data, [(starts, ends)])[0]
 
 
-def span_hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """word_hashes of several lists of spans (starts, ends) of the same bytes."""
+def span_hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], fold: np.ndarray = LOWER) -> list[np.ndarray]:
+    """word_hashes of several lists of spans (starts, ends) of the same bytes, each read as fold has it."""
     if not len(data):
         return [np.zeros(len(s), dtype=np.uint64) for s, _ in spans]
     powers, inverse = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[LOWER[data]] * powers[: len(data)], out=sums[1:])
+    np.cumsum(_BYTE_VALUES[fold[data]] * powers[: len(data)], out=sums[1:])
     return [mix64((sums[ends] - sums[starts]) * inverse[starts]) for starts, ends in spans]
 
 

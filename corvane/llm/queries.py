@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, embed_dedup, html_text, jaccard, langid, mixing, quality, secret_scan, simhash, toxicity
+from corvane.llm import bpe, embed_dedup, hard_negatives, html_text, importance, jaccard, langid, mixing, quality, rule_ledger, secret_scan, simhash, toxicity
 from corvane.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ledger.judged(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,9 +69,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_bpe, op2_quality, op3_jaccard, op4_language, op5_secrets, op6_mix, op7_toxicity, op8_simhash, op9_html, op10_vectors, pipeline)
-    return {q.__name__: q for q in every}
+    numbered = (op1_bpe, op2_quality, op3_jaccard, op4_language, op5_secrets, op6_mix, op7_toxicity, op8_simhash, op9_html, op10_vectors, op11_importance, op12_rules, op13_negatives)
+    return {q.__name__: q for q in (*numbered, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix": mixing.SQL}
+    return {"op6_mix": mixing.SQL, "op11_importance": importance.SQL, "op12_rules": rule_ledger.SQL, "op13_negatives": hard_negatives.SQL}
