@@ -120,8 +120,21 @@ def rate_limit_key(user, authorization, address) -> Column:
     return F.when(F.coalesce(_col(user), F.lit("")) != "", F.concat(F.lit("user:"), _col(user))).when(F.startswith(header, F.lit("Basic ")), F.concat(F.lit("user:"), name)).otherwise(_col(address))
 
 
-def utc_day(ts) -> Column:
-    return F.date_format(_col(ts), "yyyy-MM-dd")
+def utc_seconds(ts, zoned: bool = True) -> Column:
+    """Whole seconds since 1970 in UTC of a timestamp; one without a zone is read as UTC, whatever the session's zone is."""
+    if zoned:
+        return F.unix_seconds(_col(ts))
+    return F.unix_date(_col(ts).cast("date")).cast("long") * 86400 + F.hour(_col(ts)) * 3600 + F.minute(_col(ts)) * 60 + F.second(_col(ts))
+
+
+def utc_day(ts, zoned: bool = True) -> Column:
+    """The UTC day of a timestamp as text, whatever the session's zone is."""
+    return F.date_from_unix_date(F.floor(utc_seconds(ts, zoned) / 86400).cast("int")).cast("string")
+
+
+def zoned(df, name: str = "ts") -> bool:
+    """Whether a column holds instants, and not local times."""
+    return df.schema[name].dataType.typeName() == "timestamp"
 
 
 def correlation_id() -> Column:

@@ -774,7 +774,8 @@ def rate_limit_windows(spark, d):
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def audit_daily(spark, d):
-    return table(spark, d, "events").select(T.utc_day(F.col("ts").cast("timestamp")).alias("day"), "event_type").groupBy("day", "event_type").agg(F.count("*").alias("n"))
+    e = table(spark, d, "events")
+    return e.select(T.utc_day("ts", T.zoned(e)).alias("day"), "event_type").groupBy("day", "event_type").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corvane.functions.text import utc_day
+from corvane.functions.text import utc_day, utc_seconds, zoned
 
 
 def windows(events: DataFrame, width: str = "1 hour", more_than: int = 2, late: str = "1 day") -> DataFrame:
@@ -19,9 +19,11 @@ def windows(events: DataFrame, width: str = "1 hour", more_than: int = 2, late:
 
 
 def audit_rows(events: DataFrame) -> DataFrame:
-    """Events with the UTC day they belong to, and the event as a JSON line."""
-    line = F.to_json(F.struct(F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id").cast("string").alias("cid"), F.col("event_type").alias("event"), "user_id", "value"))
-    return events.select("event_id", utc_day(F.col("ts").cast("timestamp")).alias("day"), line.alias("line"))
+    """Events with the UTC day they belong to, and the event as a JSON line; times without a zone are UTC."""
+    own = zoned(events)
+    micros = F.expr("extract(SECOND FROM ts)").cast("double") % 1
+    line = F.to_json(F.struct((utc_seconds("ts", own) + micros).alias("ts"), F.col("event_id").cast("string").alias("cid"), F.col("event_type").alias("event"), "user_id", "value"))
+    return events.select("event_id", utc_day("ts", own).alias("day"), line.alias("line"))
 
 
 def audit_sink(events: DataFrame, path: str, checkpoint: str | None = None):

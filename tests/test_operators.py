@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,11 +158,28 @@ def test_cache_versions(spark, tmp_path):
 def test_audit_sink_writes_a_folder_a_day(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.audit_sink(rows, str(tmp_path / "audit"))
-    days = rows.select(T.utc_day(F.col("ts").cast("timestamp")).alias("d")).distinct().count()
+    days = rows.select(T.utc_day("ts", T.zoned(rows)).alias("d")).distinct().count()
     back = spark.read.text(str(tmp_path / "audit"))
     assert back.count() == rows.count() and back.select("day").distinct().count() == days
 
 
+def test_days_are_those_of_utc_in_any_session(spark):
+    was = spark.conf.get("spark.sql.session.timeZone")
+    rows = spark.createDataFrame([("2024-01-02T02:00:00.25Z",), ("1969-12-31T23:59:59Z",), ("2024-03-10T02:30:00Z",)], "t string")
+    want = [("1969-12-31", "-1.0"), ("2024-01-02", "1704160800.25"), ("2024-03-10", "1710037800.0")]
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for local in (False, True):  # instants, and times without a zone
+                ts = F.substring("t", 1, 22) if local else F.col("t")
+                ts = F.regexp_replace(ts, "Z$", "").cast("timestamp_ntz") if local else ts.cast("timestamp")
+                found = events.audit_rows(rows.select(ts.alias("ts"), F.lit(1).alias("event_id"), F.lit("x").alias("event_type"), F.lit(1).alias("user_id"), F.lit(0.0).alias("value"))).collect()
+                seconds = lambda line: str(json.loads(line)["ts"])
+                assert sorted((r.day, seconds(r.line)) for r in found) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
 def test_denied_requests_fail(spark):
     rows = spark.createDataFrame([("hr", "hr", "csv", "restricted", "view_row"), ("finance", "hr", "csv", "restricted", "view_row")], "role string, owner_dept string, doc_type string, sensitivity string, action string")
     gate = lambda df: policy.authorized(df, F.col("role"), F.col("action")).collect()

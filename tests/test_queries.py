@@ -11,6 +11,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df):
     df = df[sorted(df.columns)].copy()
+    for c in df.columns:  # whole numbers with nulls
+        if str(df[c].dtype) in ("Int64", "Int32"):
+            df[c] = df[c].astype("float64")
     for c in df.columns:
         if str(df[c].dtype).startswith("datetime"):
             df[c] = df[c].astype("datetime64[us]").astype(str)
