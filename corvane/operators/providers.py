@@ -48,15 +48,6 @@ def hashed_embedder(dim: int = 256) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
-def code_point_embedder(dim: int = 16, step: int = 3, modulus: int = 13) -> Callable[[list[str]], list[list[float]]]:
-    """A stub for tests: a vector from the sum of code points modulo 97."""
-
-    def embed(texts: list[str]) -> list[list[float]]:
-        return [[float((sum(map(ord, t)) % 97 + step * i) % modulus) for i in range(dim)] for t in texts]
-
-    return embed
-
-
 def batches(texts: list[str], most_texts: int = BATCH_TEXTS, most_chars: int = BATCH_CHARS) -> Iterator[list[str]]:
     held: list[str] = []
     size = 0
@@ -80,7 +71,7 @@ def backwards() -> Callable[[list[str]], list[str]]:
     return lambda prompts: [str(list(range(len(p.split("\nSnippets:\n", 1)[-1].splitlines())))[::-1]) for p in prompts]
 
 
-EMBEDDERS: dict[str, Callable] = {"local": hashed_embedder, "code-points": code_point_embedder}
+EMBEDDERS: dict[str, Callable] = {"local": hashed_embedder}
 GENERATORS: dict[str, Callable] = {"extractive": lambda: lambda prompts: [p[:200] for p in prompts], "conjunctions": conjunctions, "backwards": backwards}
 
 
