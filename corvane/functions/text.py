@@ -47,12 +47,6 @@ def tokens(text, underscore: bool = True) -> Column:
     return F.transform(runs(text, underscore), F.lower)
 
 
-def overlap(doc_tokens, query_tokens) -> Column:
-    """How many of the document's tokens, repeats counted, are in the query."""
-    q = _col(query_tokens)
-    return F.size(F.filter(_col(doc_tokens), lambda t: F.array_contains(q, t)))
-
-
 def token_estimate(text) -> Column:
     """A quarter of the number of code points, rounded down."""
     return F.floor(F.length(F.coalesce(_col(text), F.lit(""))) / 4).cast("long")

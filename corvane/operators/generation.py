@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import NO_ANSWER, source_label
+from corvane.functions.text import NO_ANSWER, cache_key, context_hash, preview, source_label
+from corvane.operators import store
+from corvane.storage import shared_folder, stored
 
 # The two prompts.
 SYSTEM = (
@@ -53,10 +55,34 @@ def decompose_prompt(query: Column) -> Column:
 def extractive_answer(snippets: Column) -> Column:
     """The first snippet's beginning and its citation; a fixed sentence without snippets."""
     top = F.element_at(snippets, 1)
-    said = F.concat(F.lit("Based on [1], "), F.substring(top["text"], 1, 200), F.lit("...\n\nCitations: [1] "), source_label(top["source_path"], top["section_path"]))
+    said = F.concat(F.lit("Based on [1], "), preview(top["text"]), F.lit("\n\nCitations: [1] "), source_label(top["source_path"], top["section_path"]))
     return F.when(F.size(snippets) == 0, NO_ANSWER).otherwise(said)
 
 
+def answer_keys(asked: DataFrame, model: str) -> DataFrame:
+    """asked (query_id, query, snippets) with the key that an answer is cached under: model, question, and what the model reads."""
+    read = context_hash(F.transform("snippets", lambda s: F.struct(s["text"].alias("text"), s["source_path"].alias("source"))))
+    return asked.withColumn("key", cache_key("llm", F.lit(model), F.struct("query", read.alias("context"))))
+
+
+def answered(asked: DataFrame, cache: DataFrame, answer, model: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(answers, cache): answers (query_id, key, answer, cached) of asked (query_id, query, snippets), and the cache with those that were missing.
+
+    cache: (key, value, at, expires_at). Live entries are taken as they are. What is missing is answered once a key,
+    by ``answer`` (rows with query, snippets and prompt -> rows with answer), and kept for the time to live of answers;
+    an answer that failed (null) is given out but not kept.
+    """
+    rows = answer_keys(asked, model)
+    known = store.live(cache, now)
+    missing = store.misses(rows, known).dropDuplicates(["key"])
+    new = answer(missing.withColumn("prompt", chat_prompt(F.col("query"), F.col("snippets")))).select("key", F.col("answer").alias("value"))
+    new = stored(new, shared_folder(asked.sparkSession), "answers")
+    given = store.merged(rows.select("query_id", "key"), known, new).select("query_id", "key", F.col("value").alias("answer"), "cached")
+    expires = (now + F.expr(f"interval {store.TTL['llm']} seconds")).alias("expires_at")
+    fresh = new.where("value is not null").select("key", "value", now.alias("at"), expires)
+    return given, store.put(cache, fresh)
+
+
 def citations(rows: DataFrame) -> DataFrame:
     """(query_id, place, source_path, section_path, rule)."""
     return rows.select("query_id", "place", "source_path", "section_path", "rule")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.access import ROLES, role_bit, role_mask
-from corvane.functions.text import cosine, fusion_key, is_complex, llm_order, overlap, runs, subqueries, tokens
+from corvane.functions.text import cosine, fusion_key, is_complex, llm_order, runs, subqueries, tokens
 from corvane.operators.policy import decision, permitted
 from corvane.storage import shared_folder, stored
 
@@ -338,10 +338,6 @@ def chat_contexts(chunks: DataFrame, queries: DataFrame, dense: DataFrame | None
     return bounded(rows).join(chunks.select("chunk", "text"), "chunk").select("query_id", "place", "source_path", "section_path", "text", "rule", "chunk")
 
 
-def overlap_score(chunks: DataFrame, query: str) -> DataFrame:
-    return chunks.withColumn("score", overlap(tokens("text", False), tokens(F.lit(query), False)))
-
-
 def lsh_search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 32, bits: int = 5, seed: int = 17) -> DataFrame:
     """Like dense_search, over candidates that share a signed random projection bucket with the query in one of several tables."""
     planes = np.random.default_rng(seed)

@@ -12,6 +12,7 @@ from corvane.functions import text as T
 from corvane.operators import chunking, generation, policy, providers, retrieval, store, tabular
 from corvane.plans.corpus import DEPT_SQL, PERMIT_SQL, ROLE_SQL, ROLES_SQL, asked, bm25_sql, chunks, rerank_sql, table, with_sql
 from corvane.sources import files
+from corvane.storage import shared_folder, stored
 from corvane.streaming import events as E
 
 K = 5
@@ -535,6 +536,25 @@ def extractive_answer(spark, d):
     return rows.select("query_id", generation.extractive_answer(F.coalesce("snippets", empty)).alias("answer"))
 
 
+_ANSWERS = bm25_sql() + _CONTEXTS + """, found AS (SELECT query_id, query, to_json(list({'text': text, 'source': source_path} ORDER BY place))::VARCHAR AS s, string_agg('[' || n2 || '] ' || replace(trim(text, ' '), chr(10), ' ') || chr(10) || '(Source: ' || source_path || '#' || section_path || ')', chr(10)
+    ORDER BY place) AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n2 FROM ctx) GROUP BY query_id, query),
+keyed AS (SELECT query_id, query, p, 'llm:model:' || sha256(to_json({'query': query, 'context': substr(sha256(s), 1, 16)})::VARCHAR) AS key FROM found)"""
+
+
+@query(_ANSWERS + """ SELECT query_id, key, query_id % 3 = 0 AS cached, CASE WHEN query_id % 3 = 0 THEN 'kept ' || query_id ELSE substr('Query:' || chr(10) || query || chr(10) || chr(10) || 'Context snippets:'
+    || chr(10) || p, 1, 200) END AS answer FROM keyed""")
+def answer_cache(spark, d):
+    """Answers of all questions over a cache that holds those of every third one, and entries that are over for the rest."""
+    found = generation.contexts(_contexts(spark, d))
+    found = stored(found, shared_folder(spark), "contexts")
+    now = F.to_timestamp(F.lit("2024-06-01 12:00:00"))
+    held = generation.answer_keys(found, "model")
+    expires = F.when(F.col("query_id") % 3 == 0, now + F.expr("interval 1 minute")).otherwise(now)
+    cache = held.select("key", F.concat(F.lit("kept "), F.col("query_id").cast("string")).alias("value"), now.alias("at"), expires.alias("expires_at"))
+    answer = lambda rows: providers.generated(rows, providers.provider(providers.GENERATORS, "extractive"))
+    return generation.answered(found, cache, answer, "model", now)[0]
+
+
 @query(bm25_sql() + _CONTEXTS + (
     " SELECT ctx.query_id, ctx.place, ctx.source_path, ctx.section_path, CASE WHEN role = 'c_level' THEN "
     "'c_level_full_access' WHEN owner_dept = 'general' THEN 'general_docs_any_role' ELSE 'same_department_internal_docs' "

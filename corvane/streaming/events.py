@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corvane.functions.text import utc_day, utc_seconds, zoned
+from corvane.functions.text import correlation_id, utc_day, utc_seconds, zoned
 
 
 def windows(events: DataFrame, width: str = "1 hour", more_than: int = 2, late: str = "1 day") -> DataFrame:
@@ -19,10 +19,10 @@ def windows(events: DataFrame, width: str = "1 hour", more_than: int = 2, late:
 
 
 def audit_rows(events: DataFrame) -> DataFrame:
-    """Events with the UTC day they belong to, and the event as a JSON line; times without a zone are UTC."""
+    """Events with the UTC day they belong to, and the event as a JSON line; times without a zone are UTC, and an event without an id gets a new one."""
     own = zoned(events)
     micros = F.expr("extract(SECOND FROM ts)").cast("double") % 1
-    line = F.to_json(F.struct((utc_seconds("ts", own) + micros).alias("ts"), F.col("event_id").cast("string").alias("cid"), F.col("event_type").alias("event"), "user_id", "value"))
+    line = F.to_json(F.struct((utc_seconds("ts", own) + micros).alias("ts"), F.coalesce(F.col("event_id").cast("string"), correlation_id()).alias("cid"), F.col("event_type").alias("event"), "user_id", "value"))
     return events.select("event_id", utc_day("ts", own).alias("day"), line.alias("line"))
 
 
@@ -60,7 +60,3 @@ def indexed(new_chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
     return new_chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def live_cache(entries: DataFrame, now, ttl_seconds: int = 3600) -> DataFrame:
-    """Cache entries (ts) that are younger than the time to live."""
-    return entries.where(F.col("ts").cast("timestamp") + F.expr(f"interval {ttl_seconds} seconds") > now)
