@@ -3,7 +3,7 @@
 Chunks are rows (chunk: long, owner_dept, doc_type, sensitivity, source_path,
 section_path, text, allowed_roles); queries are rows (query_id, query, role).
 Scores are rounded to six digits before ordering; ties go by chunk, so results
-repeat. The query side is broadcast below ``QUERY_TERMS`` rows only.
+repeat. The query side is broadcast below a number of rows only.
 
 Roles are bits: a chunk carries the mask of the roles that may see it, so that no
 posting and no vector is copied for each role.
@@ -20,22 +20,14 @@ from pyspark.sql import functions as F
 
 from corvane.functions.access import ROLES, role_bit, role_mask
 from corvane.functions.text import cosine, fusion_key, is_complex, llm_order, runs, subqueries, tokens
+from corvane.operators import sparse_index
 from corvane.operators.policy import decision, permitted
+from corvane.operators.sparse_index import B, K1, bounded, query_terms
 from corvane.storage import shared_folder, stored
 
-K1, B, RRF = 1.5, 0.75, 60
-#: Query terms, and vectors of queries, up to which they are broadcast.
-QUERY_TERMS, QUERY_VECTORS = 200_000, 10_000
-
-
-def bounded(df: DataFrame, most: int = QUERY_TERMS) -> DataFrame:
-    """For broadcast, if it has at most so many rows; else Spark shuffles."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, role, term, times): repeated terms count repeatedly."""
-    return queries.select("query_id", "role", F.explode(runs("query")).alias("term")).groupBy("query_id", "role", F.lower("term").alias("term")).agg(F.count("*").alias("times"))
+RRF = 60
+#: Vectors of queries up to which they are broadcast.
+QUERY_VECTORS = 10_000
 
 
 def top(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk", by: str = "query_id") -> DataFrame:
@@ -64,47 +56,16 @@ def _sees() -> Column:
     return F.col("mask").bitwiseAND(F.col("bit")) != 0
 
 
-def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(chunk, mask, dl, term, tf) of chunks (chunk, mask, text): the index of BM25, from one look at each text.
-
-    With terms (term: distinct), other tokens are counted in a row without a term; so every chunk has a row.
-    """
-    rows = chunks.select("chunk", "mask", runs("text").alias("toks")).select("chunk", "mask", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-    rows = rows.withColumn("term", F.lower("term"))
-    if terms is not None:
-        rows = rows.join(bounded(terms.select("term", F.lit(True).alias("hit"))), "term", "left").withColumn("term", F.when(F.col("hit"), F.col("term")))
-    return rows.groupBy("chunk", "mask", "dl", "term").agg(F.count("term").alias("tf"))
-
-
-def bm25_index(chunks: DataFrame, queries: DataFrame | None = None) -> DataFrame:
-    """The stored postings of chunks: all terms, or those of the queries among chunks that their roles may see."""
-    if queries is None:
-        rows, terms = chunks.withColumn("mask", role_mask(lambda r: F.array_contains("allowed_roles", r))), None
-    else:
-        rows, terms = visible(chunks, queries), query_terms(queries).select("term").distinct()
-    return stored(postings(rows, terms), shared_folder(chunks.sparkSession), "postings")
-
-
-def bm25_scores(index: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, role, chunk, score) of every visible chunk with a query term; statistics are those of the chunks that the query's role may see."""
-    terms = query_terms(queries)
-    roles = F.broadcast(index.sparkSession.createDataFrame([(r, 1 << i) for i, r in enumerate(ROLES)], "role string, bit int"))
-    # Sums by mask first: there are few masks, and each role adds up those that hold its bit.
-    sizes = index.groupBy("chunk").agg(F.any_value("mask").alias("mask"), F.any_value("dl").alias("dl")).groupBy("mask").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
-    stats = sizes.join(roles, _sees()).groupBy("role").agg(F.sum("n").alias("n"), (F.sum("dl") / F.greatest(F.lit(1), F.sum("n"))).alias("avgdl"))
-    hits = index.where("term is not null").join(bounded(terms.select("term").distinct()), "term", "left_semi")
-    df = hits.groupBy("mask", "term").agg(F.count("*").alias("df")).join(roles, _sees()).groupBy("role", "term").agg(F.sum("df").alias("df"))
-    weights = _asked(terms).join(df, ["role", "term"]).join(F.broadcast(stats), "role")
-    weights = weights.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.lit(1e-9), F.col("avgdl")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    weights = weights.select("query_id", "role", "bit", "term", "times", "idf", "avgdl")
-    return hits.join(bounded(weights), "term").where(_sees()).groupBy("query_id", "role", "chunk").agg(F.round(F.sum(part), 6).alias("score"))
+def bm25_index(chunks: DataFrame) -> DataFrame:
+    """The stored rows of an index of chunks that is not kept for later; sparse_index.created() makes one that is."""
+    return sparse_index.created(shared_folder(chunks.sparkSession), chunks).rows()
 
 
 def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 5, index: DataFrame | None = None) -> DataFrame:
-    """The k best chunks of positive score for each query; index: the stored postings of chunks, if there are any."""
-    return top(bm25_scores(bm25_index(chunks, queries) if index is None else index, queries).where("score > 0"), k)
+    """The k best chunks of positive score for each query; index: the rows of an index of chunks, if there is one."""
+    if index is None:
+        index = bm25_index(visible(chunks, queries))
+    return top(sparse_index.search(index, queries, k).where("score > 0"), k)
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 5, policy: bool = True) -> DataFrame:

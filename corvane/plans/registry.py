@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from corvane.functions import access
 from corvane.functions import text as T
-from corvane.operators import chunking, generation, policy, providers, retrieval, store, tabular
+from corvane.operators import chunking, generation, policy, providers, retrieval, sparse_index, store, tabular, vector_index
 from corvane.plans.corpus import DEPT_SQL, PERMIT_SQL, ROLE_SQL, ROLES_SQL, asked, bm25_sql, chunks, rerank_sql, table, with_sql
 from corvane.sources import files
-from corvane.storage import shared_folder, stored
+from corvane.storage import kept, shared_folder, stored
 from corvane.streaming import events as E
 
 K = 5
@@ -216,17 +216,53 @@ def prefilter_vs_policy(spark, d):
 
 # Retrieval
 
+
+
+def _index(spark, d) -> DataFrame:
+    """The rows of the sparse index of documents: built by the first query that asks, read by all others."""
+    return kept(spark, f"sparse {d}", lambda folder: sparse_index.created(folder, chunks(spark, d))).rows()
+
+
 _HITS = " SELECT query_id, chunk, score, rank FROM hits"
 
 
 @query(bm25_sql("c_level") + _HITS)
 def bm25_topk(spark, d):
-    return retrieval.bm25_search(chunks(spark, d), asked(spark, d, "c_level"), K).select("query_id", "chunk", "score", "rank")
+    return retrieval.bm25_search(chunks(spark, d), asked(spark, d, "c_level"), K, _index(spark, d)).select("query_id", "chunk", "score", "rank")
 
 
 @query(bm25_sql() + _HITS)
 def batch_bm25(spark, d):
-    return retrieval.bm25_search(chunks(spark, d), asked(spark, d), K).select("query_id", "chunk", "score", "rank")
+    return retrieval.bm25_search(chunks(spark, d), asked(spark, d), K, _index(spark, d)).select("query_id", "chunk", "score", "rank")
+
+
+@query(bm25_sql() + _HITS)
+def bm25_blocks(spark, d):
+    """The same search by bounds of blocks, which leaves out chunks that cannot be among the best."""
+    rows = _index(spark, d)
+    found = sparse_index.best(rows, sparse_index.worths(rows, asked(spark, d)), K)
+    return retrieval.top(found.where("score > 0"), K).select("query_id", "chunk", "score", "rank")
+
+
+def _seventh(c: DataFrame) -> DataFrame:
+    return c.where("chunk % 7 = 0")
+
+
+@query(bm25_sql() + _HITS)
+def bm25_segments(spark, d):
+    """The same search over an index that followed its collection: chunks came, changed and went, and it was compacted once."""
+
+    def make(folder: str):
+        c = chunks(spark, d)
+        old = F.concat(F.lit("before "), F.coalesce("text", F.lit("")))
+        first = c.where("chunk % 3 > 0").withColumn("text", F.when(F.col("chunk") % 7 == 0, old).otherwise(F.col("text")))
+        gone = _seventh(c).withColumn("chunk", -F.col("chunk") - 1)
+        index = sparse_index.created(folder, first.unionByName(gone))
+        index = sparse_index.followed(index, c.where("chunk % 5 > 0").unionByName(gone))
+        return sparse_index.followed(sparse_index.compacted(index), c)
+
+    rows = kept(spark, f"segments {d}", make).rows()
+    return retrieval.bm25_search(chunks(spark, d), asked(spark, d), K, rows).select("query_id", "chunk", "score", "rank")
 
 
 @query((
@@ -234,7 +270,8 @@ def batch_bm25(spark, d):
     "''), '[A-Za-z0-9_]+'))) AS term FROM documents) GROUP BY doc_id, term"
 ))
 def postings(spark, d):
-    return chunks(spark, d).select("chunk", F.explode(T.runs("text")).alias("term")).groupBy("chunk", F.lower("term").alias("term")).agg(F.count("*").alias("tf"))
+    """Counted where texts are read, no shuffle."""
+    return sparse_index.postings(sparse_index.block_rows(chunks(spark, d))).select("chunk", "term", F.col("tf").cast("long").alias("tf"))
 
 
 @query(with_sql() + f""", w AS (SELECT chunk, lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'))) AS term FROM corpus),
@@ -253,17 +290,39 @@ def _vectors(spark, d) -> DataFrame:
 _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 
 
-@query((
+_NEAREST = (
     f"SELECT query_id, id, score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score, "
     f"row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, "
     f"embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= {K}"
-))
+)
+
+
+@query(_NEAREST)
 def cosine_topk(spark, d):
     """The stated query set (ids divisible by 20) against all rows."""
     v = _vectors(spark, d)
     return retrieval.dense_search(v, v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), K)
 
 
+def _collection(spark, d) -> vector_index.VectorIndex:
+    """The vector collection of embeddings: built by the first query that asks, opened by all others."""
+    return kept(spark, f"vectors {d}", lambda folder: vector_index.created(folder, _vectors(spark, d), "given"))
+
+
+@query()
+def cells_topk(spark, d):
+    """The stated query set over the nearest cells of the stored collection; tests measure the recall."""
+    asked_for = _vectors(spark, d).where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return vector_index.search(_collection(spark, d), asked_for, K, model="given").select("query_id", "id", "score", "rank")
+
+
+@query(_NEAREST)
+def cells_exact_topk(spark, d):
+    """The same, and then the cells whose bound the nearest ones do not rule out."""
+    asked_for = _vectors(spark, d).where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return vector_index.search(_collection(spark, d), asked_for, K, exact=True).select("query_id", "id", "score", "rank")
+
+
 @query()
 def lsh_topk(spark, d):
     """The same search over shared hash buckets; tests measure its recall."""
@@ -301,7 +360,7 @@ fused AS (SELECT * FROM (SELECT query_id, key, score, chunk, row_number() OVER (
 @query(bm25_sql() + _DENSE + _FUSED + " SELECT query_id, key, score, chunk, rank FROM fused")
 def rrf_fuse(spark, d):
     c = chunks(spark, d)
-    lists = _dense(spark, d).select("query_id", F.lit(0).alias("list"), "rank", "chunk").unionByName(retrieval.bm25_search(c, asked(spark, d), K).select("query_id", F.lit(1).alias("list"), "rank", "chunk"))
+    lists = _dense(spark, d).select("query_id", F.lit(0).alias("list"), "rank", "chunk").unionByName(retrieval.bm25_search(c, asked(spark, d), K, _index(spark, d)).select("query_id", F.lit(1).alias("list"), "rank", "chunk"))
     return retrieval.fuse(lists.join(c.select("chunk", "source_path", "section_path"), "chunk"), K)
 
 
@@ -309,7 +368,7 @@ _CANDIDATES = ", cand AS (SELECT hits.query_id, q.query, hits.rank, hits.chunk,
 
 
 def _candidates(spark, d) -> DataFrame:
-    hits = retrieval.bm25_search(chunks(spark, d), asked(spark, d), K).select("query_id", "rank", "chunk")
+    hits = retrieval.bm25_search(chunks(spark, d), asked(spark, d), K, _index(spark, d)).select("query_id", "rank", "chunk")
     return hits.join(asked(spark, d).select("query_id", "query"), "query_id").join(chunks(spark, d).select("chunk", "text"), "chunk")
 
 
@@ -335,7 +394,7 @@ def rerank_embedding(spark, d):
     f"JOIN corpus USING (chunk) WHERE {PERMIT_SQL}"
 ))
 def hybrid_search(spark, d):
-    out = retrieval.hybrid_search(chunks(spark, d), asked(spark, d), _dense(spark, d), K)
+    out = retrieval.hybrid_search(chunks(spark, d), asked(spark, d), _dense(spark, d), K, index=_index(spark, d))
     return out.select("query_id", "chunk", "source_path", "section_path", "score", "rank")
 
 
@@ -344,7 +403,7 @@ def hybrid_search(spark, d):
     "count(*) AS judged FROM hits JOIN labels ON labels.doc_id = hits.chunk"
 ))
 def precision_at_k(spark, d):
-    hits = retrieval.bm25_search(chunks(spark, d), asked(spark, d), K).join(table(spark, d, "labels").withColumnRenamed("doc_id", "chunk"), "chunk")
+    hits = retrieval.bm25_search(chunks(spark, d), asked(spark, d), K, _index(spark, d)).join(table(spark, d, "labels").withColumnRenamed("doc_id", "chunk"), "chunk")
     return hits.agg(F.round(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)), 6).alias("precision_at_k"), F.count("*").alias("judged"))
 
 
@@ -570,7 +629,7 @@ one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_pat
 SELECT qid AS query_id, sub, rank, chunk, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sub, rank) AS place FROM one) WHERE place <= {2 * K}""")
 def multihop_retrieve(spark, d):
     """Every benchmark query as a sub-query of one of four questions."""
-    found = retrieval.bm25_search(chunks(spark, d), asked(spark, d), K).join(chunks(spark, d).select("chunk", "source_path", "section_path"), "chunk")
+    found = retrieval.bm25_search(chunks(spark, d), asked(spark, d), K, _index(spark, d)).join(chunks(spark, d).select("chunk", "source_path", "section_path"), "chunk")
     rows = found.select((F.col("query_id") % 4).alias("query_id"), F.col("query_id").alias("sub"), "rank", "source_path", "section_path", "chunk")
     return retrieval.multihop(rows, K, 2 * K).select("query_id", "sub", "rank", "chunk", "place")
 
@@ -594,7 +653,7 @@ def _sourced(spark, d):
 
     def retrieve(queries: DataFrame) -> DataFrame:
         c = chunks(spark, d)
-        return retrieval.bm25_search(c, queries, K).join(c.select("chunk", "source_path", "section_path"), "chunk").select("query_id", "rank", "source_path", "section_path", "chunk")
+        return retrieval.bm25_search(c, queries, K, _index(spark, d)).join(c.select("chunk", "source_path", "section_path"), "chunk").select("query_id", "rank", "source_path", "section_path", "chunk")
 
     return retrieve
 
@@ -635,7 +694,7 @@ def rerank_llm(spark, d):
     f"section_path, chunk FROM fused JOIN q USING (query_id) JOIN corpus USING (chunk) WHERE {PERMIT_SQL}"
 ))
 def chat_contexts(spark, d):
-    out = retrieval.chat_contexts(chunks(spark, d), asked(spark, d), _dense(spark, d), K)
+    out = retrieval.chat_contexts(chunks(spark, d), asked(spark, d), _dense(spark, d), K, index=_index(spark, d))
     return out.select("query_id", "place", "source_path", "section_path", "chunk")
 
 
@@ -666,7 +725,7 @@ def dense_index(spark, d):
 @query(_DESCRIBED + " SELECT (SELECT count(*) FROM corpus) AS sparse, (SELECT count(*) FROM s) AS dense")
 def index_counts(spark, d):
     c = chunks(spark, d)
-    sparse = retrieval.postings(c.withColumn("mask", F.lit(1)))
+    sparse = sparse_index.block_rows(c).where("term is null").select(F.inline("docs"))
     return files.index_counts(sparse, _described(spark, d).dropDuplicates(["id"]))
 
 

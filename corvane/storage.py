@@ -54,3 +54,33 @@ def clean(spark: SparkSession) -> None:
     """Deletes all folders that this process made. Results that were not written or collected before cannot be read any more."""
     while _made:
         _delete(spark, _made.pop())
+
+
+def published(spark: SparkSession, path: str, version: int, text: str) -> None:
+    """Writes a numbered version of what lies at path; it fails if the number is taken, so of two writers one is told."""
+    rows = spark.createDataFrame([(text,)], "value string").coalesce(1)
+    rows.write.mode("errorifexists").text(f"{path.rstrip('/')}/versions/v={version}")
+
+
+def latest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """The greatest version at path that is written to its end, and its text; 0 and None where there is none."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/versions")
+    store = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(base):
+        return 0, None
+    done = [int(s.getPath().getName()[2:]) for s in store.listStatus(base) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    if not done:
+        return 0, None
+    return max(done), spark.read.text(f"{path.rstrip('/')}/versions/v={max(done)}").first()["value"]
+
+
+_kept: dict[tuple[str, str], tuple[str, object]] = {}
+
+
+def kept(spark: SparkSession, key: str, make):
+    """What make(folder) gave for a key, made once for a Spark application in a folder of its own, until clean()."""
+    at = (spark.sparkContext.applicationId, key)
+    if at not in _kept or _kept[at][0] not in _made:
+        folder = shared_folder(spark)
+        _kept[at] = (folder, make(folder))
+    return _kept[at][1]
