@@ -94,8 +94,8 @@ class VectorIndex:
         return self.spark.read.schema(schema).option("basePath", root).parquet(*(f"{root}/part={p}" for p in self.parts))
 
     def cells(self) -> DataFrame:
-        """(part, cell, n, widest, centre): a row for each folder."""
-        return self.spark.read.schema("part string, cell int, n long, widest double, centre array<double>").parquet(*(f"{self.path}/centres/{p}" for p in self.parts))
+        """(part, cell, n, roles: bits of all roles that see one of its vectors, widest, centre): a row for each folder."""
+        return self.spark.read.schema("part string, cell int, n long, roles int, widest double, centre array<double>").parquet(*(f"{self.path}/centres/{p}" for p in self.parts))
 
 
 def opened(spark: SparkSession, path: str) -> VectorIndex:
@@ -124,8 +124,8 @@ def added(index: VectorIndex, vectors: DataFrame, model: str, centres: int | Non
     out.sortWithinPartitions("cell").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("cell").parquet(f"{index.path}/cells/part={name}")
     middle = index.spark.createDataFrame([(i, c) for i, c in enumerate(found.tolist())], "cell int, centre array<double>")  # CENTRES rows at most
     after = VectorIndex(index.spark, index.path, index.version + 1, (*index.parts, name), model, dim, 1)
-    sizes = after.vectors().where(F.col("part") == name).groupBy("part", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("widest"))
-    sizes.join(F.broadcast(middle), "cell").select("part", "cell", "n", "widest", "centre").write.parquet(f"{index.path}/centres/{name}")
+    sizes = after.vectors().where(F.col("part") == name).groupBy("part", "cell").agg(F.count("*").alias("n"), F.bit_or("mask").alias("roles"), F.max("angle").alias("widest"))
+    sizes.join(F.broadcast(middle), "cell").select("part", "cell", "n", "roles", "widest", "centre").write.parquet(f"{index.path}/centres/{name}")
     after = replace(after, probes=_probes(after))
     published(index.spark, index.path, after.version, json.dumps({"parts": after.parts, "model": model, "dim": dim, "probes": after.probes}))
     return after
@@ -145,11 +145,19 @@ def created(path: str, vectors: DataFrame, model: str, centres: int | None = Non
     return added(opened(vectors.sparkSession, path), vectors, model, centres)
 
 
+def _bit(queries: DataFrame):
+    return (F.col("bit") if "bit" in queries.columns else F.lit(-1)).cast("int").alias("bit")
+
+
 def near_cells(index: VectorIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, part, cell, most, place) of each query (query_id, vector) and each cell: the greatest cosine that the cell can hold, and the cell's place by its centre."""
+    """(query_id, part, cell, most, place) of each query (query_id, vector, bit) and each cell with a vector that it may see.
+
+    most: the greatest cosine that the cell can hold; place: the cell's place among these by its centre.
+    """
     rows = sorted(index.cells().collect(), key=lambda r: (r["part"], r["cell"]))  # a row a folder: CENTRES for each part at most
     centres = np.array([r["centre"] for r in rows])
     parts, cells, widest = [r["part"] for r in rows], np.array([r["cell"] for r in rows], dtype=np.int32), np.array([r["widest"] for r in rows])
+    roles = np.array([r["roles"] for r in rows], dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,12 +165,13 @@ def near_cells(index: VectorIndex, queries: DataFrame) -> DataFrame:
                 some = batch.slice(at, 64)
                 angle = np.arccos(np.clip(_matrix(some.column("vector")).reshape(-1, centres.shape[1]) @ centres.T, -1, 1))
                 most = np.cos(np.maximum(angle - widest, 0))
-                place = angle.argsort(axis=1, kind="stable").argsort(axis=1)
-                n, m = most.shape
-                ids = pa.array(np.repeat(some.column("query_id").to_numpy(), m))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(parts * n), pa.array(np.tile(cells, n)), pa.array(most.ravel()), pa.array(place.ravel().astype(np.int32))], names=["query_id", "part", "cell", "most", "place"])
+                seen = (some.column("bit").to_numpy()[:, None] & roles[None, :]) != 0
+                place = np.where(seen, angle, np.inf).argsort(axis=1, kind="stable").argsort(axis=1)
+                row, at = np.nonzero(seen)
+                ids = pa.array(some.column("query_id").to_numpy()[row])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(parts).take(pa.array(at)), pa.array(cells[at]), pa.array(most[row, at]), pa.array(place[row, at].astype(np.int32))], names=["query_id", "part", "cell", "most", "place"])
 
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where(F.col("vector").isNotNull())
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), _bit(queries), "vector").where(F.col("vector").isNotNull())
     return asked.mapInArrow(run, "query_id long, part string, cell int, most double, place int")
 
 
@@ -199,7 +208,7 @@ def _scored(index: VectorIndex, pairs: DataFrame, queries: DataFrame, k: int) ->
     from corvane.operators.retrieval import best_of, top
 
     # The queries of a cell go to each of its blocks, some hundreds at a time.
-    asked = pairs.join(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), (F.col("bit") if "bit" in queries.columns else F.lit(-1)).cast("int").alias("bit")), "query_id")
+    asked = pairs.join(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), _bit(queries)), "query_id")
     groups = asked.groupBy("part", "cell", F.pmod(F.xxhash64("query_id"), F.lit(16)).alias("g")).agg(F.collect_list(F.struct("query_id", "bit", "vector")).alias("asked"))
     side = F.broadcast(groups) if pairs.limit(PAIRS + 1).count() <= PAIRS else groups
     met = _packed(read(index, pairs)).join(side, ["part", "cell"])

@@ -125,4 +125,4 @@ def test_queries_read_the_folders_of_their_terms(spark, tmp_path):
     assert rows.count() > 0 and len(files(index.rows())) > 20
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert any("bucket#" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
-    assert len(files(rows)) < len(files(index.rows())) / 4
+    assert len(files(rows)) < len(files(index.rows())) / 2
