@@ -7,13 +7,19 @@ A provider maps a list of texts to a list of vectors or texts. Batches close at
 from __future__ import annotations
 
 import json
+import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from corvane.storage import complete_folders
 
 # Limits of a batch.
 BATCH_TEXTS, BATCH_CHARS = 100, 60_000
@@ -122,3 +128,61 @@ def same_model(vectors: DataFrame, queries: DataFrame) -> None:
     kinds = vectors.select("model", "dim").union(queries.select("model", "dim")).distinct().limit(2).collect()
     if len(kinds) > 1:
         raise ValueError(f"embeddings of different models: {kinds}")
+
+
+def _called(prompts: list[str], call: Callable, tries: int, wait: float) -> list | None:
+    """What a provider gives for a batch; a failure is tried again after wait, 2 wait, 4 wait ... seconds, and at last gives None."""
+    for n in range(tries):
+        try:
+            got = call(prompts)
+            if len(got) != len(prompts):
+                raise ValueError(f"{len(got)} results for {len(prompts)} texts")
+            return got
+        except Exception:
+            if n + 1 < tries:
+                time.sleep(wait * 2**n)
+    return None
+
+
+def ledger(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(key, value) of all that was paid for, from every round that was written to its end; empty where nothing was."""
+    schema = f"key string, value {kind}"
+    rounds = complete_folders(spark, path)
+    return spark.read.schema(schema).parquet(*rounds) if rounds else spark.createDataFrame([], schema)
+
+
+def paid_once(rows: DataFrame, call: Callable[[list[str]], list], model: str, path: str, kind: str = "array<float>", text: str = "text", tries: int = 4, wait: float = 0.5, rounds: int = 5) -> DataFrame:
+    """rows with value, what a provider (texts -> values of kind) gives for their text, each text of a model paid for once.
+
+    The ledger at path holds values by a hash of model and text, so equal texts cost one call, and a run that was
+    stopped goes on where it ended. Missing texts are dealt to tasks and go out in provider batches; a batch that fails
+    is tried again after a growing wait, and what failed all tries is left to the next round. A round is a folder that
+    counts once it is written to its end: a task that is run again writes the same round. After all rounds a text that
+    was never answered fails the job; what was paid for stays in the ledger.
+    """
+    spark = rows.sparkSession
+    key = F.sha2(F.concat(F.lit(f"{model}\x1f"), F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256)
+    schema = f"key string, value {kind}"
+    arrow = to_arrow_type(spark.createDataFrame([], schema).schema["value"].dataType)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            keys, texts = batch.column("key").to_pylist(), batch.column("said").to_pylist()
+            at = 0
+            for some in batches(texts):
+                got = _called(some, call, tries, wait)
+                if got is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + len(some)]), pa.array(got, arrow)], names=["key", "value"])
+                at += len(some)
+
+    asked = rows.select(key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("said")).dropDuplicates(["key"])
+    for _ in range(rounds):
+        missing = asked.join(ledger(spark, path, kind).select("key"), "key", "left_anti")
+        if missing.limit(1).count() == 0:
+            break
+        missing.mapInArrow(run, schema).write.parquet(f"{path.rstrip('/')}/round-{uuid.uuid4().hex}")
+    known = ledger(spark, path, kind)
+    if asked.join(known.select("key"), "key", "left_anti").limit(1).count():
+        raise RuntimeError("some texts were not answered; a further call goes on from the ledger")
+    names = [c for c in rows.columns if c != "value"]
+    return rows.select(*names, key.alias("_key")).join(known.withColumnRenamed("key", "_key"), "_key").select(*names, "value")

@@ -33,7 +33,7 @@ from corvane.storage import latest, published, shared_folder, stored
 #: Sampled vectors for each centre, centres at most, and rows of a file at most.
 SAMPLE, CENTRES, FILE_ROWS = 64, 4096, 500_000
 #: The share of nearest vectors that a search aims at, and the vectors and nearest ones of each by which the number of cells is set.
-RECALL, TRIED, NEAREST = 0.95, 64, 10
+RECALL, TRIED, NEAREST = 0.97, 100, 10
 #: Pairs of a query and a cell up to which they are broadcast.
 PAIRS = 100_000
 _SLACK = 1e-5
@@ -132,8 +132,11 @@ def added(index: VectorIndex, vectors: DataFrame, model: str, centres: int | Non
 
 
 def _probes(index: VectorIndex) -> int:
-    """The number of cells that hold RECALL of the NEAREST vectors of each of TRIED vectors, by an exact search of those."""
-    some = stored(index.vectors().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(TRIED).select(F.col("id").alias("query_id"), "vector"), shared_folder(index.spark), "tried")
+    """The number of cells that hold RECALL of the NEAREST vectors of each of TRIED vectors, by an exact search of those, each for one of the roles that occur."""
+    roles = index.cells().agg(F.bit_or("roles")).first()[0]
+    bits = [1 << i for i in range(31) if roles >> i & 1] if roles >= 0 else [-1]
+    bit = F.element_at(F.array(*map(F.lit, bits)), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(len(bits))) + 1).cast("int"))
+    some = stored(index.vectors().orderBy(F.xxhash64("id", F.lit(1)), "id").limit(TRIED).select(F.col("id").alias("query_id"), "vector", bit.alias("bit")), shared_folder(index.spark), "tried")
     found = search(index, some, NEAREST + 1, 4, exact=True).where("id <> query_id")
     placed = F.broadcast(found).join(index.vectors().select("id", "part", "cell"), "id").join(near_cells(index, some), ["query_id", "part", "cell"])
     places = sorted(r["place"] for r in placed.select("place").collect())  # TRIED times NEAREST numbers

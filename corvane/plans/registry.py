@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import access
+from corvane.functions import access, aliases, tables
 from corvane.functions import text as T
-from corvane.operators import chunking, generation, policy, providers, retrieval, sparse_index, store, tabular, vector_index
+from corvane.operators import chunking, generation, permits, policy, providers, retrieval, sparse_index, store, tabular, vector_index
 from corvane.plans.corpus import DEPT_SQL, PERMIT_SQL, ROLE_SQL, ROLES_SQL, asked, bm25_sql, chunks, rerank_sql, table, with_sql
 from corvane.sources import files
 from corvane.storage import kept, shared_folder, stored
 from corvane.streaming import events as E
+from corvane.streaming import stateful
 
 K = 5
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,6 +216,47 @@ def prefilter_vs_policy(spark, d):
     return rows.groupBy("role", "owner_dept", "sensitivity").agg(F.count("*").alias("n"), F.count_if(F.array_contains("allowed_roles", F.col("role"))).alias("admitted"), F.count_if(permit).alias("permitted"))
 
 
+def _of_departments(spark, d) -> DataFrame:
+    """documents as a table with a folder for each department."""
+
+    def make(folder: str) -> str:
+        chunks(spark, d).select("chunk", "doc_type", "sensitivity", "owner_dept").write.partitionBy("owner_dept").parquet(f"{folder}/chunks")
+        return f"{folder}/chunks"
+
+    return spark.read.parquet(kept(spark, f"departments {d}", make))
+
+
+@query(with_sql() + f", t AS (SELECT role, c.* FROM {ROLES_SQL}, corpus c) SELECT role, chunk FROM t WHERE {PERMIT_SQL}")
+def permit_boxes(spark, d):
+    """What each role may read, by filters that leave out the folders of other departments."""
+    rows = _of_departments(spark, d)
+    each = [permits.permitted(rows, r).select(F.lit(r).alias("role"), "chunk") for r in access.ROLES]
+    return reduce(DataFrame.unionByName, each)
+
+
+_MANY = 3000
+_MANY_RULES = [
+    {"name": f"own_{i}", "effect": "permit" if i % 2 else "deny", "when": {"all": [{"eq": ["resource.source_path", f"src{i // 2}"]}, {"eq": ["subject.role", access.ROLES[i % 6]]}, {"not_in": ["resource.sensitivity", ["confidential"]]}]}}
+    for i in range(_MANY)
+]
+
+
+@query(with_sql() + (
+    f", t AS (SELECT role, c.*, 2 * CAST(substr(source_path, 4) AS INTEGER) AS i, CASE role {' '.join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(access.ROLES))} END AS r FROM {ROLES_SQL}, corpus c), "
+    f"o AS (SELECT *, CASE WHEN sensitivity = 'confidential' THEN NULL WHEN i % 6 = r AND i < {_MANY} THEN i WHEN (i + 1) % 6 = r AND i + 1 < {_MANY} THEN i + 1 END AS own FROM t) "
+    "SELECT role, chunk, CASE WHEN own IS NOT NULL THEN 'own_' || own WHEN role = 'c_level' THEN 'c_level_full_access' WHEN owner_dept = 'general' THEN 'general_docs_any_role' WHEN sensitivity "
+    "IN ('general', 'internal') AND role = owner_dept THEN 'same_department_internal_docs' WHEN role = 'employee' THEN 'employee_non_general_deny' WHEN role <> owner_dept THEN 'cross_department_deny' "
+    "ELSE 'high_sensitivity_md_deny_by_default' END AS rule, CASE WHEN own IS NOT NULL THEN CASE WHEN own % 2 = 1 THEN 'permit' ELSE 'deny' END "
+    f"WHEN {PERMIT_SQL} THEN 'permit' ELSE 'deny' END AS effect FROM o"
+))
+def policy_table(spark, d):
+    """Thousands of rules, for single sources, in front of the policy: held as a table."""
+    rows = chunks(spark, d).withColumn("role", F.explode(F.array(*map(F.lit, access.ROLES))))
+    columns = {"subject.role": F.col("role"), "action": F.lit("retrieve_chunk")} | {f"resource.{c}": F.col(c) for c in ("owner_dept", "doc_type", "sensitivity", "source_path")}
+    every = {"default": "deny", "rules": [*_MANY_RULES, *policy.POLICY["rules"]]}
+    return permits.decided(rows.select("chunk", "role", "owner_dept", "doc_type", "sensitivity", "source_path"), every, columns).select("role", "chunk", "rule", "effect")
+
+
 # Retrieval
 
 
@@ -489,6 +532,14 @@ def markdown_sections(spark, d):
     return chunking.sections(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_path"), "text")).select("source_path", "section_path", "text")
 
 
+@query()
+def chunks_lateral(spark, d):
+    """The same chunks from SQL, by the table function."""
+    tables.register(spark)
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_path"), "text")
+    return spark.sql("SELECT source_path, c.section_path, c.ordinal, c.chunk_index, c.text FROM {docs} AS d, LATERAL chunk_markdown(d.text, 512, 50) AS c", docs=rows)
+
+
 @query()
 def split_recursive(spark, d):
     return chunking.chunk_markdown(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_path"), "text"))
@@ -544,6 +595,20 @@ def parse_subqueries(spark, d):
     return rows.select("item_id", F.col("pos").cast("long").alias("ordinal"), F.col("col").alias("subquery"))
 
 
+_ALIASES = {"the": "[article]", "there": "[place]", "and": "[and]", "of": "[of]", "ing": "[ing]"}
+_STEPS = "text"
+for _name in sorted(_ALIASES, key=len, reverse=True):
+    _STEPS = f"replace({_STEPS}, '{_name}', chr({0xE000 + list(_ALIASES).index(_name)}))"
+for _i, _to in enumerate(_ALIASES.values()):
+    _STEPS = f"replace({_STEPS}, chr({0xE000 + _i}), '{_to}')"
+
+
+@query(f"SELECT item_id, {_STEPS} AS query, text AS query_original FROM benchmark")
+def query_aliases(spark, d):
+    """Names in queries brought to one form in one pass; the longer of two that begin alike wins, and no two of these overlap otherwise."""
+    return aliases.normalized(table(spark, d, "benchmark").select("item_id", F.col("text").alias("query")), _ALIASES)
+
+
 def _contexts(spark, d) -> DataFrame:
     rows = _candidates(spark, d).join(chunks(spark, d).select("chunk", "source_path", "section_path"), "chunk")
     return retrieval.first_of_each(rows, ["rank"]).withColumnRenamed("rank", "place")
@@ -851,6 +916,21 @@ def rate_limit_windows(spark, d):
     return E.windows(table(spark, d, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "n")
 
 
+_RATES = {"default": "3/day", "purchase": "1/day", "view": "2/hour"}
+_RATE_SQL = "event_type = 'view' AS hourly, CASE event_type WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS most, CASE WHEN event_type IN ('purchase', 'view') THEN event_type ELSE 'default' END AS name"
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, ts, {_RATE_SQL} FROM events),
+n AS (SELECT *, CASE WHEN hourly THEN count(*) OVER (PARTITION BY user_id, name ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) ELSE count(*) OVER (PARTITION
+    BY user_id, name ORDER BY ts RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) END AS n FROM e)
+SELECT event_id, user_id, name, least(n, most + 1) AS n, n <= most AS allowed FROM n""")
+def rate_limit_sliding(spark, d):
+    """Every event against the limit of its type over the window that ends with it."""
+    e = table(spark, d, "events")
+    rows = e.select(F.col("user_id").alias("key"), F.col("event_type").alias("name"), F.col("event_id").alias("id"), F.timestamp_seconds(T.utc_seconds("ts", T.zoned(e)) + F.expr("extract(SECOND FROM ts) % 1")).alias("ts"))
+    return stateful.limited(rows, _RATES).select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "name", "n", "allowed")
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def audit_daily(spark, d):
     e = table(spark, d, "events")

@@ -32,7 +32,7 @@ def discover(spark: SparkSession, base: str) -> DataFrame:
 
 def markdown(spark: SparkSession, base: str) -> DataFrame:
     """Every Markdown file as one row with its metadata; undecodable bytes are dropped."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").text(base, wholetext=True).select(F.replace("value", F.lit("�"), F.lit("")).alias("text"), F.col("_metadata.file_path").alias("source_path"))
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").text(base, wholetext=True).select(F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("text"), F.col("_metadata.file_path").alias("source_path"))
     return _described(rows, base)
 
 

@@ -62,13 +62,19 @@ def published(spark: SparkSession, path: str, version: int, text: str) -> None:
     rows.write.mode("errorifexists").text(f"{path.rstrip('/')}/versions/v={version}")
 
 
-def latest(spark: SparkSession, path: str) -> tuple[int, str | None]:
-    """The greatest version at path that is written to its end, and its text; 0 and None where there is none."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/versions")
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders under path whose writer ended well, by name."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = base.getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(base):
-        return 0, None
-    done = [int(s.getPath().getName()[2:]) for s in store.listStatus(base) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return []
+    done = lambda p: store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(f"{path.rstrip('/')}/{s.getPath().getName()}" for s in store.listStatus(base) if s.isDirectory() and done(s.getPath()))
+
+
+def latest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """The greatest version at path that is written to its end, and its text; 0 and None where there is none."""
+    done = [int(p.rpartition("/v=")[2]) for p in complete_folders(spark, f"{path.rstrip('/')}/versions")]
     if not done:
         return 0, None
     return max(done), spark.read.text(f"{path.rstrip('/')}/versions/v={max(done)}").first()["value"]

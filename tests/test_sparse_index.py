@@ -120,7 +120,7 @@ def test_a_fifth_of_the_postings_is_scored(spark, tmp_path):
 def test_queries_read_the_folders_of_their_terms(spark, tmp_path):
     index = S.created(str(tmp_path / "i"), made(spark, some(200)))
     one = spark.createDataFrame([("w3",)], "term string")
-    files = lambda df: {x.f for x in df.select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    files = lambda df: {x.f for x in df.select(F.input_file_name().alias("f")).distinct().collect()}
     rows = S._of_terms(index.rows(), one)
     assert rows.count() > 0 and len(files(index.rows())) > 20
     plan = rows._jdf.queryExecution().executedPlan().toString()
