@@ -4,9 +4,9 @@ Documents are aggregated by membership pattern (the set of sources they belong
 to). A pattern can give each of its words up to ``repeats`` times; every further
 repetition costs more (convex costs), so the flow from patterns to the quotas of
 their sources repeats as little as possible. The flow runs on patterns only, in
-phases of one cost that push along all shortest ways at once. Beyond ``PATTERNS``
-patterns the smallest ones count as members of their first source alone, so the
-table that reaches the driver is bounded by PATTERNS and the number of sources.
+phases of one cost that push along all shortest ways at once. The driver holds a row
+for each pattern that occurs, whatever their number, so that no word is lost: what
+grows there is the number of different sets of sources, not of documents.
 
 Documents then follow their pattern's flow in a seeded order (md5 of seed and id):
 whole rounds first, then, for what is left, ``FILLS`` times the documents in order,
@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import shared_folder, slices, stored, text_bytes, tidied, words
+from corvane.llm.common import shared_folder, slices, small, stored, text_bytes, tidied, words
 
-#: Patterns that the flow keeps apart.
-PATTERNS = 100_000
+#: Patterns up to which their flows are broadcast; beyond, documents are shuffled to them.
+BROADCAST = 200_000
 DIGITS = 3
 FILLS = 4
 
@@ -196,16 +196,6 @@ def plan_mix(totals: DataFrame, share: float = 1.5, most: float = 2.0, repeats:
     return list(zip(sources, sizes, target, strict=True)), [(list(p), sum(f), size) for (p, size), f in zip(rows, flow, strict=True)]
 
 
-def bounded_patterns(base: DataFrame) -> DataFrame:
-    """base with at most PATTERNS patterns beside those of one source: rows of smaller ones keep their first source alone."""
-    several = base.where(F.size("sources") > 1).groupBy("sources").agg(F.sum("size").alias("n"))
-    if several.limit(PATTERNS + 1).count() <= PATTERNS:
-        return base
-    kept = several.orderBy(F.col("n").desc(), "sources").limit(PATTERNS).select(F.col("sources").alias("known"))
-    rows = base.join(F.broadcast(kept), F.col("sources") == F.col("known"), "left")
-    return rows.withColumn("sources", F.when(F.col("known").isNotNull() | (F.size("sources") == 1), F.col("sources")).otherwise(F.slice("sources", 1, 1))).drop("known")
-
-
 def _taken(fills: int):
     """Whether one of so many fills took a row: it is not longer than the fill's gap and not behind its last position."""
     at = F.struct("h", "doc_id", "size", "row")
@@ -216,7 +206,7 @@ def _taken(fills: int):
 def _filled(base: DataFrame, flows: DataFrame, k: int) -> DataFrame:
     """flows with the last position of fill k and the gap after it."""
     gap, at = F.col(f"gap{k}"), F.struct("h", "doc_id", "size", "row")
-    rows = base.join(F.broadcast(flows), F.col("sources").eqNullSafe(F.col("p"))).where(~_taken(k) & (F.col("size") > 0) & (F.col("size") <= gap))
+    rows = base.join(small(flows, BROADCAST), F.col("sources").eqNullSafe(F.col("p"))).where(~_taken(k) & (F.col("size") > 0) & (F.col("size") <= gap))
     runs = rows.groupBy("p", "digit").agg(F.sum("size").alias("n"), F.first(gap).alias("gap"))
     runs = runs.withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy("digit")))
     # The digit whose documents do not all fit; none: past the last digit.
@@ -225,7 +215,7 @@ def _filled(base: DataFrame, flows: DataFrame, k: int) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))), F.lit(0)).alias("whole"),
     )
     cuts = cuts.select(F.col("p").alias("cp"), "cut", "whole")
-    edge = rows.join(F.broadcast(cuts), F.col("p").eqNullSafe(F.col("cp")) & (F.col("digit") == F.col("cut")))
+    edge = rows.join(small(cuts, BROADCAST), F.col("p").eqNullSafe(F.col("cp")) & (F.col("digit") == F.col("cut")))
     order = Window.partitionBy("p", "digit").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= gap - F.col("whole"))
     ends = edge.groupBy("cp").agg(F.max(at).alias("end"), F.max("upto").alias("part")).withColumnRenamed("cp", "ep")
@@ -245,16 +235,16 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, repeats: int =
     spark = docs.sparkSession
     folder = shared_folder(spark)
     base = stored(sized(docs, row, seed).withColumn("row", F.coalesce("row", F.monotonically_increasing_id())), folder, "sizes")
-    base = bounded_patterns(base.withColumn("digit", F.substring("h", 1, DIGITS)))
+    base = base.withColumn("digit", F.substring("h", 1, DIGITS))
     by_source, by_pattern = plan_mix(base.groupBy("sources").agg(F.sum("size").alias("size")), share, most, repeats)
     flows = spark.createDataFrame([(p, f // s if s else 0, f % s if s else 0) for p, f, s in by_pattern], "p array<string>, rounds long, gap0 long")
-    known = F.broadcast(spark.createDataFrame([(s, int(z), float(t)) for s, z, t in by_source], "s string, source_size long, target double"))
+    known = small(spark.createDataFrame([(s, int(z), float(t)) for s, z, t in by_source], "s string, source_size long, target double"), BROADCAST)
     for k in range(FILLS):
         flows = stored(_filled(base, flows, k), folder, "fills")
-    rows = base.join(F.broadcast(flows), F.col("sources").eqNullSafe(F.col("p"))).withColumn("more", _taken(FILLS))
+    rows = base.join(small(flows, BROADCAST), F.col("sources").eqNullSafe(F.col("p"))).withColumn("more", _taken(FILLS))
     fits = rows.where(~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col(f"gap{FILLS}")))
     last = fits.groupBy("p").agg(F.min(F.struct((-F.col("size")).alias("size"), "h", "doc_id", "row")).alias("x")).select(F.col("p").alias("lp"), F.col("x.row").alias("last"))
-    out = rows.join(F.broadcast(last), F.col("sources").eqNullSafe(F.col("lp")), "left")
+    out = rows.join(small(last, BROADCAST), F.col("sources").eqNullSafe(F.col("lp")), "left")
     extra = F.coalesce(F.col("row") == F.col("last"), F.lit(False))
     out = out.withColumn("taken", F.col("size") * (F.col("rounds") + (F.col("more") | extra).cast("long"))).withColumn("source", F.col("sources")[0])
     names = ["doc_id", "source", "size", "source_size", "target", "taken"]
@@ -273,7 +263,8 @@ m{k + 1} AS (SELECT *, more{k} OR ({took}) AS more{k + 1}, gap{k} - coalesce(sum
 
 #: DuckDB SQL for the rows of op6.
 SQL = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h, row_number() OVER () AS n_row FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h, row_number() OVER () AS n_row FROM documents),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
 w AS (SELECT *, CASE i % 3 WHEN 1 THEN 5.0::DOUBLE WHEN 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
 r AS (SELECT *, row_number() OVER (ORDER BY source_size / w, i) AS k FROM w),

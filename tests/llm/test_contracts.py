@@ -208,12 +208,19 @@ def test_mix_takes_no_source_above_its_target(spark):
         assert not any(x.size and x.taken // x.size == least and x.size <= int(gap) for x in some) or least == 2
 
 
-def test_mix_of_more_patterns_than_the_flow_keeps(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "PATTERNS", 5)
+def test_mix_of_many_patterns_loses_no_word(spark, monkeypatch):
+    """Targets are met whether flows are broadcast or shuffled, however many sets of sources there are."""
     r = random.Random(1)
-    rows = [(i, "w " * 10, sorted(r.sample("abcdefgh", r.randint(1, 4)))) for i in range(300)]
-    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
-    assert len(got) == 300 and all(0 <= x.taken <= 20 for x in got) and sum(x.taken for x in got) > 0
+    rows = [(i, "w " * 10, sorted(r.sample("abcdefgh", r.randint(1, 4)))) for i in range(600)]
+    docs, found = spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), []
+    for most in (200_000, 5):
+        monkeypatch.setattr(mixing, "BROADCAST", most)
+        found.append(sorted((x.doc_id, x.taken, x.target) for x in mixing.mixed(docs).collect()))
+    assert found[0] == found[1] and len(found[0]) == 600 and all(0 <= t <= 20 for _, t, _ in found[0])
+    targets = {s: t for (_, _, s), (_, _, t) in zip(rows, found[0], strict=True) for s in s[:1]}
+    words = sum(t for _, t, _ in found[0])
+    total = sum(t for s, t in targets.items())
+    assert len({tuple(s) for _, _, s in rows}) > 100 and words > 0.9 * min(total, 12_000)
 
 
 def test_flow_on_many_patterns_ends():
@@ -327,6 +334,46 @@ def test_page_texts_equal_an_independent_extraction(spark):
     assert len(rows) == len(pages) and same >= 0.99 * len(rows)
 
 
+def test_layouts_without_a_frame():
+    model = html_text.train()
+    text = lambda page: html_text.extract([page], model)[0]
+    assert text("<p>First words of the page here.</p><p>Second part of the page, with more words.</p>").count("\n\n") == 1
+    assert text("<article><h1>Title of it</h1><p>Words of the text are here.</p><dl><dt>Term<dd>Meaning of it.</dl></article>").endswith("Term\n\nMeaning of it.")
+    got = text('<article><h1>Title of it</h1><p>Words of the text are here.</p></article><section class="comments"><h2>Comments</h2><p>Great post.</p></section>')
+    assert got == "Title of it\n\nWords of the text are here."
+    r, right, every = np.random.default_rng(987), 0, 0
+    for _ in range(300):
+        x, y = html_text.labelled_page(html_text.sample_page(r))
+        if len(x):
+            batch, mask, _ = html_text.padded([x], None)
+            right, every = right + int(((model.forward(batch, mask)[0][0] >= 0.5) == y).sum()), every + len(y)
+    assert right >= 0.99 * every
+
+
+def test_gradients_equal_differences():
+    r = np.random.default_rng(1)
+    model = html_text.Labeller()
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, y = r.standard_normal((2, 4, html_text.INPUT)), (r.random((2, 4)) > 0.5).astype(float)
+    mask = np.array([[True] * 4, [True, True, True, False]])
+
+    def loss():
+        p = model.forward(x, mask)[0]
+        return -((y * np.log(p) + (1 - y) * np.log(1 - p)) * mask).sum() / mask.sum()
+
+    grad = model.gradients(x, mask, y)
+    for k, w in model.p.items():
+        for at in r.integers(0, w.size, 6):
+            place = np.unravel_index(at, w.shape)
+            was, step = w[place], 1e-3
+            w[place] = was + step
+            up = loss()
+            w[place] = was - step
+            slope = (up - loss()) / (2 * step)
+            w[place] = was
+            assert abs(slope - grad[k][place]) < 2e-4, k
+
+
 def test_odd_pages(spark):
     kinds = "page_id long, url string, html string, text string, n_chars string, label string"
     rows = [(1, None, "<html><head><title>t</title><p>" + "First words of the page. " * 3, "x", "y", "z"), (2, "u", None, "x", "y", "z"), (2, "u", "", "x", "y", "z"), (None, "u", "plain &amp; simple text, and nothing else.", "x", "y", "z")]
