@@ -314,6 +314,9 @@ _MAIN = "article content main post entry story body text articlebody postbody pa
 _PHRASES = ["Copyright 2024", "All rights reserved", "Subscribe to our newsletter", "We use cookies", "Accept", "Leave a reply", "Log in", "Sign up", "Share this", "Related articles", "Advertisement", "Read more", "Home", "Contact", "Privacy policy", "Next", "Search", "© example.com ·"]
 
 
+_TITLES = ["Comments", "3 Comments", "Leave a comment", "Discussion", "Related", "Related posts", "You may also like", "Newsletter", "More from us", "Popular now"]
+
+
 def sample_page(r) -> str:
     """A page of a random layout; blocks of the article carry the name ``yes`` at the end, for ``labelled_page``."""
     pick = lambda x: x[int(r.integers(len(x)))]
@@ -329,6 +332,11 @@ def sample_page(r) -> str:
         mark = "\x01" if yes else ""
         return f"<p>{mark}{_prose(r, 3, 60)}{pick(['.', '.', ''])}" + pick(["</p>", "</p>", ""])
 
+    def headed():
+        tag = pick(["h2", "h3", "h4", "strong"])
+        title = pick(_TITLES) if r.random() < 0.6 else line(1, 5)
+        return f"<{tag}>{title}</{tag}>" + "".join(prose_tag(False) for _ in range(int(r.integers(1, 4))))
+
     def boiler():
         name = pick(_ASIDE) + pick(["", "", "-box", "_wrap", " widget", "-1"])
         kind = pick(["nav", "aside", "footer", "header", "form", "named", "named", "named", "named"])
@@ -337,7 +345,7 @@ def sample_page(r) -> str:
         elif kind == "form":
             inner = f"<label>{line(1, 3)}</label><input><select><option>{_prose(r, 1, 2)}<option>{_prose(r, 1, 2)}</select><textarea>{line(1, 5)}</textarea><button>{line(1, 2)}</button>"
         else:
-            inner = pick([links, lambda: line(2, 40), lambda: f"<h3>{line(1, 5)}</h3>" + prose_tag(False), lambda: prose_tag(False) + prose_tag(False), lambda: prose_tag(False), lambda: f"<div>{line(3, 20)}</div>"])()
+            inner = pick([links, lambda: line(2, 40), headed, headed, lambda: prose_tag(False) + prose_tag(False), lambda: prose_tag(False), lambda: f"<div>{line(3, 20)}</div>"])()
         if kind == "named":
             tag, key = pick(["div", "section", "div", "ul", "p", "span", "div"]), pick(["class", "class", "id"])
             tag = "div" if tag in ("span", "ul", "p") and "<" in inner else tag
@@ -355,6 +363,7 @@ def sample_page(r) -> str:
                 lambda: f"<blockquote>\x01{_prose(r, 4, 40)}.</blockquote>",
                 lambda: f"<pre>\x01{_prose(r, 2, 20)}</pre>",
                 rows,
+                lambda: "<dl>" + "".join(f"<dt>\x01{_prose(r, 1, 4)}{pick(['</dt>', ''])}<dd>\x01{_prose(r, 2, 20)}.{pick(['</dd>', ''])}" for _ in range(int(r.integers(1, 4)))) + "</dl>",
                 lambda: f"<figure><figcaption>\x01{_prose(r, 2, 12)}.</figcaption></figure>",
                 lambda: f"<div>\x01{_prose(r, 6, 50)}.</div>",
                 lambda: f'<p><a href="/y">\x01{_prose(r, 2, 9)}</a> {_prose(r, 2, 9)}.</p>',
@@ -368,13 +377,15 @@ def sample_page(r) -> str:
         body.append(boiler() if r.random() < 0.08 else main_block())
     inner = "".join(body)
     wrap = r.random()
-    if wrap < 0.5:
+    if wrap < 0.15:
+        pass  # blocks of the body itself
+    elif wrap < 0.55:
         inner = f"<article>{inner}" + (boiler() if r.random() < 0.1 else "") + "</article>"
-    elif wrap < 0.65:
+    elif wrap < 0.7:
         inner = f"<main>{inner}</main>"
     else:
         inner = f'<div {pick(["class", "id"])}="{pick(_MAIN)}{pick(["", "-content", " clearfix"])}">{inner}</div>'
-    if r.random() < 0.3:
+    if wrap >= 0.15 and r.random() < 0.3:
         inner = f'<div class="{pick(["wrapper", "container", "row", "page"])}">{boiler() if r.random() < 0.4 else ""}{inner}{boiler() if r.random() < 0.4 else ""}</div>'
     return "<html><head><title>x</title></head><body>" + "".join(boiler() for _ in some(0, 4)) + inner + "".join(boiler() for _ in some(0, 4)) + pick(["</body></html>", ""])
 
