@@ -22,12 +22,13 @@ from corvane.functions.access import ROLES, role_bit, role_mask
 from corvane.functions.text import cosine, fusion_key, is_complex, llm_order, runs, subqueries, tokens
 from corvane.operators import sparse_index
 from corvane.operators.policy import decision, permitted
+from corvane.operators.providers import same_model
 from corvane.operators.sparse_index import B, K1, bounded, query_terms
 from corvane.storage import shared_folder, stored
 
 RRF = 60
-#: Vectors of queries up to which they are broadcast.
-QUERY_VECTORS = 10_000
+#: Numbers in the vectors of queries up to which they are broadcast.
+QUERY_NUMBERS = 4_000_000
 
 
 def top(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk", by: str = "query_id") -> DataFrame:
@@ -117,11 +118,14 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int
     """(query_id, id, score, rank): the k nearest vectors by cosine of each query vector, exact.
 
     vectors: (id, vector) and, for roles, mask; queries: (query_id, vector) and bit; only vectors whose mask
-    holds the bit are found. Vectors stay where they are read: blocks of the stated query set are broadcast up to
-    ``QUERY_VECTORS`` queries; beyond, both are dealt over as many parts as Spark shuffles to. A pair of blocks
+    holds the bit are found. Where both have model and dim, different ones are refused. Vectors stay where they are read: blocks of the stated query set are broadcast up to
+    ``QUERY_NUMBERS`` numbers; beyond, both are dealt over as many parts as Spark shuffles to. A pair of blocks
     keeps k candidates a query, so nothing grows but the number of pairs.
     """
 
+    if {"model", "dim"} <= set(vectors.columns) & set(queries.columns):
+        same_model(vectors, queries)
+
     def packed(df: DataFrame, name: str, flag: str) -> DataFrame:
         flags = F.col(flag) if flag in df.columns else F.lit(1)
         rows = df.select(F.col(name).cast("long").alias("id"), flags.cast("int").alias(flag), "vector").where("id is not null and vector is not null")
@@ -129,7 +133,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int
 
     blocks = packed(vectors, "id", "mask")
     asked = packed(queries, "query_id", "bit").select(F.col("ids").alias("qids"), "bit", F.col("rows").alias("qrows"))
-    if queries.limit(QUERY_VECTORS + 1).count() <= QUERY_VECTORS:
+    if (queries.agg(F.sum(F.greatest(F.size("vector"), F.lit(1)).cast("long"))).first()[0] or 0) <= QUERY_NUMBERS:
         pairs = blocks.crossJoin(F.broadcast(asked))
     else:
         parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import or_unknown, to_number
+from corvane.operators.sparse_index import bounded
+from corvane.storage import shared_folder, stored
 
 # Column names that masking hides, and what stands in for them.
 PII = ["name", "first_name", "last_name", "email", "phone", "address", "ssn", "national_id", "dob", "date_of_birth", "employee_id", "personal_email", "personal_phone"]
@@ -52,24 +54,38 @@ def latency_summary(rows: DataFrame, value: str, by: str) -> DataFrame:
     stats = stats.withColumn("places", F.transform(places, lambda x: F.floor(x)))
     width = F.greatest((F.col("high") - F.col("low")) / BINS, F.lit(1e-300))
     step = F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(BINS - 1))
-    values = found.join(F.broadcast(stats), F.col("g").eqNullSafe(F.col("sg"))).select("g", "v", "n", "places", step.alias("step"))
+    values = found.join(bounded(stats), F.col("g").eqNullSafe(F.col("sg"))).select("g", "v", "n", "places", step.alias("step"))
     steps = values.groupBy("g", "step").agg(F.sum("n").alias("m"), F.first("places").alias("places"))
     steps = steps.withColumn("upto", F.sum("m").over(Window.partitionBy("g").orderBy("step")))  # BINS rows a group
     holds = lambda upto, m: (F.col(upto) >= F.col("place")) & (F.col(upto) - F.col(m) < F.col("place"))
     wanted = steps.withColumn("place", F.explode("places")).where(holds("upto", "m"))
     wanted = wanted.select(F.col("g").alias("wg"), F.col("step").alias("ws"), "place", (F.col("upto") - F.col("m")).alias("below")).distinct()
-    inside = values.join(F.broadcast(wanted), F.col("g").eqNullSafe(F.col("wg")) & (F.col("step") == F.col("ws")))
+    inside = values.join(bounded(wanted), F.col("g").eqNullSafe(F.col("wg")) & (F.col("step") == F.col("ws")))
     inside = inside.withColumn("at", F.col("below") + F.sum("n").over(Window.partitionBy("wg", "ws", "place").orderBy("v"))).where(holds("at", "n"))
     hit = inside.groupBy("wg").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("found"))
-    out = stats.join(F.broadcast(hit), F.col("sg").eqNullSafe(F.col("wg")))
+    out = stats.join(bounded(hit), F.col("sg").eqNullSafe(F.col("wg")))
     at = lambda i: F.element_at("found", F.col("places")[i])
     mean, median = F.round(F.col("sum") / n, 6), F.round((at(0) + at(1)) / 2, 6)
     return out.select(F.col("sg").alias(by), n.alias("n"), mean.alias("mean"), median.alias("median"), F.round(at(2), 6).alias("p95"))
 
 
+def first_rows(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in order, without sorting them in one task: ranges of the order are counted, and only the range in which the n-th row lies is sorted by itself."""
+    ranges = rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    ranges = stored(ranges, shared_folder(rows.sparkSession), "ranges")
+    left, cut = n, -1
+    for r in sorted(ranges.groupBy("_range").count().collect()):  # a row a range
+        cut = r["_range"]
+        if left <= r["count"]:
+            break
+        left -= r["count"]
+    edge = ranges.where(F.col("_range") == cut).orderBy(order).limit(left)
+    return ranges.where(F.col("_range") < cut).unionByName(edge).drop("_range")
+
+
 def speedup(plain: DataFrame, cached: DataFrame, value: str, order: str) -> DataFrame:
     """One row: the mean of as many plain values, in order, as there are cached ones, by the mean of those; null where that is not positive."""
     n = cached.where(F.col(value).isNotNull()).count()
-    first = plain.where(F.col(value).isNotNull()).orderBy(order).limit(n)
+    first = first_rows(plain.where(F.col(value).isNotNull()).select(order, value), order, n)
     both = first.agg(F.avg(value).alias("a")).crossJoin(cached.agg(F.avg(value).alias("b")))  # one row each
     return both.select(F.when(F.col("b") > 0, F.round(F.col("a") / F.col("b"), 6)).alias("prefix_cache_speedup"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, policy, providers, retrieval, store
+from corvane.operators import chunking, policy, providers, retrieval, store, tabular
 from corvane.sources import files
 from corvane.streaming import events
 
@@ -180,6 +180,20 @@ def test_days_are_those_of_utc_in_any_session(spark):
         spark.conf.set("spark.sql.session.timeZone", was)
 
 
+def test_searches_refuse_vectors_of_another_model(spark):
+    rows = lambda model, name: spark.createDataFrame([(1, [1.0, 0.0], model, 2)], f"{name} long, vector array<double>, model string, dim int")
+    assert retrieval.dense_search(rows("a", "id"), rows("a", "query_id")).count() == 1
+    with pytest.raises(ValueError, match="different models"):
+        retrieval.dense_search(rows("a", "id"), rows("b", "query_id"))
+
+
+def test_first_rows_without_one_sort(spark):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), F.col("id").cast("double").alias("v")).repartition(7)
+    for n in (0, 1, 500, 999, 1000, 2000):
+        assert sorted(r.k for r in tabular.first_rows(rows, "k", n).collect()) == list(range(min(n, 1000)))
+    assert tabular.first_rows(rows.limit(0), "k", 3).count() == 0
+
+
 def test_denied_requests_fail(spark):
     rows = spark.createDataFrame([("hr", "hr", "csv", "restricted", "view_row"), ("finance", "hr", "csv", "restricted", "view_row")], "role string, owner_dept string, doc_type string, sensitivity string, action string")
     gate = lambda df: policy.authorized(df, F.col("role"), F.col("action")).collect()
