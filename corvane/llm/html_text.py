@@ -370,14 +370,15 @@ def sample_page(r) -> str:
             ]
         )()
 
-    body = [f"<h1>\x01{_prose(r, 2, 14)}</h1>"] if r.random() < 0.9 else []
+    wrap = r.random()
+    framed = wrap >= 0.15
+    body = [f"<h1>\x01{_prose(r, 2, 14)}</h1>"] if r.random() < (0.9 if framed else 0.5) else []
     if body and r.random() < 0.25:
         body = [f"<header>{body[0]}</header>"]
     for _ in some(1, 14):
         body.append(boiler() if r.random() < 0.08 else main_block())
     inner = "".join(body)
-    wrap = r.random()
-    if wrap < 0.15:
+    if not framed:
         pass  # blocks of the body itself
     elif wrap < 0.55:
         inner = f"<article>{inner}" + (boiler() if r.random() < 0.1 else "") + "</article>"
@@ -385,8 +386,10 @@ def sample_page(r) -> str:
         inner = f"<main>{inner}</main>"
     else:
         inner = f'<div {pick(["class", "id"])}="{pick(_MAIN)}{pick(["", "-content", " clearfix"])}">{inner}</div>'
-    if wrap >= 0.15 and r.random() < 0.3:
+    if framed and r.random() < 0.3:
         inner = f'<div class="{pick(["wrapper", "container", "row", "page"])}">{boiler() if r.random() < 0.4 else ""}{inner}{boiler() if r.random() < 0.4 else ""}</div>'
+    if not framed and r.random() < 0.5:
+        return pick(["<html><head><title>x</title></head><body>", ""]) + inner
     return "<html><head><title>x</title></head><body>" + "".join(boiler() for _ in some(0, 4)) + inner + "".join(boiler() for _ in some(0, 4)) + pick(["</body></html>", ""])
 
 
