@@ -52,6 +52,8 @@ def latency_summary(rows: DataFrame, value: str, by: str) -> DataFrame:
     n = F.col("all")
     places = F.array((n + 1) / 2, n / 2 + 1, F.when(n < 20, n).otherwise(F.floor(n * 0.95) + 1))
     stats = stats.withColumn("places", F.transform(places, lambda x: F.floor(x)))
+    folder = shared_folder(rows.sparkSession)  # a row a group or place: read by several joins, counted before each
+    stats = stored(stats, folder, "stats")
     width = F.greatest((F.col("high") - F.col("low")) / BINS, F.lit(1e-300))
     step = F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(BINS - 1))
     values = found.join(bounded(stats), F.col("g").eqNullSafe(F.col("sg"))).select("g", "v", "n", "places", step.alias("step"))
@@ -60,9 +62,11 @@ def latency_summary(rows: DataFrame, value: str, by: str) -> DataFrame:
     holds = lambda upto, m: (F.col(upto) >= F.col("place")) & (F.col(upto) - F.col(m) < F.col("place"))
     wanted = steps.withColumn("place", F.explode("places")).where(holds("upto", "m"))
     wanted = wanted.select(F.col("g").alias("wg"), F.col("step").alias("ws"), "place", (F.col("upto") - F.col("m")).alias("below")).distinct()
+    wanted = stored(wanted, folder, "wanted")
     inside = values.join(bounded(wanted), F.col("g").eqNullSafe(F.col("wg")) & (F.col("step") == F.col("ws")))
     inside = inside.withColumn("at", F.col("below") + F.sum("n").over(Window.partitionBy("wg", "ws", "place").orderBy("v"))).where(holds("at", "n"))
     hit = inside.groupBy("wg").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("found"))
+    hit = stored(hit, folder, "hit")
     out = stats.join(bounded(hit), F.col("sg").eqNullSafe(F.col("wg")))
     at = lambda i: F.element_at("found", F.col("places")[i])
     mean, median = F.round(F.col("sum") / n, 6), F.round((at(0) + at(1)) / 2, 6)
