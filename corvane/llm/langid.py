@@ -33,6 +33,8 @@ LEAST, LANGS = 50, 1_000
 BITS = 15
 ORDERS = 3
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.3, 1e-3, 3, 20.0
+#: Weights that are gathered at once while texts are scored.
+GATHERED = 1 << 23
 UND = "und"
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _letters: list[np.ndarray] = []
@@ -77,10 +79,12 @@ class Model:
     def logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         hashes, owners, total, letters = ngrams(texts)
         out = np.zeros((len(texts), len(self.langs)))
+        most = max(1, GATHERED // max(len(self.langs), 1))  # n-grams whose weights are looked up together
         for h, of in zip(hashes, owners, strict=True):
-            if len(h):
-                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                out[of[first]] += np.add.reduceat(self.weights[h], first, axis=0)
+            for at in range(0, len(h), most):
+                some, own = h[at : at + most], of[at : at + most]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                out[own[first]] += np.add.reduceat(self.weights[some], first, axis=0)
         return out / np.maximum(total, 1)[:, None] + self.bias, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

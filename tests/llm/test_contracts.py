@@ -334,6 +334,20 @@ def test_page_texts_equal_an_independent_extraction(spark):
     assert len(rows) == len(pages) and same >= 0.99 * len(rows)
 
 
+def test_many_languages_take_bounded_memory():
+    r = np.random.default_rng(5)
+    langs = [f"l{i}" for i in range(1000)]
+    weights = r.standard_normal((1 << langid.BITS, len(langs))).astype(np.float32)
+    model = langid.Model(langs, weights, np.zeros(len(langs)), 1.0)
+    texts = ["some words of a language " * 400, "", None, "and others " * 10_000]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got, _ = model.logits(texts)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+    hashes, owners, total, _ = langid.ngrams(texts[:1])
+    plain = sum(weights[h].astype(np.float64).sum(axis=0) for h in hashes) / total[0]
+    assert np.abs(got[0] - plain).max() < 1e-3
+
+
 def test_layouts_without_a_frame():
     model = html_text.train()
     text = lambda page: html_text.extract([page], model)[0]
