@@ -170,7 +170,21 @@ _GRID = {
     "rows_mode": ["enabled", "disabled", None],
     "aggregate_mode": ["enabled", "disabled", None],
 }
-_GRID_SQL = "WITH " + ", ".join(f"v_{k} AS (SELECT * FROM (VALUES {', '.join('(NULL)' if x is None else f"('{x}')" for x in v)}) AS t({k}))" for k, v in _GRID.items())
+
+
+def _of_grid(name: str, number: str) -> str:
+    """SQL of the value of a list that a number picks, in turn."""
+    values = _GRID[name]
+    return f"CASE CAST(({number}) % {len(values)} AS INTEGER) {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(values) if x is not None)} END"
+
+
+_DEALT = {"doc_type": "chunk", "sensitivity": "chunk // 4", "action": "chunk // 20"}
+_GRID_SQL = with_sql() + ", " + ", ".join(f"v_{k} AS (SELECT * FROM (VALUES {', '.join('(NULL)' if x is None else f"('{x}')" for x in _GRID[k])}) AS t({k}))" for k in ("role", "rows_mode", "aggregate_mode"))
+
+
+def policy_of_grid():
+    """The decision on rows with the columns of the grid."""
+    return policy.decision(F.col("role"), F.col("action"), {"hr_masked_rows_mode": F.col("rows_mode"), "hr_aggregate_mode": F.col("aggregate_mode")})
 
 
 def policy_rows(spark) -> DataFrame:
@@ -181,8 +195,9 @@ def policy_rows(spark) -> DataFrame:
     return one.drop("id")
 
 
-@query(_GRID_SQL + """, g AS (SELECT * FROM v_role, v_owner_dept, v_doc_type, v_sensitivity, v_action, v_rows_mode, v_aggregate_mode),
-f AS (SELECT *, coalesce(role = 'c_level', FALSE) AS top, coalesce(role IN ('hr', 'c_level'), FALSE) AS hrc, coalesce(owner_dept
+@query(_GRID_SQL + f""", g AS (SELECT chunk, CASE WHEN chunk % 11 > 0 THEN owner_dept END AS owner_dept, {", ".join(f"{_of_grid(k, n)} AS {k}" for k, n in _DEALT.items())}, role, rows_mode, aggregate_mode
+    FROM corpus, v_role, v_rows_mode, v_aggregate_mode),
+""" + """f AS (SELECT *, coalesce(role = 'c_level', FALSE) AS top, coalesce(role IN ('hr', 'c_level'), FALSE) AS hrc, coalesce(owner_dept
     = 'general', FALSE) AS gen, coalesce(owner_dept = 'hr', FALSE) AS hr, coalesce(doc_type, '') AS dt, role IS NOT DISTINCT
     FROM owner_dept AS own, action IN ('retrieve_chunk', 'view_source') AS rd, coalesce(sensitivity, '') AS s FROM g),
 r AS (SELECT *, CASE WHEN top THEN 'c_level_full_access' WHEN gen AND rd THEN 'general_docs_any_role' WHEN dt = 'md' AND
@@ -195,11 +210,16 @@ r AS (SELECT *, CASE WHEN top THEN 'c_level_full_access' WHEN gen AND rd THEN 'g
     IN ('retrieve_chunk', 'view_source', 'aggregate_query') AND NOT hrc THEN 'hr_aggregates_non_hr_if_enabled' WHEN hr AND
     dt = 'aggregate' AND action IN ('retrieve_chunk', 'view_source', 'aggregate_query') AND hrc THEN 'hr_aggregates_hr_and_c_level'
     WHEN dt = 'md' AND s IN ('confidential', 'restricted') THEN 'high_sensitivity_md_deny_by_default' END AS rule FROM f)
-SELECT role, owner_dept, doc_type, sensitivity, action, rows_mode, aggregate_mode, rule, CASE WHEN rule IS NULL OR rule LIKE
+SELECT chunk, role, owner_dept, doc_type, sensitivity, action, rows_mode, aggregate_mode, rule, CASE WHEN rule IS NULL OR rule LIKE
     '%deny%' THEN 'deny' ELSE 'permit' END AS effect FROM r""")
 def policy_grid(spark, d):
-    x = policy.decision(F.col("role"), F.col("action"), {"hr_masked_rows_mode": F.col("rows_mode"), "hr_aggregate_mode": F.col("aggregate_mode")})
-    return policy_rows(spark).withColumn("x", x).select(*_GRID, "x.rule", "x.effect")
+    """Requests of all roles, with both flags in every state, for the documents, whose types, sensitivities and actions go round, nulls among them."""
+    dealt = {"doc_type": F.col("chunk"), "sensitivity": F.expr("chunk div 4"), "action": F.expr("chunk div 20")}
+    pick = lambda k, n: F.element_at(F.array(*(F.lit(x).cast("string") for x in _GRID[k])), (n % len(_GRID[k]) + 1).cast("int"))
+    rows = chunks(spark, d).select("chunk", F.when(F.col("chunk") % 11 > 0, F.col("owner_dept")).alias("owner_dept"), *(pick(k, n).alias(k) for k, n in dealt.items()))
+    for k in ("role", "rows_mode", "aggregate_mode"):
+        rows = rows.withColumn(k, F.explode(F.array(*(F.lit(x).cast("string") for x in _GRID[k]))))
+    return rows.withColumn("x", policy_of_grid()).select("chunk", *_GRID, "x.rule", "x.effect")
 
 
 @query(with_sql() + (

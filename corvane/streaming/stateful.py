@@ -2,7 +2,8 @@
 
 Both keep a few numbers for each key, in Spark's state store, and act when the stream's
 clock (the watermark) has passed a time, so that the order in which rows arrive does not
-matter. Each has a batch form that gives the same rows.
+matter. Each has a batch form that gives the same rows. The streams need the RocksDB state
+store (spark.sql.streaming.stateStore.providerClass) and Python's protobuf.
 """
 
 from __future__ import annotations
