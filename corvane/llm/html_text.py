@@ -353,6 +353,11 @@ def sample_page(r) -> str:
             return f'<{tag} {key}="{name}">{inner}</{tag}>'
         return f"<{kind}>{inner}</{kind}>"
 
+    def readers():
+        tag, name = pick(["section", "section", "div"]), pick(["comments", "comments", "comment-list", "discussion", "responses", "reply comments"])
+        said = "".join(f"<p>{_prose(r, 1, 25)}{pick(['.', '!', ''])}</p>" if r.random() < 0.7 else f"<div>{_prose(r, 1, 12)}.</div>" for _ in range(int(r.integers(1, 5))))
+        return f'<{tag} {pick(["class", "class", "id"])}="{name}"><{pick(["h2", "h3", "h2"])}>{pick(_TITLES[:4])}</h2>{said}</{tag}>'
+
     def main_block():
         rows = lambda: f"<table><tr><td>\x01{_prose(r, 1, 6)}<td>\x01{_prose(r, 1, 6)}</table>"
         return pick(
@@ -386,6 +391,8 @@ def sample_page(r) -> str:
         inner = f"<main>{inner}</main>"
     else:
         inner = f'<div {pick(["class", "id"])}="{pick(_MAIN)}{pick(["", "-content", " clearfix"])}">{inner}</div>'
+    if r.random() < 0.25:
+        inner += readers()
     if framed and r.random() < 0.3:
         inner = f'<div class="{pick(["wrapper", "container", "row", "page"])}">{boiler() if r.random() < 0.4 else ""}{inner}{boiler() if r.random() < 0.4 else ""}</div>'
     if not framed and r.random() < 0.5:
