@@ -187,10 +187,10 @@ def opened(spark: SparkSession, path: str) -> SparseIndex:
 def followed(index: SparseIndex, chunks: DataFrame, size: int = BLOCK) -> SparseIndex:
     """The index made equal to a collection: new and changed chunks get a segment, changed and vanished ones a tombstone.
 
-    Only ids and checksums are shuffled; texts of chunks that did not change are read for their checksum and no further.
+    Of rows with one id the one with the least checksum counts. Only ids and checksums are shuffled; texts of chunks that did not change are read for their checksum and no further.
     """
     named = chunks.where("chunk is not null")
-    now = named.select(F.col("chunk").cast("long").alias("chunk"), checksum(chunks).alias("now")).dropDuplicates(["chunk"])
+    now = named.select(F.col("chunk").cast("long").alias("chunk"), checksum(chunks).alias("now")).groupBy("chunk").agg(F.min("now").alias("now"))
     if index.segments:
         both = now.join(index.listing(), "chunk", "full").where("not now <=> checksum")
     else:
@@ -203,7 +203,8 @@ def followed(index: SparseIndex, chunks: DataFrame, size: int = BLOCK) -> Sparse
         dead.select(F.col("segment").alias("of"), "block", "chunk").write.parquet(f"{index.path}/dead/segment={tombs[-1]}")
     if fresh.limit(1).count():
         rows = named.join(bounded(fresh.select("chunk")), "chunk", "left_semi") if segments else named
-        rows = rows if rows.select("chunk").count() == fresh.count() else rows.dropDuplicates(["chunk"])
+        if rows.select("chunk").count() > fresh.count():  # repeated ids: the row whose checksum counts, in an order that a task run again finds too
+            rows = rows.withColumn("checksum", checksum(rows)).join(bounded(fresh), ["chunk", "checksum"], "left_semi").dropDuplicates(["chunk"]).sortWithinPartitions("chunk")
         segments += (_segment(index, block_rows(rows, size), fresh),)
     return index if (segments, tombs) == (index.segments, index.dead) else _publish(index, segments, tombs)
 

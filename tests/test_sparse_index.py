@@ -73,6 +73,9 @@ def test_odd_texts_and_scores_by_hand(spark, tmp_path):
 def test_repeated_ids_are_one_chunk(spark, tmp_path):
     index = S.created(str(tmp_path / "i"), made(spark, [(1, "a b", ["hr"]), (1, "a b", ["hr"]), (2, "c", ["hr"])]))
     assert sorted(x.chunk for x in index.listing().collect()) == [1, 2] and S.postings(index.rows()).count() == 3
+    both = made(spark, [(1, "one text", ["hr"]), (1, "another", ["hr"]), (2, "c", ["hr"])])
+    again = S.followed(index, both)
+    assert again.version == 2 and S.postings(again.rows()).where("chunk = 1").count() in (1, 2) and S.followed(again, both).version == 2
 
 
 @pytest.mark.parametrize("k", [1, 5, 40])
