@@ -251,6 +251,7 @@ def weights(rows: DataFrame, queries: DataFrame) -> DataFrame:
     Numbers come from the counts by mask; no posting is read. late: terms beyond the CUT rarest share of the query's postings.
     """
     terms = query_terms(queries).withColumn("bit", role_bit(F.col("role"))).where("bit > 0")
+    terms = stored(terms, shared_folder(rows.sparkSession), "terms")  # found once, read by three steps
     roles = F.broadcast(rows.sparkSession.createDataFrame([(r, 1 << i) for i, r in enumerate(ROLES)], "role string, bit int"))
     sizes = rows.where("bucket = -1").select(F.inline("masks")).groupBy("mask").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
     stats = sizes.join(roles, _sees()).groupBy("role").agg(F.sum("n").alias("n"), (F.sum("dl") / F.greatest(F.lit(1), F.sum("n"))).alias("avgdl"))
