@@ -90,6 +90,38 @@ def test_embedder_places_texts_that_share_words_near():
     assert len(a) == 256 and abs(dot(a, a) - 1) < 1e-9 and dot(a, b) > 0.5 > dot(a, c) and not any(none)
 
 
+def test_embedder_finds_the_features_of_a_word_once():
+    """Each vector is what word by word sums give, whatever else is in the batch; a word that was seen is not hashed again."""
+    import zlib
+    from unittest import mock
+
+    import numpy as np
+
+    texts = ["the leave policy the THE", "", "a", " ".join(f"word{i} w{i % 7}" for i in range(3000)), "the policy of leave"]
+    embed = providers.hashed_embedder(64)
+    whole = np.array(embed(texts))
+    for text, got in zip(texts, whole, strict=True):
+        want = np.zeros(64)
+        words = text.lower().split()
+        for w in dict.fromkeys(words):
+            for t in (w, *(f"<{w}>"[i : i + 3] for i in range(len(w)))):
+                h = zlib.crc32(t.encode())
+                want[h % 64] += (1.0 if h >> 31 else -1.0) * (1 + np.log(words.count(w)))
+        assert np.abs(got - want / (np.linalg.norm(want) or 1)).max() < 1e-12
+    with mock.patch.object(providers.zlib, "crc32", side_effect=AssertionError):
+        assert (np.array(embed(texts[::-1])) == whole[::-1]).all()
+
+
+def test_upsert_does_not_embed_for_ids(spark):
+    """The rows of an index that stay are found by the ids of the chunks: each chunk is embedded once."""
+    from corvane.sources import files
+
+    rows = spark.createDataFrame([(str(i), f"text {i}") for i in range(8)], "id string, text string")
+    out = files.dense_index(rows.where("id > 5"), files.dense_index(rows, None))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    assert sorted(r.id for r in out.collect()) == [str(i) for i in range(8)]
+
+
 def test_failing_providers_keep_order_and_question(spark):
     def fails(prompts):
         raise RuntimeError("no answer")
