@@ -56,6 +56,11 @@ def bounded(df: DataFrame, most: int = SIDE) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def ascii_words(text: str | None, pattern: re.Pattern = re.compile(rb"[a-z0-9]+")) -> Counter:
+    """Runs of ASCII letters and digits of a text, lower-cased, with their numbers."""
+    return Counter(pattern.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER)))
+
+
 def _lists(starts: np.ndarray, end: int, **columns: np.ndarray) -> pa.Array:
     """Runs of rows as lists of structs."""
     values = pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns))
@@ -63,7 +68,7 @@ def _lists(starts: np.ndarray, end: int, **columns: np.ndarray) -> pa.Array:
 
 
 def _blocks(texts: list[str | None], chunk: np.ndarray, mask: np.ndarray, first: int, size: int) -> pa.RecordBatch:
-    found = [Counter(_WORD.findall((t or "").encode("utf-8", "surrogatepass").translate(_LOWER))) for t in texts]
+    found = [ascii_words(t, _WORD) for t in texts]
     dl = np.array([sum(c.values()) for c in found], dtype=np.int64)
     place = np.empty(len(texts), dtype=np.int64)
     place[np.lexsort((chunk, dl, mask))] = np.arange(len(texts))
@@ -308,6 +313,21 @@ def best(rows: DataFrame, worth: DataFrame, k: int, k1: float = K1, b: float = B
     return _leading(rows, worth, k, k1, b, True, seen)
 
 
+def _frame(spark: SparkSession, df, schema: str) -> DataFrame:
+    return spark.createDataFrame(list(df.itertuples(index=False, name=None)), schema)
+
+
+def coded(worth: DataFrame, side) -> tuple[dict[str, np.ndarray], object, DataFrame]:
+    """Query terms as arrays with numbers for queries (q) and terms (code), ordered by role and term; (code, term); (q, query_id, role).
+
+    side: the rows of worth (query_id, role, bit, term, weight, avgdl, late) as pandas.
+    """
+    side = side.assign(q=side.groupby(["query_id", "role"]).ngroup(), code=side.groupby("term").ngroup()).sort_values(["role", "code", "q"])
+    kind = worth.schema["query_id"].dataType.simpleString()
+    queries = _frame(worth.sparkSession, side.drop_duplicates("q")[["q", "query_id", "role"]], f"q int, query_id {kind}, role string")
+    return {c: side[c].to_numpy() for c in ("bit", "code", "q", "weight", "avgdl", "late")}, side.drop_duplicates("code")[["code", "term"]], queries
+
+
 def _leading(rows: DataFrame, worth: DataFrame, k: int, k1: float, b: float, bounds: bool, seen: list[Observation] | None) -> DataFrame:
     """The k best of each query in each part of the index; scores() of batches beyond ASKED query terms.
 
@@ -316,17 +336,8 @@ def _leading(rows: DataFrame, worth: DataFrame, k: int, k1: float, b: float, bou
     side = worth.limit(ASKED + 1).toPandas()
     if len(side) > ASKED:
         return scores(rows, worth, k1, b, seen)
-    spark = rows.sparkSession
-    side["q"] = side.groupby(["query_id", "role"], sort=True).ngroup()
-    side["code"] = side.groupby("term", sort=True).ngroup()
-    side = side.sort_values(["role", "code", "q"])
-    names = side.drop_duplicates("q")[["q", "query_id", "role"]]
-    codes = side.drop_duplicates("code")[["code", "term"]]
-    asked = {c: side[c].to_numpy() for c in ("bit", "code", "q", "weight", "avgdl", "late")}
-    frame = lambda df, schema: spark.createDataFrame([tuple(r) for r in df.itertuples(index=False, name=None)], schema)
-    terms = frame(codes, "code int, term string")
-    kind = worth.schema["query_id"].dataType.simpleString()
-    queries = frame(names, f"q int, query_id {kind}, role string")
+    asked, codes, queries = coded(worth, side)
+    terms = _frame(rows.sparkSession, codes, "code int, term string")
     parts = -(-int(max(side.groupby("term")["df"].max().sum(), 1)) // HELD)
     bits = int(np.bitwise_or.reduce(asked["bit"])) if len(side) else 0
     each = _of_terms(rows, terms.select("term")).join(F.broadcast(terms), "term").select("segment", "block", "code", F.inline("docs")).where(F.col("mask").bitwiseAND(bits) != 0)
@@ -334,7 +345,7 @@ def _leading(rows: DataFrame, worth: DataFrame, k: int, k1: float, b: float, bou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pa.Table.from_batches(list(batches))
         if found.num_rows:
-            q, chunk, score, n = _best_of_part({c: found.column(c).to_numpy() for c in found.column_names}, asked, k, k1, b, bounds)
+            q, chunk, score, n = best_of_part({c: found.column(c).to_numpy() for c in found.column_names}, asked, k, k1, b, bounds)
             columns = [pa.array(np.append(q, -1).astype(np.int32)), pa.array(np.append(chunk, 0)), pa.array(np.append(score, 0.0)), pa.array(np.append(np.zeros(len(q), np.int64), n))]
             yield pa.RecordBatch.from_arrays(columns, names=["q", "chunk", "score", "n"])
 
@@ -346,8 +357,11 @@ def _leading(rows: DataFrame, worth: DataFrame, k: int, k1: float, b: float, bou
     return out.join(F.broadcast(queries), "q").select("query_id", "role", "chunk", F.round("score", 6).alias("score"))
 
 
-def _best_of_part(held: dict[str, np.ndarray], asked: dict[str, np.ndarray], k: int, k1: float, b: float, bounds: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Queries, chunks and scores of the k best of each query among all postings (block, code, chunk, mask, dl, tf) of some blocks, and the number of postings scored."""
+def best_of_part(held: dict[str, np.ndarray], asked: dict[str, np.ndarray], k: int, k1: float | None = K1, b: float = B, bounds: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Queries, chunks and scores of the k best of each query among all postings (block, code, chunk, mask, dl, tf) of some blocks, and the number of postings scored.
+
+    Without k1 a posting counts its tf.
+    """
     order = np.lexsort((held["code"], held["chunk"], held["block"]))
     held = {c: x[order] for c, x in held.items()}
     found, n = [], 0
@@ -362,15 +376,15 @@ def _best_of_part(held: dict[str, np.ndarray], asked: dict[str, np.ndarray], k:
     return (*(np.concatenate(x) for x in zip(empty, *found, strict=True)), n)
 
 
-def _best_of_role(held: dict[str, np.ndarray], asked: dict[str, np.ndarray], k: int, k1: float, b: float, bounds: bool) -> tuple[tuple, int]:
-    """_best_of_part() for the queries of one role, over the postings that it sees, ordered by block and chunk."""
+def _best_of_role(held: dict[str, np.ndarray], asked: dict[str, np.ndarray], k: int, k1: float | None, b: float, bounds: bool) -> tuple[tuple, int]:
+    """best_of_part() for the queries of one role, over the postings that it sees, ordered by block and chunk."""
     queries, q = np.unique(asked["q"], return_inverse=True)
     avgdl, most, late = max(1e-9, asked["avgdl"][0]), len(queries), asked["late"].astype(bool)
     change = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1]))
     first = np.append(change(held["chunk"]), len(held["chunk"]))
     ids, blocks = held["chunk"][first[:-1]], held["block"][first[:-1]]
     place = np.repeat(np.arange(len(ids)), np.diff(first))
-    worth = held["tf"] * (k1 + 1) / (held["tf"] + k1 * (1 - b + b * held["dl"] / avgdl))
+    worth = held["tf"] * 1.0 if k1 is None else held["tf"] * (k1 + 1) / (held["tf"] + k1 * (1 - b + b * held["dl"] / avgdl))
     entries = {None: np.arange(len(q)), False: np.flatnonzero(~late), True: np.flatnonzero(late)}
     # Entries are ordered by term: the queries of a term are a run.
     size = int(max(held["code"].max(), asked["code"].max())) + 2

@@ -61,3 +61,29 @@ def test_hashed_search_makes_no_row_for_a_candidate(spark):
     assert sorted((r.query_id, r.id) for r in found.collect()) == sorted(best) and not alike.all()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "bucket" not in plan and "SortMergeJoin" not in plan
+
+
+def test_texts_are_not_shuffled_to_hits(spark):
+    """Hits go to the texts, also where Spark would not broadcast them by itself."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry._candidates(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "hashpartitioning(chunk" not in plan and "BroadcastHashJoin [chunk" in plan
+
+
+def test_keyword_search_shuffles_no_words(spark, monkeypatch):
+    """All queries are scored where a text is read; joins, for batches beyond a size, give the same."""
+    from corvane.operators import retrieval, sparse_index
+    from corvane.plans import corpus
+
+    c, q = corpus.chunks(spark, DATA), corpus.asked(spark, DATA)
+    found = retrieval.keyword_search(c, q, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning(chunk" not in plan
+    whole = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(sparse_index, "ASKED", 5)
+    assert sorted(map(tuple, retrieval.keyword_search(c, q, 3).collect())) == whole and len(whole) > 50
+    assert retrieval.keyword_search(c, q.limit(0), 3).count() == 0
