@@ -24,6 +24,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +37,8 @@ from corvane.functions.text import runs
 from corvane.storage import latest, published, shared_folder, stored
 
 K1, B = 1.5, 0.75
-#: Chunks of a block; folders of terms; chunks beyond which the rows of one folder are dealt to several parts.
-BLOCK, BUCKETS, PART = 8, 64, 5_000_000
+#: Chunks of a block; folders of terms; chunks that a task writes, where whole files allow it; bytes that it gathers for a folder before it writes them.
+BLOCK, BUCKETS, PART, GATHERED = 8, 64, 50_000, 4 << 20
 #: Rows up to which a side is broadcast: query terms, pairs of a query and a block, tombstones.
 SIDE = 200_000
 #: The share of a query's postings, its rarest terms, that is scored before chunks are left out; leading chunks for each result that are then scored in full, for a threshold.
@@ -165,12 +166,23 @@ def checksum(chunks: DataFrame) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts, F.array_join(F.array_sort("allowed_roles"), ",")).cast("binary"), 256)
 
 
+@contextmanager
+def _open_folders(spark: SparkSession) -> Iterator[None]:
+    """Lets a task write to all folders of terms at once, where Spark would sort its rows by folder first."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BUCKETS + 2))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _segment(index: SparseIndex, rows: DataFrame, sums: DataFrame) -> str:
-    """Writes rows and (chunk, checksum) as a segment."""
+    """Writes rows and (chunk, checksum) as a segment. Rows go to their folders as they come: a task holds GATHERED bytes a folder, however many rows it writes."""
     name = uuid.uuid4().hex
-    salts = -(-max(sums.count(), 1) // PART)
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(salts))).sortWithinPartitions("bucket", "term")
-    dealt.write.partitionBy("bucket").parquet(f"{index.path}/postings/segment={name}")
+    with _open_folders(index.spark):
+        rows.write.option("parquet.block.size", GATHERED).partitionBy("bucket").parquet(f"{index.path}/postings/segment={name}")
     written = index._read("postings", (name,), SCHEMA).where("bucket = -1").select("block", F.inline("docs")).select("chunk", "block")
     written.join(sums, "chunk").write.parquet(f"{index.path}/listing/segment={name}")
     return name
@@ -207,10 +219,11 @@ def followed(index: SparseIndex, chunks: DataFrame, size: int = BLOCK) -> Sparse
         tombs += (uuid.uuid4().hex,)
         dead.select(F.col("segment").alias("of"), "block", "chunk").write.parquet(f"{index.path}/dead/segment={tombs[-1]}")
     if fresh.limit(1).count():
-        rows = named.join(bounded(fresh.select("chunk")), "chunk", "left_semi") if segments else named
-        if rows.select("chunk").count() > fresh.count():  # repeated ids: the row whose checksum counts, in an order that a task run again finds too
+        rows, n = named.join(bounded(fresh.select("chunk")), "chunk", "left_semi") if segments else named, fresh.count()
+        if rows.select("chunk").count() > n:  # repeated ids: the row whose checksum counts, in an order that a task run again finds too
             rows = rows.withColumn("checksum", checksum(rows)).join(bounded(fresh), ["chunk", "checksum"], "left_semi").dropDuplicates(["chunk"]).sortWithinPartitions("chunk")
-        segments += (_segment(index, block_rows(rows, size), fresh),)
+        parts = max(2 * index.spark.sparkContext.defaultParallelism, -(-n // PART))  # each writes a file a folder
+        segments += (_segment(index, block_rows(rows.coalesce(parts), size), fresh),)
     return index if (segments, tombs) == (index.segments, index.dead) else _publish(index, segments, tombs)
 
 
@@ -229,7 +242,8 @@ def compacted(index: SparseIndex, size: int = BLOCK) -> SparseIndex:
     each = live.select("bucket", "term", F.inline("docs")).join(placed, "chunk")
     by = each.groupBy("bucket", "block", "term", "mask").agg(F.collect_list(F.struct("chunk", "mask", "dl", "tf")).alias("docs"), F.count("*").alias("n"), F.sum("dl").cast("long").alias("dl"), F.max("tf").alias("tf"), F.min("dl").alias("low"))
     rows = by.groupBy("bucket", "block", "term").agg(F.bit_or("mask").alias("roles"), F.collect_list(F.struct("mask", "n", "dl")).alias("masks"), F.max("tf").alias("max_tf"), F.min("low").alias("min_dl"), F.flatten(F.collect_list("docs")).alias("docs"))
-    return _publish(index, (_segment(index, rows, sums),), ())
+    salts = -(-max(sums.count(), 1) // PART)
+    return _publish(index, (_segment(index, rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(salts))), sums),), ())
 
 
 # Scores

@@ -144,3 +144,26 @@ def test_queries_read_the_folders_of_their_terms(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert any("bucket#" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
     assert len(files(rows)) < len(files(index.rows())) / 2
+
+
+def stages(spark):
+    """(rows shuffled, most memory of a task's sorts and tables, bytes written) of all stages of this application by number."""
+    store, out = spark.sparkContext._jsc.sc().statusStore(), {}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    every = store.store().view(spark._jvm.java.lang.Class.forName("org.apache.spark.status.StageDataWrapper")).iterator()
+    while every.hasNext():
+        s = every.next().info()
+        out[s.stageId()] = (s.shuffleWriteRecords(), s.peakExecutionMemory(), s.outputBytes())
+    return out
+
+
+def test_postings_are_neither_shuffled_nor_sorted(spark, tmp_path):
+    """A build shuffles a row a chunk, and the tasks that write postings hold nothing that grows with them."""
+    chunks, queries = made(spark, some(600)).repartition(4).localCheckpoint(), asked(spark)
+    before = set(stages(spark))
+    index = S.created(str(tmp_path / "i"), chunks)
+    done = {k: x for k, x in stages(spark).items() if k not in before}
+    assert max(x[0] for x in done.values()) <= 600
+    assert max(done.values(), key=lambda x: x[2])[1] == 0 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert index.rows().where("bucket >= 0").count() > 4 * 600
+    assert near(all_scores(index.rows(), queries), brute(some(600), queries.collect()))
