@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import sparse_index as S
-from corvane.plans import corpus
+from corvane.plans import corpus, registry
 
 MID = "/root/testdata/sf0.1"
 CHUNKS = "chunk long, text string, allowed_roles array<string>, source_path string, section_path string"
@@ -167,3 +167,16 @@ def test_postings_are_neither_shuffled_nor_sorted(spark, tmp_path):
     assert max(done.values(), key=lambda x: x[2])[1] == 0 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
     assert index.rows().where("bucket >= 0").count() > 4 * 600
     assert near(all_scores(index.rows(), queries), brute(some(600), queries.collect()))
+
+
+BUILDERS = ["bm25_topk"]
+
+
+@pytest.mark.parametrize("name", BUILDERS)
+def test_the_first_query_writes_postings_unsorted(spark, tmp_path, name):
+    """The query that builds the index: the stage that writes most, that of the postings, holds no memory for a sort."""
+    (tmp_path / "d").symlink_to("/root/testdata/sf0.001")  # another path, so an index of its own
+    before = set(stages(spark))
+    assert registry.queries()[name](spark, str(tmp_path / "d")).count() > 0
+    done = [x for k, x in stages(spark).items() if k not in before]
+    assert max(done, key=lambda x: x[2])[1] == 0
