@@ -169,7 +169,7 @@ def test_postings_are_neither_shuffled_nor_sorted(spark, tmp_path):
     assert near(all_scores(index.rows(), queries), brute(some(600), queries.collect()))
 
 
-BUILDERS = ["bm25_topk", "chat_contexts", "dedup_counts", "extractive_answer"]
+BUILDERS = ["bm25_topk", "chat_contexts", "dedup_counts", "extractive_answer", "rerank_prompt"]
 
 
 @pytest.mark.parametrize("name", BUILDERS)
