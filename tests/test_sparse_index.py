@@ -180,3 +180,57 @@ def test_the_first_query_writes_postings_unsorted(spark, tmp_path, name):
     assert registry.queries()[name](spark, str(tmp_path / "d")).count() > 0
     done = [x for k, x in stages(spark).items() if k not in before]
     assert max(done, key=lambda x: x[2])[1] == 0
+
+
+def shuffled(spark, run):
+    """What run() gives, and the rows shuffled by all stages that it started."""
+    before = set(stages(spark))
+    out = run()
+    return out, sum(x[0] for k, x in stages(spark).items() if k not in before)
+
+
+def test_compaction_shuffles_whole_rows_once(spark, tmp_path, monkeypatch):
+    """Rows go to parts of whole blocks as they are, not a posting at a time, and no row more than once; several parts, and tombstones too many to broadcast, give the same."""
+    first, queries = some(300), asked(spark)
+    second = [(i, t + " w5" if i % 5 == 0 else t, r) for i, t, r in first if i % 4] + [(-1 - i, t, r) for i, t, r in some(40, 3)]
+    two = S.followed(S.created(str(tmp_path / "i"), made(spark, first).repartition(4)), made(spark, second))
+    found, n = shuffled(spark, lambda: all_scores(two.rows(), queries))
+    assert near(found, brute(second, queries.collect())) and len(found) > 100
+    every, ids = two._read("postings", two.segments, S.SCHEMA).count(), len(first) + len(second)
+    whole, n = shuffled(spark, lambda: S.compacted(two))
+    assert n <= every + 4 * ids and near(all_scores(whole.rows(), queries), found)
+    assert sorted((x.chunk, x.checksum) for x in whole.listing().collect()) == sorted((x.chunk, x.checksum) for x in two.listing().collect())
+    _, n = shuffled(spark, lambda: two.rows().write.format("noop").mode("overwrite").save())
+    assert n <= ids  # the tombstones, no row of the index
+    monkeypatch.setattr(S, "HELD", 1000)
+    monkeypatch.setattr(S, "HIT", 3)
+    again = S.compacted(S.SparseIndex(spark, str(tmp_path / "i"), 9, two.segments, two.dead))
+    rows = again.rows()
+    assert near(all_scores(rows, queries), found) and near(all_scores(two.rows(), queries), found)
+    assert rows.select((F.col("block") / (1 << 33)).cast("int")).distinct().count() > 3 and rows.where("term is null and size(docs) > 8").count() == 0
+    listed = rows.where("term is null").select("block", F.size("docs").alias("n"))
+    assert listed.count() == listed.select("block").distinct().count() and listed.agg(F.sum("n")).first()[0] == len(second)
+    all_dead = S.compacted(S.followed(S.created(str(tmp_path / "none"), made(spark, first)), made(spark, first).limit(0)))
+    assert all_dead.rows().count() == 0 and all_dead.listing().count() == 0
+
+
+@pytest.mark.parametrize("side", [200, 0])
+def test_ids_that_lie_close_are_few_rows(spark, monkeypatch, side):
+    """Thousands of ids are broadcast as runs of 64; beyond the bound, the same by a shuffle."""
+    monkeypatch.setattr(S, "SIDE", side)
+    rows = spark.range(-5000, 5000).selectExpr("int(id) as chunk", "string(id % 2) as kind")
+    ids = [(i, "0") for i in (-(2**63), 2**63 - 1, *range(-5001, 5000, 3))]
+    ids = spark.createDataFrame(ids, "chunk long, kind string")
+    wanted = [i for i in range(-5000, 5000) if i % 3 == 0]
+    semi, anti = S.among(rows, ids, "left_semi"), S.among(rows, ids, "left_anti", "kind")
+    assert sorted(x.chunk for x in semi.collect()) == wanted and semi.columns == rows.columns
+    assert sorted(x.chunk for x in anti.collect()) == [i for i in range(-5000, 5000) if i % 3 or i % 2]
+    assert ("strategy=broadcast" in semi._jdf.queryExecution().optimizedPlan().toString()) == (side > 0)
+
+
+def test_the_query_over_segments_shuffles_rows_not_postings(spark, tmp_path):
+    (tmp_path / "d").symlink_to("/root/testdata/sf0.001")
+    found, n = shuffled(spark, lambda: registry.queries()["bm25_segments"](spark, str(tmp_path / "d")).collect())
+    postings = corpus.chunks(spark, str(tmp_path / "d")).transform(S.block_rows).transform(S.postings).count()
+    print(len(found), n, postings)
+    assert len(found) == 200 and n <= 3 * postings
